@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.functions.binding import bind
+
 # The whitespace set of String.prototype.trim and of \s, as a Java character class body.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 # Characters deleted or folded when text is scrubbed.
@@ -33,8 +35,7 @@ def js_trim(col) -> Column:
 
 def blank_to_null(col) -> Column:
     """Trimmed text, or NULL where nothing is left."""
-    trimmed = js_trim(col)
-    return F.when(trimmed != "", trimmed)
+    return bind(js_trim(col), lambda trimmed: F.when(trimmed != "", trimmed))
 
 
 @F.pandas_udf(T.StringType())

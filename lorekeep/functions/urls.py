@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorekeep.functions.binding import bind
+
 # Query parameters that only track a visitor.
 TRACKING = r"(?i)^(utm_.*|gclid|gbraid|wbraid|fbclid|msclkid|mc_cid|mc_eid|_ga|ref)$"
 _ABSOLUTE = r"(?i)^(https?):[/\\]*([^/\\?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 _SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
-def bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``; keeps long expressions from repeating their input."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _clean(col: Column) -> Column:
     edges = F.regexp_replace(col, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     return F.regexp_replace(edges, r"[\t\n\r]", "")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.binding import bind
 from lorekeep.functions.text import blank_to_null, js_trim
 from lorekeep.functions.urls import is_http
 from lorekeep.settings import MAX_CART_LINES, MAX_CART_QUANTITY, MAX_COMPARE, MAX_LISTING, MAX_ORDERS, PROPOSAL_LIFETIME_SECONDS
@@ -19,14 +20,17 @@ PRICE_TYPE = "struct<formatted:string,amount:string,currency:string,tax_included
 
 def _field(value: Column, path: str, kind: str) -> Column:
     """A JSON field if it has exactly the wanted type, else NULL."""
-    found = F.try_variant_get(value, path, "variant")
+    return bind(F.try_variant_get(value, path, "variant"), lambda found: _typed(found, kind))
+
+
+def _typed(found: Column, kind: str) -> Column:
     name = F.schema_of_variant(found)
     if kind == "string":
         return F.when(name == "STRING", F.try_variant_get(found, "$", "string"))
     if kind == "boolean":
         return F.when(name == "BOOLEAN", F.try_variant_get(found, "$", "boolean"))
     number = F.when(name.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(found, "$", "double"))
-    return F.when(number == F.floor(number), number.cast("long"))
+    return bind(number, lambda n: F.when(n == F.floor(n), n.cast("long")))
 
 
 def _text(value: Column, path: str) -> Column:
@@ -34,8 +38,7 @@ def _text(value: Column, path: str) -> Column:
 
 
 def _address(value: Column, path: str) -> Column:
-    text = _text(value, path)
-    return F.when(is_http(text), text)
+    return bind(_text(value, path), lambda text: F.when(is_http(text), text))
 
 
 def clean_price(value: Column, path: str = "$") -> Column:
@@ -44,14 +47,17 @@ def clean_price(value: Column, path: str = "$") -> Column:
     ``tax_included`` is NULL unless it is a real boolean: unknown is not the same as excluded.
     """
     at = lambda name: f"{path}.{name}"
-    formatted = _text(value, at("formatted"))
-    price = F.struct(
-        formatted.alias("formatted"),
-        _text(value, at("amount")).alias("amount"),
-        _text(value, at("currency")).alias("currency"),
-        _field(value, at("taxIncluded"), "boolean").alias("tax_included"),
-    )
-    return F.when(formatted.isNotNull(), price)
+
+    def price(formatted: Column) -> Column:
+        parts = F.struct(
+            formatted.alias("formatted"),
+            _text(value, at("amount")).alias("amount"),
+            _text(value, at("currency")).alias("currency"),
+            _field(value, at("taxIncluded"), "boolean").alias("tax_included"),
+        )
+        return F.when(formatted.isNotNull(), parts)
+
+    return bind(_text(value, at("formatted")), price)
 
 
 def clean_products(raw: DataFrame, column: str = "raw") -> DataFrame:
