@@ -8,13 +8,14 @@ replayed from its true start. One client with a third of all requests is therefo
 from __future__ import annotations
 
 import heapq
+from typing import Iterable, Iterator
 
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.scale import running_sum
+from lorekeep.scale import running_sum, scan_groups
 from lorekeep.session import durable
 
 HOUR_MS = 3_600_000
@@ -64,48 +65,40 @@ def token_bucket(requests: DataFrame, window_ms: int, max_requests: int, block_m
     client = timed.schema["client"].dataType.simpleString()
     request = timed.schema["request_id"].dataType.simpleString()
 
-    def effect(frame: pd.DataFrame) -> pd.DataFrame:
-        times = [int(t) * max_requests for t in frame["ms"].sort_values()]
-        pieces = [list(map(int, p)) for p in effect_of(times, token, room)]
-        return pd.DataFrame(
-            {"client": [frame["client"].iloc[0]], "block": [frame["block"].iloc[0]], "first": [times[0]], "pieces": [pieces]}
-        )
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        state, starts = None, []
-        frame = frame.sort_values("block")
-        for first, pieces in zip(frame["first"], frame["pieces"]):
-            begin = int(first) if state is None else max(state, int(first))
-            starts.append(begin)
-            debt = begin - int(first)
-            state = next(int(b) + int(s) * debt for lo, hi, s, b in pieces if lo <= debt <= hi)
-        return pd.DataFrame({"client": frame["client"], "block": frame["block"], "state": starts})
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ms", "request_id"])
-        state, rows = int(frame["state"].iloc[0]), []
-        for when, at in zip(frame["request_id"], frame["ms"]):
-            allowed, debt, state = take(state, int(at) * max_requests, token, room)
-            left = room + token - debt - (token if allowed else 0)
-            wait = max(0, token - (room + token - debt))
-            rows.append(
-                (when, allowed, left // token, -(-debt // (max_requests * 1000)), max(1, -(-wait // (max_requests * 1000))))
-            )
-        out = pd.DataFrame(rows, columns=["request_id", "allowed", "remaining", "reset_seconds", "retry_after_seconds"])
-        out.insert(0, "client", frame["client"].iloc[0])
-        return out
-
-    effects = timed.groupBy("client", "block").applyInPandas(
-        effect, f"client {client}, block long, first long, pieces array<array<long>>"
+    def effect(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        times = [int(t) * max_requests for (t,) in rows]
+        yield (*key, times[0], [list(p) for p in effect_of(times, token, room)])
+
+    def chain(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        state = 0
+        for block, first, pieces in rows:
+            state = max(state, int(first))
+            yield (*key, block, state)
+            debt = state - int(first)
+            state = next(int(b) + int(s) * debt for low, high, s, b in pieces if low <= debt <= high)
+
+    def replay(key: tuple, rows: Iterable[tuple]) -> Iterator[tuple]:
+        state = None
+        for at, request_id, start in rows:
+            allowed, debt, state = take(int(start) if state is None else state, int(at) * max_requests, token, room)
+            left = room + token - debt
+            reset = -(-debt // (max_requests * 1000))
+            wait = -(-(token - left) // (max_requests * 1000))
+            yield key[0], request_id, allowed, (left - token * allowed) // token, reset, max(1, wait)
+
+    effects = scan_groups(
+        timed, ["client", "block"], ["ms"], ["ms"], effect, f"client {client}, block long, first long, pieces array<array<long>>"
     )
-    starts = effects.groupBy("client").applyInPandas(chain, f"client {client}, block long, state long")
-    return (
-        timed.join(starts, ["client", "block"])
-        .groupBy("client", "block")
-        .applyInPandas(
-            replay,
-            f"client {client}, request_id {request}, allowed boolean, remaining long, reset_seconds long, retry_after_seconds long",
-        )
+    starts = scan_groups(
+        effects, ["client"], ["block"], ["block", "first", "pieces"], chain, f"client {client}, block long, state long"
+    )
+    return scan_groups(
+        timed.join(starts, ["client", "block"]),
+        ["client", "block"],
+        ["ms", "request_id"],
+        ["ms", "request_id", "state"],
+        replay,
+        f"client {client}, request_id {request}, allowed boolean, remaining long, reset_seconds long, retry_after_seconds long",
     )
 
 
@@ -129,17 +122,37 @@ def high_water(intervals: DataFrame, bucket: Column, keys: list[str] | None = No
     return in_flight(intervals, bucket, keys).groupBy(*(keys or [])).agg(F.max("running").alias("high_water"))
 
 
+def _with_idle_cuts(rows: DataFrame) -> DataFrame:
+    """Split each block at its first request that starts when all earlier ones have ended; ``block`` stays ordered."""
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("block").agg(F.max("e").alias("_e")).select("block", F.max("_e").over(earlier).alias("_before"))
+    inside = Window.partitionBy("block").orderBy("s", "request_id")
+    reach = F.greatest("_before", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    idle = F.coalesce(reach <= F.col("s"), F.lit(True)).cast("int")
+    return (
+        rows.join(before, "block")
+        .withColumn("_idle", idle)
+        .withColumn("_part", F.max("_idle").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .select("request_id", "client", "s", "e", (F.col("block") * 2 + F.col("_part")).alias("block"))
+    )
+
+
 def concurrency(intervals: DataFrame, per_client: int, total: int, block_ms: int = HOUR_MS) -> DataFrame:
     """intervals(request_id, client, started, ended) -> verdict: admitted, client or service (the limit that refused).
 
-    The client's limit is checked first, then the global one; a refused request holds nothing. A block starts from the
-    admitted requests still open, at most ``total``. All blocks run at once from a guessed start; those whose
-    predecessor ended differently run again until nothing changes, which is then the sequential answer.
+    The client's limit is checked first, then the global one; a refused request holds nothing. A block of time is cut
+    once more at its first idle instant, where nothing offered is still open, so what follows depends on nothing before.
+    The part ahead of that instant starts from the admitted requests still open, at most ``total``. All parts run at
+    once from an empty start; those whose predecessor ended differently run again until nothing changes, which is then
+    the sequential answer. The number of rounds is the longest run of blocks without an idle instant.
     """
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     rows = durable(
-        intervals.select("request_id", "client", ms("started").alias("s"), ms("ended").alias("e"))
-        .withColumn("block", F.floor(F.col("s") / block_ms).cast("long"))
+        _with_idle_cuts(
+            intervals.select("request_id", "client", ms("started").alias("s"), ms("ended").alias("e")).withColumn(
+                "block", F.floor(F.col("s") / block_ms).cast("long")
+            )
+        )
     )
     client = rows.schema["client"].dataType.simpleString()
     request = rows.schema["request_id"].dataType.simpleString()
@@ -174,9 +187,9 @@ def concurrency(intervals: DataFrame, per_client: int, total: int, block_ms: int
 
     def carry(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
-            return pd.DataFrame({"block": [], "open": []})
+            return pd.DataFrame({"block": pd.Series(dtype="int64"), "open": pd.Series(dtype=object)})
         _, left = run(frame, start_of(state))
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "open": [left]})
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "open": pd.Series([left], dtype=object)})
 
     def decide(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         verdicts, _ = run(frame, start_of(state))
@@ -184,12 +197,14 @@ def concurrency(intervals: DataFrame, per_client: int, total: int, block_ms: int
 
     blocks = rows.groupBy("block").agg(F.min("s").alias("first"))
     order = durable(blocks.select("block", "first", F.lead("block").over(Window.orderBy("block")).alias("next")))
-    start = durable(order.select("block", F.expr(f"cast(array() as {held})").alias("carried")))
+    start = order.select("block", F.expr(f"cast(array() as {held})").alias("carried"))
     outcome = None
     dirty = start.select("block")
     while True:
-        todo = rows.join(F.broadcast(dirty), "block", "left_semi")
-        fresh = todo.groupBy("block").cogroup(start.groupBy("block")).applyInPandas(carry, f"block long, open {held}")
+        # renaming gives every frame columns of its own, as all of them descend from the same rows
+        todo = rows.join(dirty.toDF("block"), "block", "left_semi").select(*rows.columns).toDF(*rows.columns)
+        given = start.join(dirty.toDF("block"), "block", "left_semi").toDF("block", "carried")
+        fresh = todo.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(carry, f"block long, open {held}")
         if outcome is None:
             outcome = durable(fresh)
         else:
@@ -213,6 +228,6 @@ def concurrency(intervals: DataFrame, per_client: int, total: int, block_ms: int
         dirty = compared.filter("moved").select("block")
         if dirty.isEmpty():
             break
-    return rows.groupBy("block").cogroup(start.groupBy("block")).applyInPandas(
+    return rows.toDF(*rows.columns).groupBy("block").cogroup(start.toDF("block", "carried").groupBy("block")).applyInPandas(
         decide, f"request_id {request}, client {client}, verdict string"
     )

@@ -34,9 +34,13 @@ def counter(events: DataFrame, labels: list[str], by: Column | None = None, cons
     return events.groupBy(*_labels(labels, constant)).agg(F.sum(amount).alias("count"))
 
 
+def bucket_name(bound: float) -> str:
+    return f"le_{bound}".replace(".", "_")
+
+
 def histogram(events: DataFrame, value: Column, bounds: tuple, labels: list[str], constant: dict[str, str] | None = None) -> DataFrame:
     """count, sum and one cumulative column ``le_<bound>`` per bound and label set; ``le_inf`` equals count."""
-    buckets = [F.count_if(value <= b).alias(f"le_{b}") for b in sorted(bounds)]
+    buckets = [F.count_if(value <= b).alias(bucket_name(b)) for b in sorted(bounds)]
     return events.groupBy(*_labels(labels, constant)).agg(
         F.count(value).alias("count"), F.sum(value).alias("sum"), *buckets, F.count(value).alias("le_inf")
     )
@@ -48,7 +52,7 @@ def as_metrics(df: DataFrame, name: str, help_text: str, labels: list[str], boun
     label_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     is_histogram = bounds is not None
     limits = F.array(*[F.lit(float(b)) for b in sorted(bounds)]) if is_histogram else F.lit(None).cast("array<double>")
-    cumulative = F.array(*[F.col(f"le_{b}") for b in sorted(bounds)]) if is_histogram else F.lit(None).cast("array<long>")
+    cumulative = F.array(*[F.col(bucket_name(b)) for b in sorted(bounds)]) if is_histogram else F.lit(None).cast("array<long>")
     return df.select(
         F.lit(name).alias("name"),
         F.lit(help_text).alias("help"),
@@ -172,7 +176,7 @@ def label_cardinality(metrics: DataFrame, limit: int = 100) -> DataFrame:
     return (
         metrics.select("name", F.explode("labels").alias("label", "value"))
         .groupBy("name", "label")
-        .agg(F.approx_count_distinct("value").alias("values"))
+        .agg(F.approx_count_distinct("value", 0.01).alias("values"))
         .withColumn("too_many", F.col("values") > limit)
     )
 

@@ -7,8 +7,13 @@ bucket is scanned on its own, and the small table of bucket totals carries value
 
 from __future__ import annotations
 
+from itertools import groupby
+from typing import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -72,3 +77,37 @@ def previous_value(df: DataFrame, keys: list[str], bucket: Column, order, value:
 
 def fits_broadcast(row_count: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return row_count * row_bytes <= limit
+
+
+def scan_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    step: Callable[[tuple, Iterable[tuple]], Iterable[tuple]],
+    schema,
+    batch: int = 10_000,
+) -> DataFrame:
+    """Run ``step(key, rows)`` over each group in order, many groups per Python call.
+
+    Rows are shuffled by key and sorted in the JVM, then pass through Python as one stream of tuples, so a group is
+    never held as a whole and small groups carry no per-group cost. ``step`` yields output rows.
+    """
+    sorted_rows = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    width = len(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        held: list[tuple] = []
+        for key, group in groupby(rows, lambda row: row[:width]):
+            for out in step(key, (row[width:] for row in group)):
+                held.append(out)
+                if len(held) >= batch:
+                    yield pd.DataFrame(held, columns=fields)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=fields)
+
+    struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    fields = struct.names
+    return sorted_rows.mapInPandas(run, struct)
