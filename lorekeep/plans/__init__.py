@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("search_queries", "page_queries", "ingest_queries", "conversation_queries", "commerce_queries", "telemetry_queries")
+SECTIONS = ("search_queries", "page_queries", "ingest_queries", "conversation_queries", "commerce_queries", "telemetry_queries", "stream_queries")
 
 
 def all_queries():

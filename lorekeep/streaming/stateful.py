@@ -1,9 +1,4 @@
-"""Operators that keep state per key: live conversations, take-once confirmations, token buckets.
-
-They need the RocksDB state store:
-``spark.sql.streaming.stateStore.providerClass =
-org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``.
-"""
+"""Operators that remember something per key between batches: live conversations, token buckets, taken proposals."""
 
 from __future__ import annotations
 
@@ -12,129 +7,106 @@ from typing import Any, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.operators.admission import take
-from lorekeep.settings import PROPOSAL_LIFETIME_SECONDS
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from lorekeep.operators.commerce import confirm_proposals
 
+TURN = ["seq", "us", "role", "content"]
+CONVERSATION_STATE = "seq array<long>, us array<long>, role array<string>, content array<string>"
 
-class LiveConversation(StatefulProcessor):
-    """Keeps the newest turns of a conversation; a pause longer than the idle time empties it first."""
 
-    def __init__(self, max_stored: int, idle_seconds: int):
-        self.max_stored, self.idle_us = max_stored, idle_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", "seq long, us long, role string, content string")
+def conversation_state(turns: DataFrame, max_stored: int, idle_seconds: int) -> DataFrame:
+    """Stream of turns(site_id, conversation_id, seq, at, role, content) -> the live turns after each batch.
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        arrived = pd.concat(list(rows)).sort_values(["us", "seq"])
-        for turn in arrived[["seq", "us", "role", "content"]].itertuples(index=False):
-            seq, us, role, content = int(turn.seq), int(turn.us), turn.role, turn.content
-            if kept and us - kept[-1][1] > self.idle_us:
+    The newest ``max_stored`` turns are kept, and a pause longer than the idle time empties the conversation first. The
+    state also leaves the store once the conversation has been idle for that long by the clock.
+    """
+    idle_us = idle_seconds * 1_000_000
+    conversation = turns.schema["conversation_id"].dataType.simpleString()
+
+    def update(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(zip(*state.get)) if state.exists else []
+        for turn in pd.concat(list(frames)).sort_values(["us", "seq"])[TURN].itertuples(index=False, name=None):
+            if kept and turn[1] - kept[-1][1] > idle_us:
                 kept = []
-            kept = [*kept, (seq, us, role, content)][-self.max_stored :]
-        self.turns.put(kept)
-        out = pd.DataFrame(kept, columns=["seq", "us", "role", "content"])
+            kept = [*kept, turn][-max_stored:]
+        state.update(tuple(list(column) for column in zip(*kept)))
+        state.setTimeoutDuration(idle_seconds * 1000)
+        out = pd.DataFrame(kept, columns=TURN)
         out.insert(0, "site_id", key[0])
         out.insert(1, "conversation_id", key[1])
-        out["position"] = range(1, len(out) + 1)
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def conversation_state(turns: DataFrame, max_stored: int, idle_seconds: int) -> DataFrame:
-    """Stream of turns(site_id, conversation_id, seq, at, role, content) -> the live turns after each batch."""
-    timed = turns.withColumn("us", F.unix_micros("at"))
-    schema = (
-        "site_id string, conversation_id " + turns.schema["conversation_id"].dataType.simpleString()
-        + ", seq long, us long, role string, content string, position long"
+        yield out.assign(position=range(1, len(out) + 1))
+
+    return (
+        turns.withColumn("us", F.unix_micros("at"))
+        .groupBy("site_id", "conversation_id")
+        .applyInPandasWithState(
+            update,
+            f"site_id string, conversation_id {conversation}, seq long, us long, role string, content string, position long",
+            CONVERSATION_STATE,
+            "update",
+            GroupStateTimeout.ProcessingTimeTimeout,
+        )
     )
-    return timed.groupBy("site_id", "conversation_id").transformWithStateInPandas(
-        statefulProcessor=LiveConversation(max_stored, idle_seconds),
-        outputStructType=schema,
-        outputMode="Update",
-        timeMode="None",
-    )
-
 
-class TakeOnce(StatefulProcessor):
-    """A proposal waits for one valid confirmation. Its state goes away with its lifetime."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = PROPOSAL_LIFETIME_SECONDS * 2 * 1000
-        self.proposal = handle.getValueState("proposal", "subject string, expires long, accepted boolean", ttl)
+def rate_limit_stream(requests: DataFrame, window_ms: int, max_requests: int) -> DataFrame:
+    """Stream of requests(client, request_id, at) -> allowed per request, in event-time order within each batch.
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        events = pd.concat(list(rows)).sort_values(["us", "kind", "confirm_id"], ascending=[True, False, True])
-        for e in events.itertuples(index=False):
-            if e.kind == "proposal":
-                self.proposal.update((e.subject, int(e.expires), bool(e.accepted)))
-                continue
-            held = self.proposal.get() if self.proposal.exists() else None
-            status = "gone"
-            if held is not None and held[0] == e.subject and held[1] > e.us:
-                status = "applied" if held[2] else "rejected"
-                self.proposal.clear()
-            out.append((key[0], key[1], e.confirm_id, e.subject, status))
-        yield pd.DataFrame(out, columns=["site_id", "proposal_id", "confirm_id", "subject", "status"])
-
-    def close(self) -> None:
-        pass
-
-
-def confirm_stream(events: DataFrame) -> DataFrame:
-    """One stream of proposals and confirmations -> status per confirmation.
-
-    ``events``: site_id, proposal_id, kind (proposal / confirm), confirm_id, subject, at, expires_at, accepted. A key's
-    rows are handled in one place and in order, so exactly one confirmation can win.
+    A client that is silent for a whole window is forgotten: its bucket is full again by then.
     """
-    timed = events.withColumns({"us": F.unix_micros("at"), "expires": F.coalesce(F.unix_micros("expires_at"), F.lit(0))})
-    return timed.groupBy("site_id", "proposal_id").transformWithStateInPandas(
-        statefulProcessor=TakeOnce(),
-        outputStructType="site_id string, proposal_id string, confirm_id string, subject string, status string",
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
-
-
-class Bucket(StatefulProcessor):
-    """One token bucket; idle clients are forgotten after the window, when the bucket is full anyway."""
-
-    def __init__(self, window_ms: int, max_requests: int):
-        self.window_ms, self.max_requests = window_ms, max_requests
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.full_at = handle.getValueState("full_at", "full_at long")
+    client = requests.schema["client"].dataType.simpleString()
+    request = requests.schema["request_id"].dataType.simpleString()
+    token, room = window_ms, (max_requests - 1) * window_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        token, room = self.window_ms, (self.max_requests - 1) * self.window_ms
-        state = int(self.full_at.get()[0]) if self.full_at.exists() else 0
+    def update(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        full_at = int(state.get[0]) if state.exists else 0
         out = []
-        for row in pd.concat(list(rows)).sort_values(["ms", "request_id"]).itertuples(index=False):
-            allowed, _, state = take(state, int(row.ms) * self.max_requests, token, room)
-            out.append((row.client, row.request_id, allowed))
-        self.full_at.update((state,))
+        rows = pd.concat(list(frames)).sort_values(["ms", "request_id"])
+        for request_id, ms in zip(rows["request_id"], rows["ms"]):
+            allowed, _, full_at = take(full_at, int(ms) * max_requests, token, room)
+            out.append((key[0], request_id, allowed))
+        state.update((full_at,))
+        state.setTimeoutDuration(window_ms)
         yield pd.DataFrame(out, columns=["client", "request_id", "allowed"])
 
-    def close(self) -> None:
-        pass
+    timed = requests.select("client", "request_id", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"))
+    return timed.groupBy("client").applyInPandasWithState(
+        update,
+        f"client {client}, request_id {request}, allowed boolean",
+        "full_at long",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
 
+def confirm_stream(confirms: DataFrame, proposals: DataFrame, out: str, checkpoint: str):
+    """Start the query: each batch of confirmations is settled against the proposals nobody has taken yet.
 
-def rate_limit_stream(requests: DataFrame, window_ms: int, max_requests: int) -> DataFrame:
-    """Stream of requests(client, request_id, at) -> allowed per request, in event-time order within each batch."""
-    client = requests.schema["client"].dataType.simpleString()
-    request = requests.schema["request_id"].dataType.simpleString()
-    timed = requests.select("client", "request_id", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"))
-    return timed.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=Bucket(window_ms, max_requests),
-        outputStructType=f"client {client}, request_id {request}, allowed boolean",
-        outputMode="Append",
-        timeMode="None",
+    ``out`` holds the verdicts of every batch in a folder of its own and is also the memory of what was taken, so a
+    batch that is replayed after a failure sees the same earlier batches and writes the same verdicts again. Within a
+    batch the earliest valid confirmation wins.
+    """
+    spark = confirms.sparkSession
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        waiting = proposals
+        if batch_id > 0:
+            verdicts = spark.read.parquet(*[f"{out}/batch_id={i}" for i in range(batch_id)])
+            taken = verdicts.filter("status <> 'gone'").select("site_id", F.col("proposal_id").alias("id"))
+            waiting = proposals.join(taken, ["site_id", "id"], "left_anti")
+        confirm_proposals(waiting, batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (
+        confirms.writeStream.foreachBatch(settle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
