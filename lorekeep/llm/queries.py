@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_search, url_rules
+from lorekeep.llm import chat_format, exact_search, packing, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,22 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def crc_of(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled rows outside the held-out fifth."""
+    documents = table(spark, folder, "documents")
+    learnt = toxicity.learn(documents, table(spark, folder, "labels").filter(crc_of("doc_id") % 5 != 0))
+    scored = toxicity.score_toxicity(documents, learnt)
+    return scored.select("doc_id", F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into sequences of 4,096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
