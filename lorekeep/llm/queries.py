@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_search, packing, toxicity, url_rules
+from lorekeep.llm import chat_format, exact_search, packing, quality, spans, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,17 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into sequences of 4,096 tokens."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document from its text, its source and its source's language section."""
+    documents = table(spark, folder, "documents")
+    judged = quality.judge(documents, table(spark, folder, "labels"))
+    return judged.select("doc_id", "source", "lang", "doc_rate", "site_rate", "quality", "keep")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the sentences that repeat an earlier passage."""
+    return spans.remove_repeats(table(spark, folder, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
