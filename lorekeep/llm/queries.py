@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_search, packing, quality, spans, toxicity, url_rules
+from lorekeep.llm import chat_format, exact_search, language_model, packing, quality, spans, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,12 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the sentences that repeat an earlier passage."""
     return spans.remove_repeats(table(spark, folder, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
+@query("op1_language_model")
+def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by a model of those whose id hashes outside the held-out seventh."""
+    documents = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_of("doc_id") % 7 == 2, F.lit(False))
+    scored = language_model.score_documents(documents, language_model.train(documents.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
