@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_search, language_model, packing, quality, spans, toxicity, url_rules
+from lorekeep.llm import chat_format, exact_search, jaccard_join, language_model, packing, quality, spans, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,22 @@ def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(crc_of("doc_id") % 7 == 2, F.lit(False))
     scored = language_model.score_documents(documents, language_model.train(documents.filter(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op6_jaccard_join",
+    r"""
+    WITH RECURSIVE
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+    r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id WHERE r.m < l.b)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.m) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY 1, 2
+    """,
+)
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingles are 75 percent alike."""
+    return jaccard_join.join_near(table(spark, folder, "documents"))
