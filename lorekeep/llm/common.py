@@ -45,7 +45,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def hash_words(tokens: list[bytes], known: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
+def hash_words(tokens: list[bytes], known: dict[bytes, int], limit: int = 250_000) -> np.ndarray:
     """64-bit hashes of words. ``known`` remembers words between calls and is emptied when it holds ``limit``."""
     from xxhash import xxh3_64_intdigest
 

@@ -37,7 +37,9 @@ FILTER_BYTES = 128 * 1024 * 1024
 #: Words whose exact counts are broadcast, 16 bytes each.
 HOT_WORDS = 1_000_000
 #: Tokens that a map task counts before it sends the sums on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
+#: A bigram's key: the upper bits of its context's hash, by which K(h) is summed, then bits of the pair's hash.
+PAIR_BITS = np.uint64(28)
 #: Hashes of the end of a text and of the place before its first word; no word hashes a line feed.
 END, START = np.uint64(0x0B5E55ED5EED0001), np.uint64(0x0B5E55ED5EED0002)
 #: Kinds of filter entries.
@@ -64,8 +66,12 @@ def entry(kind: np.uint64, h: np.ndarray) -> np.ndarray:
     return mixed(h ^ (kind * MIX))
 
 
+def context_key(context: np.ndarray) -> np.ndarray:
+    return context >> PAIR_BITS
+
+
 def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(context * MIX + word)
+    return context_key(context) << PAIR_BITS | mixed(context * MIX + word) >> np.uint64(64) - PAIR_BITS
 
 
 def sequences(texts: Iterable[bytes], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,23 +154,21 @@ class LanguageModel:
 
 
 def count_ngrams(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind: 1 word, 2 bigram; h; context; c), summed per task before it is sent on."""
+    """(kind: 1 word, 2 bigram; h; c), summed per task before it is sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        held, size = [], 0
+        held: list = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             contexts, tokens = (np.concatenate(x) for x in zip(*held))
-            h, c = np.unique(tokens, return_counts=True)
-            both, at, n = np.unique(pair(contexts, tokens), return_index=True, return_counts=True)
-            for kind, keys, context, counts in ((1, h, np.zeros(len(h), np.uint64), c), (2, both, contexts[at], n)):
-                for i in range(0, len(keys), 200_000):
-                    cut = slice(i, i + 200_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys[cut]), kind, np.int32)), pa.array(keys[cut].view(np.int64)), pa.array(context[cut].view(np.int64)), pa.array(counts[cut].astype(np.int64))],
-                        names=["kind", "h", "context", "c"],
-                    )
+            held.clear()
+            for kind, keys in ((1, tokens), (2, pair(contexts, tokens))):
+                h, c = np.unique(keys, return_counts=True)
+                for i in range(0, len(h), 100_000):
+                    cut = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[cut]), kind, np.int8)), pa.array(h[cut].view(np.int64)), pa.array(c[cut].astype(np.int32))], names=["kind", "h", "c"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
@@ -172,23 +176,23 @@ def count_ngrams(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 size += len(held[-1][0])
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush()
 
-    return documents.select(text_col).mapInArrow(run, "kind int, h long, context long, c long")
+    return documents.select(text_col).mapInArrow(run, "kind tinyint, h long, c int")
 
 
 def train(documents: DataFrame, text_col: str = "text") -> LanguageModel:
     """Count the words and bigrams of all whole texts (null: empty) and build the filter. Other columns are not read."""
-    counted = count_ngrams(documents, text_col).groupBy("kind", "h").agg(F.max("context").alias("context"), F.sum("c").alias("c"))
+    counted = count_ngrams(documents, text_col).groupBy("kind", "h").agg(F.sum("c").alias("c"))
     counts = stored(counted.filter("kind = 1 OR c > 1"), "lm-counts")
     unigrams = counts.filter("kind = 1").select("h", "c")
     whole = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
-    bigrams = counts.filter("kind = 2").select("h", "context", (F.col("c") - 1).alias("c"))
-    kept = bigrams.groupBy("context").agg(F.sum("c").alias("c")).select(F.col("context").alias("h"), "c")
+    bigrams = counts.filter("kind = 2").select("h", (F.col("c") - 1).alias("c"))
+    kept = bigrams.groupBy(F.shiftrightunsigned("h", int(PAIR_BITS)).alias("h")).agg(F.sum("c").alias("c"))
     starts = documents.sparkSession.range(1).select(F.lit(int(START.view(np.int64))).alias("h"), F.lit(whole["texts"]).cast("long").alias("c")).filter("c > 0")
-    kinds = [(int(UNIGRAM), unigrams.union(starts)), (int(KEPT), kept), (int(BIGRAM), bigrams.select("h", "c"))]
+    kinds = [(int(UNIGRAM), unigrams.union(starts)), (int(KEPT), kept), (int(BIGRAM), bigrams)]
     items = None
     for kind, rows in kinds:
         tagged = rows.select(F.lit(kind).alias("kind"), "h", "c")
@@ -216,7 +220,7 @@ def train(documents: DataFrame, text_col: str = "text") -> LanguageModel:
 def find_levels(part: FilterPart, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Levels of c(w), c(h), K(h) and c(hw) - 1 for each position, 4 x positions."""
     return np.stack(
-        [part.levels(entry(UNIGRAM, tokens)), part.levels(entry(UNIGRAM, contexts)), part.levels(entry(KEPT, contexts)), part.levels(entry(BIGRAM, pair(contexts, tokens)))]
+        [part.levels(entry(UNIGRAM, tokens)), part.levels(entry(UNIGRAM, contexts)), part.levels(entry(KEPT, context_key(contexts))), part.levels(entry(BIGRAM, pair(contexts, tokens)))]
     )
 
 
