@@ -30,8 +30,8 @@ from lorekeep.llm.common import MIX, hash_words, mixed, stored, words
 
 #: Ratio of one level's least count to the next.
 BASE = 1.5
-#: Bits per stored item and hash functions: a missing item is taken for present in 1 of 40 probes.
-ITEM_BITS, HASHES = 8, 4
+#: Bits per stored item and hash functions: a missing item is taken for present in 1 of 200 probes.
+ITEM_BITS, HASHES = 12, 5
 SHARD_BITS = 1 << 23
 FILTER_BYTES = 128 * 1024 * 1024
 #: Words whose exact counts are broadcast, 16 bytes each.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_search, jaccard_join, language_model, packing, quality, spans, toxicity, url_rules
+from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, quality, spans, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,10 @@ def op1_language_model(spark: SparkSession, folder: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose five-word shingles are 75 percent alike."""
     return jaccard_join.join_near(table(spark, folder, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that repeats a benchmark item, with the item."""
+    leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select("doc_id", "item_id", "similarity", "start")
