@@ -161,11 +161,9 @@ def prune_plan(stored: DataFrame, seen: DataFrame, failures: DataFrame, min_cove
     return decision, removed
 
 
-def quarantine(documents: DataFrame, max_characters: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(usable, failed with reason): a bad document is counted and the run goes on."""
+def quarantine(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable, failed with reason): a bad document is counted and the run goes on. No document fails for its length."""
     reason = F.when(F.col("id").isNull(), "no id").when(F.coalesce("text", F.lit("")) == "", "no text")
-    if max_characters is not None:
-        reason = reason.when(F.length("text") > max_characters, "too long")
     marked = documents.withColumn("failure", reason)
     return marked.filter(F.col("failure").isNull()).drop("failure"), marked.filter(F.col("failure").isNotNull())
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from lorekeep.plans.catalog import query, table
 from lorekeep.plans.page_queries import made_documents
 from lorekeep.plans.search_queries import SETTINGS
 from lorekeep.operators.chunking import chunk_documents
+from lorekeep.session import scratch
 from lorekeep.sources import sinks
 from lorekeep.operators import evaluation
 from lorekeep.plans import search_queries
@@ -199,13 +197,17 @@ def ing8(spark, d):
 
 @query(
     "ing9_quarantine",
-    """SELECT source AS source_id, CASE WHEN toxic = 1 THEN 'no text' ELSE 'too long' END AS failure, count(*) AS n
-       FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic = 1 OR length(text) > 5000 GROUP BY ALL""",
+    """SELECT source AS source_id, CASE WHEN quality = 0 THEN 'no id' ELSE 'no text' END AS failure, count(*) AS n
+       FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0 GROUP BY ALL""",
 )
 def ing9(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.when(F.col("toxic") == 1, "").otherwise(F.col("text")).alias("text"))
-    return ingestion.quarantine(rows, 5000)[1].groupBy("source_id", "failure").agg(F.count("*").alias("n"))
+    rows = docs.select(
+        F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), F.col("doc_id")).alias("id"),
+        F.col("source").alias("source_id"),
+        F.when(F.col("toxic") == 1, "").otherwise(F.col("text")).alias("text"),
+    )
+    return ingestion.quarantine(rows)[1].groupBy("source_id", "failure").agg(F.count("*").alias("n"))
 
 
 @query("ing_full_run")
@@ -223,23 +225,17 @@ MERGED = f"""WITH {VERSIONS} SELECT id, md5(body) AS body FROM nw UNION ALL SELE
 @query("snk1_upsert_vectors", MERGED)
 def snk1(spark, d):
     """Write the stored version, upsert the new one, read the table back."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     columns = ["site_id", "id", "source_id", "document_id", "body", "content_hash"]
     sinks.upsert_vectors(stored_chunks(spark, d).select(columns), f"{folder}/table", f"{folder}/staging-1")
     sinks.upsert_vectors(new_chunks(spark, d).select(columns), f"{folder}/table", f"{folder}/staging-2")
     return spark.read.parquet(f"{folder}/table").select("id", F.md5("body").alias("body"))
 
 
-def _scratch(spark) -> str:
-    """A fresh folder below the shared checkpoint folder, so that every executor can reach it."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{base}/lorekeep-{uuid4().hex}"
-
-
 @query("snk2_write_report", f"{search_queries.FULL} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, 'baseline' AS run FROM res")
 def snk2(spark, d):
     """Write an evaluation snapshot as JSON and read it back."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     report = evaluation.summarize(search_queries.results(spark, d), SETTINGS)
     sinks.write_report(report, folder, "baseline")
     return spark.read.json(folder).select("passed", "total", "run")

@@ -14,7 +14,8 @@ from lorekeep.plans.telemetry_queries import DAY, le_sql
 from lorekeep.settings import ChunkSettings
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
-from lorekeep.streaming.run import drain, latest, read_stream, scratch
+from lorekeep.session import scratch
+from lorekeep.streaming.run import drain, latest, newest, read_stream
 from lorekeep.streaming.stateful import confirm_stream, conversation_state, rate_limit_stream
 
 
@@ -57,7 +58,8 @@ def conversations(spark, d):
         F.lit("main").alias("site_id"), F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"),
         F.expr(f"{BASE} + make_dt_interval(0, conv_id, 10 * turn * turn)").alias("at"),
     )
-    return latest(drain(conversation_state(turns, 3, 3600), "update")).select("conversation_id", "seq", "position")
+    out = newest(drain(conversation_state(turns, 3, 3600), "update"), ["site_id", "conversation_id"])
+    return out.select("conversation_id", "seq", "position")
 
 
 @query("stream_co18_confirm", ORACLE["co18_confirm_proposals"])

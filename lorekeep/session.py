@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +29,27 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so lost executors do not replay the whole loop.
+def scratch(spark: SparkSession, name: str = "lorekeep") -> str:
+    """A fresh folder name below the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names; a temporary one is made only where none is set, as in tests.
+    Where none is set, a local session gets a temporary one, as in tests. On a cluster that is an error: a folder of one
+    machine cannot be read by the others.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, "") or context.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lorekeep-")
+        context.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder, so lost executors do not replay the whole loop."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, "") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder, so that every executor can reach it."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{base}/lorekeep-{uuid4().hex}"
+from lorekeep.session import scratch
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +41,16 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(T.StructType(stream.schema.fields + numbered)).parquet(f"{folder}/out")
 
 
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Update output: for each key the rows of the newest batch that wrote it."""
+    last = rows.groupBy(*keys).agg(F.max("batch_id").alias("_newest")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.col("batch_id") == F.col("_newest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(last, same, "left_semi").drop("batch_id")
+
+
 def latest(rows: DataFrame) -> DataFrame:
-    """The rows of the last batch, which is the whole result in complete mode."""
+    """Complete output: the rows of the last batch are the whole result."""
     last = rows.agg({"batch_id": "max"}).first()[0]
     return rows.filter(rows["batch_id"] == last).drop("batch_id")
