@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from lorekeep.session import CHECKPOINT_CONF, durable
+from lorekeep.session import scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space that ends a word: the space and U+0009 to U+000D. ``bytes.split()`` splits at exactly these.
@@ -25,17 +24,9 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def folder_for(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the session."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        durable(spark.range(0))  # sets the folder, or says that one is needed
-    base = spark.conf.get(CHECKPOINT_CONF, "") or spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and gives the planner sizes."""
-    path = folder_for(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,19 +36,21 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def hash_words(tokens: list[bytes], known: dict[bytes, int], limit: int = 250_000) -> np.ndarray:
-    """64-bit hashes of words. ``known`` remembers words between calls and is emptied when it holds ``limit``."""
-    from xxhash import xxh3_64_intdigest
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; emptied between texts when it holds ``limit`` words."""
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxh3_64_intdigest(word)
+        return value
 
-    try:
-        return np.array([known[t] for t in tokens], dtype=np.uint64)
-    except KeyError:
-        if len(known) > limit:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = xxh3_64_intdigest(t)
-        return np.array([known[t] for t in tokens], dtype=np.uint64)
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +74,8 @@ def runs_of(h: np.ndarray, size: int) -> np.ndarray:
         for x in h:
             out = mixed(out * MIX + x)
         return out
-    out = mixed(h[: len(h) - size + 1] + MIX)
+    out = h[: len(h) - size + 1].copy()
     for i in range(1, size):
-        out = mixed(out * MIX + h[i : len(h) - size + 1 + i])
-    return out
+        out *= MIX
+        out += h[i : len(h) - size + 1 + i]
+    return mixed(out)

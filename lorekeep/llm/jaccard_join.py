@@ -6,11 +6,12 @@ and y are linked if their overlap reaches T = ceil(3 (x + y) / 7), that is a sim
 1. A set that has a partner shares at least three quarters of itself with it, so of its smallest 40 percent of hashes a
    known number lie among those of the partner. Hashes are dealt in packed blocks to buckets, which report how many of
    each document's are held by others; documents below the number have no partner and are done. A hash travels once
-   per block of documents, however many of them hold it.
+   per block of documents, however many of them hold it. The same is then asked of all hashes of what is left.
 2. The others, the suspects, are listed under the rare quarter of their shingles (frequent ones last): partners meet in a
    list. Each suspect goes to the block of the smallest class it meets most often; a block is searched on its own.
-3. Lists that still hold several components show which pairs are open. All suspects in such lists are searched against
-   all others of their block, in chunks, so no pair is left out; large blocks are pairs of chunks in many tasks.
+3. Lists that still hold several components show which pairs are open. Such a list belongs to the block of its smallest
+   class; all suspects of a block are searched against all others of it, so no pair is left out; large blocks are pairs
+   of chunks in many tasks.
 
 The search within a block is DivideSkip: of the query's lists the longest are set aside, the short ones are merged and
 counted, and what comes close enough to T is looked up in the long ones by binary search. Only links between
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import hash_words, runs_of, stored, words
+from lorekeep.llm.common import WordHashes, runs_of, stored, words
 from lorekeep.llm.components import connected
 
 SHINGLE = 5
@@ -58,9 +59,9 @@ def reaches(overlap, x, y):
     return WHOLE * overlap >= NEAR * (x + y - overlap)
 
 
-def shingle_set(text: bytes, known: dict) -> np.ndarray:
+def shingle_set(text: bytes, known: WordHashes) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle, one without words has none."""
-    return np.unique(runs_of(hash_words(words(text), known), SHINGLE))
+    return _distinct(runs_of(known.of(words(text)), SHINGLE))
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -70,99 +71,135 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def document_sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, cls, n) for each row; cls is null for an empty set."""
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", known) for t in batch.column(1).cast(pa.binary())]
-            classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), classes, pa.array([len(s) for s in sets], pa.int64())], names=["doc", "cls", "n"])
 
-    return documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc long, cls long, n long")
+class Block:
+    """Documents of one map task whose hashes are sent to the buckets together."""
 
+    def __init__(self):
+        self.rows: list[tuple[int, int, int, int, int]] = []  # id, whether there is one, size, class, number among the senders
+        self.hashes: list[np.ndarray] = []
+        self.seen: set[int] = set()
+        self.held = 0
 
-def shared_counts(documents: DataFrame, total: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, n, shared): how many hashes of a document's longer prefix other documents hold in theirs."""
-    buckets = max(1, -(-total * 2 // 5 // BUCKET_HASHES))
+    def add(self, doc: int | None, s: np.ndarray, part: int, cls: int) -> None:
+        """A copy within the block, or a set without elements, sends nothing."""
+        number = -1
+        if len(s) and cls not in self.seen:
+            self.seen.add(cls)
+            number = len(self.hashes)
+            self.hashes.append(s[:part])
+            self.held += part
+        self.rows.append((doc or 0, doc is not None, len(s), cls, number))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        docs, prefixes, sizes, seen, held, block = [], [], [], set(), 0, 0
-        task = TaskContext.get().partitionId()
-
-        def flush() -> pa.RecordBatch:
-            at = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-            h = np.concatenate(prefixes)
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            alone = first & np.concatenate([first[1:], [True]])
-            local = np.bincount(at[~alone], minlength=len(docs))
-            # a hash of several documents here is sent once, marked as shared
-            sent, owner = h[first], np.where(alone[first], at[first], len(docs)).astype(np.uint16)
-            edges = np.searchsorted(sent, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
-            rows = list(zip(np.split(sent, edges), np.split(owner, edges)))
-            key = (task << 32) + block
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(np.arange(buckets), key % buckets).astype(np.int32)),
-                    pa.array(np.full(buckets + 1, key)),
-                    pa.array([*(a.tobytes() for a, _ in rows), np.array([docs, sizes, local], np.int64).tobytes()], pa.binary()),
-                    pa.array([*(b.tobytes() for _, b in rows), None], pa.binary()),
-                ],
-                names=["bucket", "block", "hashes", "owners"],
-            )
+    def full(self) -> bool:
+        return self.held >= BLOCK_HASHES or len(self.rows) >= 60_000
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                s = shingle_set(text.as_py() or b"", known)
-                n = len(s)
-                if doc is None or not n or (cls := class_of(s)) in seen:
-                    continue  # a copy within the block says nothing new
-                seen.add(cls)
-                docs.append(doc)
-                sizes.append(n)
-                prefixes.append(s[: n - least_overlap(n) + spare(n)])
-                held += len(prefixes[-1])
-                if held >= BLOCK_HASHES or len(docs) >= 60_000:
-                    yield flush()
-                    docs, prefixes, sizes, seen, held, block = [], [], [], set(), 0, block + 1
-        if docs:
-            yield flush()
+    def send(self, key: int, buckets: int) -> pa.RecordBatch:
+        """A row per bucket, and one with the documents that any bucket passes on."""
+        count = len(self.hashes)
+        at = np.repeat(np.arange(count), [len(p) for p in self.hashes])
+        h = np.concatenate([np.empty(0, np.uint64), *self.hashes])
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        first = np.append(True, h[1:] != h[:-1])[: len(h)]
+        alone = first & np.append(first[1:], True)[: len(h)]
+        local = np.bincount(at[~alone], minlength=count)
+        # a hash of several documents here is sent once, as nobody's: it is shared already
+        sent, owner = h[first], np.where(alone[first], at[first], count).astype(np.uint16)
+        edges = np.searchsorted(sent, np.array([i * (1 << 64) // buckets for i in range(1, buckets)], dtype=np.uint64))
+        doc, has, n, cls, number = np.array(self.rows, dtype=np.int64).reshape(-1, 5).T
+        told = np.stack([doc, has, n, cls, number, np.where(number >= 0, np.append(local, 0)[number], 0)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(np.arange(buckets), key % buckets).astype(np.int32)),
+                pa.array(np.full(buckets + 1, key)),
+                pa.array([*(a.tobytes() for a in np.split(sent, edges)), told.tobytes()], pa.binary()),
+                pa.array([*(b.tobytes() for b in np.split(owner, edges)), None], pa.binary()),
+            ],
+            names=["bucket", "block", "hashes", "owners"],
+        )
+
+
+def count_shared(dealt: DataFrame) -> DataFrame:
+    """Blocks in buckets -> (doc, cls, n, shared): how many of the hashes that a document sent others sent too.
+
+    Rows that sent nothing (copies within a block, empty sets) have a null ``shared``.
+    """
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        out = {"block": [], "at": [], "doc": [], "n": [], "shared": []}
-
-        def add(block: int, at: np.ndarray, doc: np.ndarray, n: np.ndarray, shared: np.ndarray) -> None:
-            for name, values in zip(out, (np.full(len(at), block), at, doc, n, shared)):
-                out[name].append(values.astype(np.int64))
-
+        out: list[list[np.ndarray]] = []
         parts = []
+        none = np.iinfo(np.int64).min
         for block, h, owner in zip(*(table.column(c).to_pylist() for c in ("block", "hashes", "owners"))):
             if owner is None:
-                doc, n, local = np.frombuffer(h, np.int64).reshape(3, -1)
-                add(block, np.arange(len(doc)), doc, n, local)
+                doc, has, n, cls, number, local = np.frombuffer(h, np.int64).reshape(6, -1)
+                at = np.where(number >= 0, number, -1 - np.arange(len(doc)))
+                out.append([np.full(len(doc), block), at, doc, has, n, cls, local])
             elif h:
                 parts.append((block, np.frombuffer(h, np.uint64), np.frombuffer(owner, np.uint16)))
         if parts:
             every = np.concatenate([h for _, h, _ in parts])
             every.sort()
-            twice = np.unique(every[1:][every[1:] == every[:-1]])
+            twice = _distinct(every[1:][every[1:] == every[:-1]])
             del every
             for block, h, owner in parts:
-                hit = owner[_among(h, twice)]
-                n = np.bincount(hit)
+                n = np.bincount(owner[_among(h, twice)])
                 at = np.flatnonzero(n)
-                zero = np.full(len(at), np.iinfo(np.int64).min)
-                add(block, at, zero, zero, n[at])
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for k, v in out.items()})
+                blank = np.full(len(at), none)
+                out.append([np.full(len(at), block), at, blank, blank, blank, blank, n[at]])
+        names = ["block", "at", "doc", "has", "n", "cls", "shared"]
+        columns = [np.concatenate([np.empty(0, np.int64), *c]).astype(np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 7
+        return pa.table(dict(zip(names, map(pa.array, columns))))
+
+    counted = dealt.groupBy("bucket").applyInArrow(count, "block long, at long, doc long, has long, n long, cls long, shared long")
+    # what a block sent as nobody's has counts, but no size
+    whole = counted.groupBy("block", "at").agg(*[F.max(c).alias(c) for c in ("doc", "has", "n", "cls")], F.sum("shared").alias("shared")).filter("n >= 0")
+    return whole.select(F.when(F.col("has") == 1, F.col("doc")).alias("doc"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"), "n", F.when(F.col("at") >= 0, F.col("shared")).alias("shared"))
 
-    dealt = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(deal, "bucket int, block long, hashes binary, owners binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count, "block long, at long, doc long, n long, shared long")
-    # the mark for "several documents of the block" is no document: it has a count but no size
-    return counted.groupBy("block", "at").agg(F.max("doc").alias("doc"), F.max("n").alias("n"), F.sum("shared").alias("shared")).filter("n > 0").select("doc", "n", "shared")
+
+def document_sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, cls, n, shared) for each row; ``shared`` counts within the longer prefixes. cls is null for an empty set."""
+    characters = documents.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    buckets = max(1, -(-characters // 15 // BUCKET_HASHES))  # a word takes about six characters, the prefix is 0.4
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, block, number = WordHashes(), Block(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                s = shingle_set(text.as_py() or b"", known)
+                block.add(doc, s, len(s) - least_overlap(len(s)) + spare(len(s)), class_of(s))
+                if block.full():
+                    yield block.send(number, buckets)
+                    block, number = Block(), number + 1
+        if block.rows:
+            yield block.send(number, buckets)
+
+    return count_shared(documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(deal, "bucket int, block long, hashes binary, owners binary"))
+
+
+def refine(sets: DataFrame) -> DataFrame:
+    """The packed sets three quarters of whose hashes occur in others of them."""
+    buckets = max(1, -(-sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET_HASHES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number = Block(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for cls, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(packed, np.uint64)
+                block.add(cls, s, len(s), cls)
+                if block.full():
+                    yield block.send(number, buckets)
+                    block, number = Block(), number + 1
+        if block.rows:
+            yield block.send(number, buckets)
+
+    counted = count_shared(sets.select("cls", "shingles").mapInArrow(deal, "bucket int, block long, hashes binary, owners binary"))
+    left = stored(counted.filter(F.col("shared") >= F.ceil(F.col("n") * NEAR / WHOLE)).select(F.col("cls").alias("_cls")), "refined")
+    return stored(sets.join(left, F.col("cls") == F.col("_cls"), "left_semi"), "suspects")
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -179,7 +216,7 @@ def suspect_sets(documents: DataFrame, suspects: DataFrame, id_col: str, text_co
     found = documents.select(F.col(id_col).cast("long").alias("_doc"), text_col).join(F.broadcast(wanted) if few else wanted, F.col("_doc") == F.col("_rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = WordHashes()
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"", known) for t in batch.column(2).cast(pa.binary())]
             right = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist())) if class_of(s) == c]
@@ -329,14 +366,14 @@ def star_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def open_blocks(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The suspects of lists that hold several components, in blocks of components that meet, as pairs of chunks."""
+    """The suspects of lists that hold several components, in blocks by the smallest class of a list, as pairs of chunks.
+
+    Two suspects that share such a list are in the block of its smallest class, so every open pair is in a block.
+    """
     marked = stored(lists.join(labels, "cls").select("h", "cls", "component"), "marked")
-    mixed_lists = stored(marked.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h", "low"), "open")
-    met = stored(marked.join(mixed_lists, "h").select("cls", "component", "low").distinct(), "met")
-    blocks = stored(connected(met.select(F.col("component").alias("a"), F.col("low").alias("b"))), "open-blocks")
-    members = met.select("cls", "component").distinct().join(blocks.select(F.col("node").alias("component"), F.col("component").alias("block")), "component")
-    members = stored(members.join(sets.select("cls", "n"), "cls"), "open-members")
-    weights = stored(members.groupBy("block").agg(F.ceil(2 * F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks")), "open-weights")
+    several = marked.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("block")).filter("low < high")
+    members = stored(marked.join(stored(several.select("h", "block"), "open"), "h").select("block", "cls", "component").distinct(), "open-members")
+    weights = stored(members.join(sets.select("cls", "n"), "cls").groupBy("block").agg(F.ceil(2 * F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks")), "open-weights")
     own = F.when(F.col("chunks") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("chunks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("chunks") <= 2, F.lit(0)).otherwise(F.col("chunks") - 1)))
     dealt = members.join(weights, "block").withColumn("own", own).withColumn("other", other)
@@ -353,13 +390,10 @@ def join_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     sets = stored(document_sets(documents, id_col, text_col), "sets")
     classes = stored(sets.filter("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n")), "classes")
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = shared_counts(documents, total, id_col, text_col)
-    partner = F.ceil(F.col("n") * NEAR / WHOLE)
-    suspects = shared.filter(F.col("shared") >= F.ceil(partner * 15 / 100)).select(F.col("doc").alias("_doc"), F.col("n").alias("_n"))
-    of_rows = sets.join(suspects, (F.col("doc") == F.col("_doc")) & (F.col("n") == F.col("_n"))).select("cls").distinct()
-    wanted = stored(classes.join(of_rows, "cls").select("cls", "rep"), "wanted")
-    packed = suspect_sets(documents, wanted, id_col, text_col)
+    # a partner shares at least the spare part of the shortest set that can be one
+    open_classes = sets.filter(F.col("shared") >= F.ceil(F.ceil(F.col("n") * NEAR / WHOLE) * 15 / 100)).select("cls").distinct()
+    wanted = stored(classes.join(open_classes, "cls").select("cls", "rep"), "wanted")
+    packed = refine(suspect_sets(documents, wanted, id_col, text_col))
     frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(packed))
     lists = stored(list_under(packed, frequent), "lists")
     first = stored(search_blocks(star_blocks(lists, packed), packed), "first-links")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MIX, hash_words, mixed, stored, words
+from lorekeep.llm.common import MIX, WordHashes, mixed, stored, words
 
 #: Ratio of one level's least count to the next.
 BASE = 1.5
@@ -74,11 +74,11 @@ def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return context_key(context) << PAIR_BITS | mixed(context * MIX + word) >> np.uint64(64) - PAIR_BITS
 
 
-def sequences(texts: Iterable[bytes], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequences(texts: Iterable[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts, tokens, tokens per text) of the texts one after the other, each with its end."""
     contexts, tokens, sizes = [], [], []
     for text in texts:
-        h = hash_words(words(text), known)
+        h = known.of(words(text))
         contexts += [[START], h]
         tokens += [h, [END]]
         sizes.append(len(h) + 1)
@@ -157,7 +157,7 @@ def count_ngrams(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind: 1 word, 2 bigram; h; c), summed per task before it is sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = WordHashes()
         held: list = []
         size = 0
 
@@ -288,7 +288,7 @@ def score_documents(documents: DataFrame, model: LanguageModel, id_col: str = "d
 
 def _add_levels(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = WordHashes()
         for batch in batches:
             out = []
             for text, old in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
@@ -318,7 +318,7 @@ TOGETHER = 500
 
 def _score(sent, hot_sent, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = WordHashes()
         keys, counts = hot_sent.value
         logs = np.log10((counts + 1) / float(n + v + 1))
         for whole in batches:
