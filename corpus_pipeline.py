@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import decontamination, jaccard_join, packing, quality, spans
-from lorekeep.llm.common import stored
+from lorekeep.llm.common import fresh, stored
 from lorekeep.session import ship
 
 #: SQL cannot express the classifier, the fingerprints or the tokenizer; tests compare each stage with brute force.
@@ -42,11 +42,12 @@ def keep_good(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataF
 def keep_one_of_each(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Rows are numbered by their place in the input files, so that repeated and null ids are told apart."""
     docs = _documents(ship(spark), docs, sf_dir)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = jaccard_join.join_near(numbered, id_col="_row")
-    copies = stored(groups.filter(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("_copy")), "near-copies")
+    row, copy = fresh(docs, "_row", "_copy")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = jaccard_join.join_near(numbered, id_col=row)
+    copies = stored(groups.filter(F.col(row) != F.col("component_id")).select(F.col(row).alias(copy)), "near-copies")
     few = copies.count() * 16 <= BROADCAST_BYTES
-    return numbered.join(F.broadcast(copies) if few else copies, F.col("_row") == F.col("_copy"), "left_anti").select(*docs.columns)
+    return numbered.join(F.broadcast(copies) if few else copies, F.col(row) == F.col(copy), "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:

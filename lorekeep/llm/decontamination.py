@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stored
+from lorekeep.llm.common import fresh, stored
 
 SHINGLE = 5
 NEAR, WHOLE = 75, 100
@@ -150,6 +150,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the documents that repeat no benchmark item; rows as ``find_leaks`` says."""
-    leaks = stored(find_leaks(documents, benchmark, id_col, text_col).select(F.col(id_col).alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
+    leak_id, leak_hash = fresh(documents, "_leak_id", "_leak_hash")
+    leaks = stored(find_leaks(documents, benchmark, id_col, text_col).select(F.col(id_col).alias(leak_id), F.col("text_hash").alias(leak_hash)).distinct(), "leaks")
     few = maybe_broadcast(leaks, leaks.count(), 32)
-    return documents.join(few, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    return documents.join(few, F.col(id_col).eqNullSafe(F.col(leak_id)) & (F.xxhash64(text_col) == F.col(leak_hash)), "left_anti")

@@ -87,20 +87,17 @@ def sequences(texts: Iterable[bytes], known: WordHashes) -> tuple[np.ndarray, np
     return np.concatenate(contexts).astype(np.uint64), np.concatenate(tokens).astype(np.uint64), np.array(sizes)
 
 
-def _positions(x: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    return (x >> np.uint64(32)) % np.uint64(shards), x
+def _bits(x: np.ndarray, level: int, i: int, shard_bits: int) -> np.ndarray:
+    """Place of hash function ``i`` of (entry, level) in a shard of a power of two of bits."""
+    return mixed(x + np.array([level * HASHES + i], dtype=np.uint64) * MIX) & np.uint64(shard_bits - 1)
 
 
-def _bits(x: np.ndarray, level: int | np.ndarray, i: int) -> np.ndarray:
-    return mixed(x + (np.asarray(level, dtype=np.uint64) * np.uint64(HASHES) + np.uint64(i)) * MIX) & np.uint64(SHARD_BITS - 1)
-
-
-def fill_shard(entries: np.ndarray, levels: np.ndarray) -> bytes:
-    shard = np.zeros(SHARD_BITS, dtype=bool)
+def fill_shard(entries: np.ndarray, levels: np.ndarray, shard_bits: int) -> bytes:
+    shard = np.zeros(shard_bits, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         x = entries[levels >= level]
         for i in range(HASHES):
-            shard[_bits(x, level, i).astype(np.int64)] = True
+            shard[_bits(x, level, i, shard_bits).astype(np.int64)] = True
     return np.packbits(shard, bitorder="little").tobytes()
 
 
@@ -123,7 +120,7 @@ class FilterPart:
         level = 1
         while len(alive):
             for i in range(HASHES):
-                bit = _bits(unique[alive], level, i)
+                bit = _bits(unique[alive], level, i, 8 * self.data.shape[1])
                 byte = flat[(base[alive] + (bit >> np.uint64(3))).astype(np.int64)]
                 alive = alive[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             out[alive] = level
@@ -142,12 +139,16 @@ class LanguageModel:
     unigrams: DataFrame
     filter: DataFrame
     shards: int
+    shard_bits: int
+
+    def shards_at_once(self, filter_bytes: int) -> int:
+        return max(1, filter_bytes * 8 // self.shard_bits)
 
     def parts(self, filter_bytes: int = FILTER_BYTES) -> Iterator[FilterPart]:
-        each = max(1, filter_bytes * 8 // SHARD_BITS)
+        each = self.shards_at_once(filter_bytes)
         for first in range(0, self.shards, each):
             rows = self.filter.filter(F.col("shard").between(first, first + each - 1)).toArrow()
-            data = np.zeros((min(each, self.shards - first), SHARD_BITS // 8), dtype=np.uint8)
+            data = np.zeros((min(each, self.shards - first), self.shard_bits // 8), dtype=np.uint8)
             for shard, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 data[shard - first] = np.frombuffer(bits, np.uint8)
             yield FilterPart(self.shards, first, data)
@@ -183,7 +184,7 @@ def count_ngrams(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select(text_col).mapInArrow(run, "kind tinyint, h long, c int")
 
 
-def train(documents: DataFrame, text_col: str = "text") -> LanguageModel:
+def train(documents: DataFrame, text_col: str = "text", shard_bits: int = SHARD_BITS) -> LanguageModel:
     """Count the words and bigrams of all whole texts (null: empty) and build the filter. Other columns are not read."""
     counted = count_ngrams(documents, text_col).groupBy("kind", "h").agg(F.sum("c").alias("c"))
     counts = stored(counted.filter("kind = 1 OR c > 1"), "lm-counts")
@@ -199,7 +200,7 @@ def train(documents: DataFrame, text_col: str = "text") -> LanguageModel:
         items = tagged if items is None else items.union(tagged)
     items = stored(items, "lm-items")
     events = items.agg(F.coalesce(F.sum(1 + F.floor(F.log("c") / log(BASE))), F.lit(0))).first()[0]
-    shards = max(1, -(-int(events) * ITEM_BITS // SHARD_BITS))
+    shards = max(1, -(-int(events) * ITEM_BITS // shard_bits))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +210,12 @@ def train(documents: DataFrame, text_col: str = "text") -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(x.view(np.int64)), pa.array(level_of(c).astype(np.int8))], names=["shard", "x", "level"])
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        bits = fill_shard(np.asarray(table.column("x")).view(np.uint64), np.asarray(table.column("level")))
+        bits = fill_shard(np.asarray(table.column("x")).view(np.uint64), np.asarray(table.column("level")), shard_bits)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     # a group is one shard: its items are bounded by its bits, whatever their counts are
     shard_rows = items.mapInArrow(place, "shard int, x long, level tinyint").groupBy("shard").applyInArrow(build, "shard int, bits binary")
-    return LanguageModel(whole["n"], whole["v"], unigrams, stored(shard_rows, "lm-filter"), shards)
+    return LanguageModel(whole["n"], whole["v"], unigrams, stored(shard_rows, "lm-filter"), shards, shard_bits)
 
 
 def find_levels(part: FilterPart, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -261,7 +262,7 @@ def score_documents(documents: DataFrame, model: LanguageModel, id_col: str = "d
     order = np.argsort(keys)
     hot_sent = context.broadcast((keys[order], np.asarray(hot.column("c").combine_chunks() if hot.num_rows else pa.array([], pa.int64()))[order]))
     n, v = model.tokens, model.types
-    parts = list(range(0, model.shards, max(1, filter_bytes * 8 // SHARD_BITS)))
+    parts = list(range(0, model.shards, model.shards_at_once(filter_bytes)))
     for number, part in enumerate(model.parts(filter_bytes)):
         sent = context.broadcast(part)
         if number + 1 < len(parts):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stored
+from lorekeep.llm.common import fresh, stored
 from lorekeep.llm.toxicity import fit_logistic
 
 #: Labelled documents that the classifier is fitted on at most, in the order of a hash of the id.
@@ -81,9 +81,11 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 
     labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     got = labelled.select("good", "text").mapInArrow(run, "good int, x array<double>").limit(rows).toPandas()
-    order = np.lexsort(np.array(got["x"].tolist()).reshape(len(got), -1).T) if len(got) else []
-    got = got.iloc[order]  # the order of rows in a sum does not depend on tasks
-    return fit(np.array(got["x"].tolist()).reshape(len(got), -1), got["good"].to_numpy())
+    if not len(got):
+        return fit(np.zeros((0, len(features(b"")))), np.zeros(0))
+    x = np.array(got["x"].tolist())
+    order = np.lexsort(x.T)  # the order of rows in a sum does not depend on tasks
+    return fit(x[order], got["good"].to_numpy()[order])
 
 
 def classify(documents: DataFrame, model: QualityModel, text_col: str = "text") -> Column:
@@ -148,14 +150,15 @@ def judge(documents: DataFrame, labels: DataFrame, host: str = "source", path: s
     new = ["doc_rate", "site_rate", "quality", "keep"]
     kept = documents.drop(*new)
     scored = kept.withColumn("doc_rate", classify(kept, model))
-    known = known_labels(labels).withColumnRenamed("doc_id", "_doc_id")
+    label_id, site, section, overall = fresh(scored, "_label_id", "_site", "_section", "_overall")
+    known = known_labels(labels).select(F.col("doc_id").alias(label_id), "good")
     evidence = (
-        scored.select(F.col("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), "doc_rate")
-        .join(known, F.col("doc_id") == F.col("_doc_id"), "left")
+        scored.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "doc_rate")
+        .join(known, F.col("doc_id") == F.col(label_id), "left")
         .select("host", "path", F.coalesce(F.col("good").cast("double"), "doc_rate").alias("good"))
     )
-    rates = site_rates(evidence).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("global_rate").alias("_global"), F.col("path_rate").alias("site_rate"))
-    joined = scored.join(rates, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
-    odds = logit(F.col("doc_rate")) + logit(F.col("site_rate")) - logit(F.col("_global"))
+    rates = site_rates(evidence).select(F.col("host").alias(site), F.col("path").alias(section), F.col("global_rate").alias(overall), F.col("path_rate").alias("site_rate"))
+    joined = scored.join(rates, F.col(host).eqNullSafe(F.col(site)) & F.col(path).eqNullSafe(F.col(section)), "left")
+    odds = logit(F.col("doc_rate")) + logit(F.col("site_rate")) - logit(F.col(overall))
     quality = 1 / (1 + F.exp(-odds))
-    return joined.withColumn("quality", quality).withColumn("keep", F.col("quality") >= threshold).drop("_host", "_path", "_global")
+    return joined.withColumn("quality", quality).withColumn("keep", F.col("quality") >= threshold).drop(site, section, overall)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MIX, mixed, stored
+from lorekeep.llm.common import MIX, fresh, mixed, stored
 
 RUN = 3
 #: Runs of fewer words are too common to tell anything; a run goes on until it has so many, unless the text ends.
@@ -55,7 +55,7 @@ def sentences(text: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarra
             add(start, end, tokens)
         else:
             begun, held = start, []
-            for m, token in zip(WORD.finditer(text, start + _lead(text, start), end), tokens):
+            for m, token in zip(WORD.finditer(text, start, end), tokens):
                 held.append(token)
                 if xxh3_64_intdigest(token, 7) % CLAUSE == 0:
                     add(begun, m.end(), held)
@@ -66,10 +66,6 @@ def sentences(text: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarra
     return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
 
 
-def _lead(text: bytes, start: int) -> int:
-    return len(text[start : start + 64]) - len(text[start : start + 64].lstrip()) if text[start : start + 1].isspace() else 0
-
-
 def runs(hashes: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, check, start, end) of each run.
 
@@ -120,7 +116,8 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     """
     columns = [c for c in documents.columns if c not in ("n_sentences", "n_removed")]
     last = (1 << 63) - 1
-    rows = documents.select(*columns).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(last))).withColumn("_text_hash", F.xxhash64(text_col))
+    own_id, own_hash, own_numbers = fresh(documents, "_id", "_text_hash", "_numbers")
+    rows = documents.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias(own_id), F.xxhash64(text_col).alias(own_hash))
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,13 +138,13 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
                 names=["h", "c", "number", "_id", "_text_hash"],
             )
 
-    spans = rows.select("_id", "_text_hash", text_col).mapInArrow(hash_runs, "h long, c int, number int, _id long, _text_hash long")
+    spans = rows.select(own_id, own_hash, text_col).mapInArrow(hash_runs, "h long, c int, number int, _id long, _text_hash long")
     shared = stored(
         spans.groupBy("h", "c").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last").select("h", "c", "first"), "shared-runs"
     )
     later = spans.join(shared, ["h", "c"]).filter(F.col("_id") > F.col("first"))
-    numbers = later.groupBy("_id", "_text_hash").agg(F.collect_set("number").alias("_numbers"))
-    joined = rows.join(numbers, ["_id", "_text_hash"], "left").select(*columns, "_numbers")
+    numbers = later.groupBy(F.col("_id").alias(own_id), F.col("_text_hash").alias(own_hash)).agg(F.collect_set("number").alias(own_numbers))
+    joined = rows.join(numbers, [own_id, own_hash], "left").select(*columns, own_numbers)
     text_at = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
