@@ -114,9 +114,9 @@ def _mask_json(values: pd.Series) -> pd.Series:
 
 
 def redact_keys(col) -> Column:
-    """JSON text with secret fields masked at any depth; text that is not JSON gives NULL."""
+    """JSON text with secret fields masked at any depth; text that is not JSON is a plain value and passes through."""
     col = F.col(col) if isinstance(col, str) else col
-    return _mask_json(col)
+    return F.coalesce(_mask_json(col), col)
 
 
 def redact_flat(col: Column) -> Column:

@@ -78,7 +78,8 @@ def _finished_path(encoded: Column) -> Column:
             .otherwise(F.array_append(kept, part))
         )
 
-    parts = F.slice(F.split(encoded, "/"), 2, 1_000_000)
+    pieces = F.split(encoded, "/")
+    parts = F.slice(pieces, F.lit(2), F.size(pieces))
     resolved = F.concat(
         F.lit("/"), F.array_join(F.aggregate(parts, F.lit([]).cast("array<string>"), step), "/")
     )

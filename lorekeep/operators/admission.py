@@ -1,22 +1,18 @@
-"""Replay of admission rules over a request log: token buckets per client, and concurrency limits.
+"""Admission over a request log: token buckets per client, and requests in flight.
 
-Both rules depend on order, yet neither is replayed in one long scan. Time is cut into blocks. What a block does to the
+Both depend on order, yet neither is replayed in one long scan. Time is cut into blocks. What a block does to the
 state it starts from is worked out in parallel, the small table of those effects is chained, and each block is then
 replayed from its true start. One client with a third of all requests is therefore spread over all of its blocks.
 """
 
 from __future__ import annotations
 
-import heapq
 from typing import Iterable, Iterator
 
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.scale import running_sum, scan_groups
-from lorekeep.session import durable
 
 HOUR_MS = 3_600_000
 
@@ -120,114 +116,3 @@ def in_flight(intervals: DataFrame, bucket: Column, keys: list[str] | None = Non
 def high_water(intervals: DataFrame, bucket: Column, keys: list[str] | None = None) -> DataFrame:
     """Most requests in flight at once, per key or overall."""
     return in_flight(intervals, bucket, keys).groupBy(*(keys or [])).agg(F.max("running").alias("high_water"))
-
-
-def _with_idle_cuts(rows: DataFrame) -> DataFrame:
-    """Split each block at its first request that starts when all earlier ones have ended; ``block`` stays ordered."""
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("block").agg(F.max("e").alias("_e")).select("block", F.max("_e").over(earlier).alias("_before"))
-    inside = Window.partitionBy("block").orderBy("s", "request_id")
-    reach = F.greatest("_before", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    idle = F.coalesce(reach <= F.col("s"), F.lit(True)).cast("int")
-    return (
-        rows.join(before, "block")
-        .withColumn("_idle", idle)
-        .withColumn("_part", F.max("_idle").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("request_id", "client", "s", "e", (F.col("block") * 2 + F.col("_part")).alias("block"))
-    )
-
-
-def concurrency(intervals: DataFrame, per_client: int, total: int, block_ms: int = HOUR_MS) -> DataFrame:
-    """intervals(request_id, client, started, ended) -> verdict: admitted, client or service (the limit that refused).
-
-    The client's limit is checked first, then the global one; a refused request holds nothing. A block of time is cut
-    once more at its first idle instant, where nothing offered is still open, so what follows depends on nothing before.
-    The part ahead of that instant starts from the admitted requests still open, at most ``total``. All parts run at
-    once from an empty start; those whose predecessor ended differently run again until nothing changes, which is then
-    the sequential answer. The number of rounds is the longest run of blocks without an idle instant.
-    """
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    rows = durable(
-        _with_idle_cuts(
-            intervals.select("request_id", "client", ms("started").alias("s"), ms("ended").alias("e")).withColumn(
-                "block", F.floor(F.col("s") / block_ms).cast("long")
-            )
-        )
-    )
-    client = rows.schema["client"].dataType.simpleString()
-    request = rows.schema["request_id"].dataType.simpleString()
-    held = f"array<struct<client:{client},e:bigint>>"
-
-    def run(frame: pd.DataFrame, carried) -> tuple[list, list]:
-        ends: list = []
-        count: dict = {}
-        tie = 0
-        for one in carried:
-            heapq.heappush(ends, (int(one["e"]), tie, one["client"]))
-            count[one["client"]] = count.get(one["client"], 0) + 1
-            tie += 1
-        verdicts = []
-        for request_id, who, s, e in frame.sort_values(["s", "request_id"])[["request_id", "client", "s", "e"]].itertuples(index=False):
-            while ends and ends[0][0] <= s:
-                _, _, gone = heapq.heappop(ends)
-                count[gone] -= 1
-            if count.get(who, 0) >= per_client:
-                verdicts.append((request_id, who, "client"))
-            elif len(ends) >= total:
-                verdicts.append((request_id, who, "service"))
-            else:
-                verdicts.append((request_id, who, "admitted"))
-                heapq.heappush(ends, (int(e), tie, who))
-                count[who] = count.get(who, 0) + 1
-                tie += 1
-        return verdicts, [{"client": w, "e": e} for e, _, w in sorted(ends, key=lambda x: (x[0], str(x[2])))]
-
-    def start_of(state: pd.DataFrame) -> list:
-        return list(state["carried"].iloc[0]) if len(state) else []
-
-    def carry(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame({"block": pd.Series(dtype="int64"), "open": pd.Series(dtype=object)})
-        _, left = run(frame, start_of(state))
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "open": pd.Series([left], dtype=object)})
-
-    def decide(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        verdicts, _ = run(frame, start_of(state))
-        return pd.DataFrame(verdicts, columns=["request_id", "client", "verdict"])
-
-    blocks = rows.groupBy("block").agg(F.min("s").alias("first"))
-    order = durable(blocks.select("block", "first", F.lead("block").over(Window.orderBy("block")).alias("next")))
-    start = order.select("block", F.expr(f"cast(array() as {held})").alias("carried"))
-    outcome = None
-    dirty = start.select("block")
-    while True:
-        # renaming gives every frame columns of its own, as all of them descend from the same rows
-        todo = rows.join(dirty.toDF("block"), "block", "left_semi").select(*rows.columns).toDF(*rows.columns)
-        given = start.join(dirty.toDF("block"), "block", "left_semi").toDF("block", "carried")
-        fresh = todo.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(carry, f"block long, open {held}")
-        if outcome is None:
-            outcome = durable(fresh)
-        else:
-            outcome = durable(outcome.join(fresh.select("block"), "block", "left_anti").unionByName(fresh))
-        # hand what is still open to the next block that has requests, leaving out what has ended by then
-        handed = (
-            outcome.join(order.select("block", "next"), "block")
-            .filter(F.col("next").isNotNull())
-            .select(F.col("next").alias("block"), "open")
-            .join(order.select("block", "first"), "block")
-            .select("block", F.filter("open", lambda o: o["e"] > F.col("first")).alias("_new"))
-        )
-        compared = durable(
-            start.join(handed, "block", "left").select(
-                "block",
-                F.coalesce("_new", F.expr(f"cast(array() as {held})")).alias("carried"),
-                (~F.coalesce("_new", F.expr(f"cast(array() as {held})")).eqNullSafe(F.col("carried"))).alias("moved"),
-            )
-        )
-        start = compared.select("block", "carried")
-        dirty = compared.filter("moved").select("block")
-        if dirty.isEmpty():
-            break
-    return rows.toDF(*rows.columns).groupBy("block").cogroup(start.toDF("block", "carried").groupBy("block")).applyInPandas(
-        decide, f"request_id {request}, client {client}, verdict string"
-    )

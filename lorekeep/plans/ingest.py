@@ -1,4 +1,4 @@
-"""Documents -> chunks -> changed points -> vector table, with orphans removed."""
+"""Documents -> chunks -> changed points -> one more version of the vector table, orphans and pruned chunks removed."""
 
 from __future__ import annotations
 
@@ -6,46 +6,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.chunking import chunk_documents
-from lorekeep.operators.ingestion import diff_chunks, embed_chunks, orphan_chunks, to_points
+from lorekeep.operators.ingestion import diff_chunks, document_failures, embed_chunks, ingest_counts, orphan_chunks, prune_plan, quarantine, run_report, to_points
 from lorekeep.session import durable
 from lorekeep.settings import ChunkSettings
+from lorekeep.sources.sinks import has_versions, newest_rows, read_current, write_version
 
 CARRIED = ("site_id", "source_id", "content_type", "url")
+KNOWN = ["source_id", "document_id", "content_hash"]
+EMPTY = "site_id string, id string, source_id string, document_id string, content_hash string"
 
 
-def stored_points(spark, table: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+def newest_documents(documents: DataFrame, version: str | None) -> DataFrame:
+    """One row per (site, document), the newest by ``version`` where there is one. Rows without an id stay, to be counted."""
+    if version is None:
+        return documents
+    named = newest_rows(documents.filter("id IS NOT NULL"), ["site_id", "id"], version).select(*documents.columns)
+    return named.union(documents.filter("id IS NULL"))
 
 
-def changed_points(documents: DataFrame, stored: DataFrame | None, settings: ChunkSettings, dims: int, embed=None) -> tuple[DataFrame, DataFrame | None]:
-    """(points to write, stored rows to delete) for one batch of documents."""
+def changes(documents: DataFrame, known: DataFrame, settings: ChunkSettings, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunks with ``changed``, orphans) of a batch. A document that now has no text is seen, and loses all its chunks."""
     chunks = durable(chunk_documents(documents, settings, CARRIED))
-    if stored is None:
-        changed, orphans = chunks, None
-    else:
-        changed = diff_chunks(chunks, stored).filter("changed").drop("changed")
-        seen = documents.select("site_id", F.col("id").alias("document_id"))
-        orphans = orphan_chunks(chunks, stored, seen)
-    return to_points(embed_chunks(changed, embed, dims), F.current_timestamp()), orphans
+    seen = documents.select("site_id", F.col("id").alias("document_id"))
+    return diff_chunks(chunks, known, force), orphan_chunks(chunks, known, seen)
+
 
+def ingest_batch(documents: DataFrame, table: str, version: int, settings: ChunkSettings, dims: int, embed=None, newest: str | None = None) -> None:
+    """Write one batch as version ``version``; a replay sees the versions before it and writes the same again.
 
-def ingest_batch(documents: DataFrame, table: str, staging: str, settings: ChunkSettings, dims: int, embed=None) -> None:
-    """Write one batch. Only the tenants of the batch are rewritten, by way of ``staging``."""
+    Documents without an id are left out, as nothing could be stored under them; ``run_ingestion`` counts them. Each changed
+    chunk is embedded once.
+    """
     spark = documents.sparkSession
-    stored = stored_points(spark, table)
-    points, orphans = changed_points(documents, stored, settings, dims, embed)
-    if stored is None:
-        merged = points
+    usable = durable(newest_documents(documents, newest).filter("id IS NOT NULL"))
+    if has_versions(spark, table):
+        batch = usable.select("site_id", F.col("id").alias("document_id")).distinct()
+        known = durable(read_current(spark, table, KNOWN, before=version).join(batch, ["site_id", "document_id"], "left_semi"))
     else:
-        sites = documents.select("site_id").distinct()
-        replaced = points.select("site_id", "id").unionByName(orphans.select("site_id", "id"))
-        kept = stored.join(sites, "site_id", "left_semi").join(replaced, ["site_id", "id"], "left_anti")
-        merged = kept.unionByName(points)
-    merged.write.mode("overwrite").partitionBy("site_id").parquet(staging)
-    ready = spark.read.schema(merged.schema).parquet(staging)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(table)
+        known = spark.createDataFrame([], EMPTY)
+    diffed, orphans = changes(usable, known, settings)
+    points = to_points(embed_chunks(diffed.filter("changed").drop("changed"), embed, dims), F.current_timestamp())
+    write_version(points, table, version, orphans)
+
+
+def run_ingestion(documents: DataFrame, table: str, version: int, settings: ChunkSettings = ChunkSettings(), dims: int = 256, embed=None,
+                  crawl_failures: DataFrame | None = None, newest: str | None = None, prune: bool = True, force: bool = False) -> DataFrame:
+    """A full run over all sources: quarantine, diff, embed once, upsert, delete orphans, guarded prune, report.
+
+    ``crawl_failures``: site_id, source_id, failed. Without ``prune`` nothing unseen is removed. An empty text is not a
+    failure of the run's documents: such a document is seen and loses its chunks. Returns the report of ``run_report``.
+    """
+    spark = documents.sparkSession
+    latest = durable(newest_documents(documents, newest))
+    usable = latest.filter("id IS NOT NULL")
+    failures = document_failures(quarantine(latest)[1].filter("failure = 'no id'").select("site_id", "source_id"), crawl_failures)
+    known = durable(read_current(spark, table, KNOWN, before=version)) if has_versions(spark, table) else spark.createDataFrame([], EMPTY)
+    diffed, orphans = changes(usable, known, settings, force)
+    diffed, orphans = durable(diffed), durable(orphans)
+    seen = usable.select("site_id", "source_id", F.col("id").alias("document_id"))
+    decision, removed = prune_plan(known, seen, failures)
+    decision, removed = durable(decision), durable(removed)
+    if not prune:
+        decision = decision.withColumns({"pruned": F.lit(False), "documents_removed": F.lit(0).cast("long"), "chunks_removed": F.lit(0).cast("long")})
+        removed = removed.limit(0)
+    points = to_points(embed_chunks(diffed.filter("changed").drop("changed"), embed, dims), F.current_timestamp())
+    write_version(points, table, version, orphans.select("site_id", "id").union(removed.select("site_id", "id")))
+    counted = usable.groupBy("source_id").agg(F.count_distinct("site_id", "id").alias("documents"))
+    return run_report(counted, ingest_counts(diffed, orphans, ["source_id"]), decision)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import ingestion
 from lorekeep.plans.catalog import query, table
-from lorekeep.plans.page_queries import made_documents
+from lorekeep.plans.ingest import run_ingestion
 from lorekeep.plans.search_queries import SETTINGS
-from lorekeep.operators.chunking import chunk_documents
 from lorekeep.session import scratch
+from lorekeep.settings import ChunkSettings
 from lorekeep.sources import sinks
 from lorekeep.operators import evaluation
 from lorekeep.plans import search_queries
@@ -210,13 +210,45 @@ def ing9(spark, d):
     return ingestion.quarantine(rows)[1].groupBy("source_id", "failure").agg(F.count("*").alias("n"))
 
 
-@query("ing_full_run")
+WHOLE = ChunkSettings(max_chunk_characters=10_000_000, min_chunk_characters=0, overlap_characters=0)
+
+
+def whole_documents(spark, d) -> DataFrame:
+    """Documents that make one chunk each: no headings, no blank lines, and a limit beyond all of them."""
+    return table(spark, d, "documents").select(
+        F.lit("main").alias("site_id"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("source_id"), F.lit("page").alias("content_type"),
+        F.lit("t").alias("title"), F.concat(F.lit("v1 "), F.md5("text")).alias("text"), F.lit(None).cast("string").alias("url"), "lang", F.lit(1).alias("edition"),
+    )
+
+
+def second_edition(docs: DataFrame) -> DataFrame:
+    """English texts as before, French ones changed, Spanish ones emptied, src5 without its German ones, src6 nearly gone."""
+    gone = ((F.col("source_id") == "src5") & (F.col("lang") == "de")) | ((F.col("source_id") == "src6") & (F.col("lang") != "fr"))
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" more"))).when(F.col("lang") == "es", "").otherwise(F.col("text"))
+    return docs.filter(~gone).withColumn("text", text).withColumn("edition", F.lit(2))
+
+
+SURVIVORS = """SELECT 'd' || doc_id || '#0' AS id, source AS source_id, 'v1 ' || md5(text) || CASE lang WHEN 'fr' THEN ' more' ELSE '' END AS body FROM documents
+  WHERE CASE WHEN source = 'src6' AND lang <> 'fr' THEN {kept} WHEN source = 'src5' AND lang = 'de' THEN {pruned} ELSE lang <> 'es' END"""
+
+
+@query("ing_full_run", SURVIVORS.format(kept="(SELECT avg((lang = 'fr')::INT) < 0.5 FROM documents WHERE source = 'src6')",
+                                        pruned="(SELECT avg((lang <> 'de')::INT) < 0.5 FROM documents WHERE source = 'src5')"))
 def full_run(spark, d):
-    """Documents to points: normalise, chunk, hash, embed. What a first ingestion writes."""
-    docs = made_documents(spark, d)
-    cut = chunk_documents(docs, keep=("site_id", "source_id", "content_type", "url"))
-    made = ingestion.to_points(ingestion.embed_chunks(cut), F.current_timestamp())
-    return made.groupBy("source_id").agg(F.count("*").alias("points"), F.sum(F.size("embedding")).alias("numbers"))
+    """Two runs over two editions of the documents; what the table then holds."""
+    folder, docs = scratch(spark), whole_documents(spark, d)
+    run_ingestion(docs, f"{folder}/table", 0, WHOLE, 16)
+    run_ingestion(second_edition(docs), f"{folder}/table", 1, WHOLE, 16)
+    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
+
+
+@query("ing_run_without_prune", SURVIVORS.format(kept="true", pruned="true"))
+def run_without_prune(spark, d):
+    """The same runs with pruning switched off: what was not seen stays."""
+    folder, docs = scratch(spark), whole_documents(spark, d)
+    run_ingestion(docs, f"{folder}/table", 0, WHOLE, 16)
+    run_ingestion(second_edition(docs), f"{folder}/table", 1, WHOLE, 16, prune=False)
+    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
 
 
 MERGED = f"""WITH {VERSIONS} SELECT id, md5(body) AS body FROM nw UNION ALL SELECT id, md5(body) FROM st WHERE id NOT IN (SELECT id FROM nw)"""
@@ -227,9 +259,10 @@ def snk1(spark, d):
     """Write the stored version, upsert the new one, read the table back."""
     folder = scratch(spark)
     columns = ["site_id", "id", "source_id", "document_id", "body", "content_hash"]
-    sinks.upsert_vectors(stored_chunks(spark, d).select(columns), f"{folder}/table", f"{folder}/staging-1")
-    sinks.upsert_vectors(new_chunks(spark, d).select(columns), f"{folder}/table", f"{folder}/staging-2")
-    return spark.read.parquet(f"{folder}/table").select("id", F.md5("body").alias("body"))
+    sinks.upsert_vectors(stored_chunks(spark, d).select(columns), f"{folder}/table", 1)
+    sinks.upsert_vectors(new_chunks(spark, d).select(columns), f"{folder}/table", 2)
+    sinks.compact(spark, f"{folder}/table", f"{folder}/compacted")
+    return sinks.read_current(spark, f"{folder}/compacted").select("id", F.md5("body").alias("body"))
 
 
 @query("snk2_write_report", f"{search_queries.FULL} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, 'baseline' AS run FROM res")

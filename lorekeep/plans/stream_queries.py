@@ -9,9 +9,9 @@ from lorekeep.operators import telemetry
 from lorekeep.plans.catalog import ORACLE, query, table
 from lorekeep.plans.commerce_queries import proposals
 from lorekeep.plans.conversation_queries import BASE, TIMED
-from lorekeep.plans.page_queries import made_documents
+from lorekeep.plans.ingest_queries import WHOLE, whole_documents
 from lorekeep.plans.telemetry_queries import DAY, le_sql
-from lorekeep.settings import ChunkSettings
+from lorekeep.sources.sinks import read_current
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
 from lorekeep.session import scratch
@@ -36,7 +36,7 @@ def histogram(spark, d):
 
 @query("stream_tm1_windowed", "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS count FROM events GROUP BY ALL")
 def windowed(spark, d):
-    out = latest(drain(metrics.windowed_counter(event_stream(spark, d), "at", "1 day", ["event_type"]), "complete"))
+    out = latest(drain(metrics.windowed_counter(event_stream(spark, d), "at", "1 day", ["event_type"], "1 day"), "complete"))
     return out.select("event_type", F.col("window.start").alias("day"), "count")
 
 
@@ -93,17 +93,21 @@ def apply_once(spark, d):
 def sessions(spark, d):
     """Visits of each user, closed by two hours without an event."""
     rows = event_stream(spark, d).select(F.col("user_id").alias("turn_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("delta").alias("type"), "at")
-    out = drain(metrics.stream_sessions(rows, "2 hours"), "complete")
+    out = drain(metrics.stream_sessions(rows, "2 hours", "1 day"), "complete")
     return latest(out).groupBy(F.col("turn_id").alias("user_id")).agg(F.count("*").alias("sessions"))
 
 
-@query("stream_ing10_ingest")
+@query(
+    "stream_ing10_ingest",
+    """SELECT 'd' || doc_id || '#0' AS id, source AS source_id, 'v1 ' || md5(text) || CASE lang WHEN 'fr' THEN ' more' ELSE '' END AS body FROM documents WHERE lang <> 'es'""",
+)
 def ingest(spark, d):
-    """Documents arrive as a stream and end as stored points; a second run over the same documents changes nothing."""
-    folder = scratch(spark)
-    made_documents(spark, d).select("id", "site_id", "source_id", "content_type", "title", "text", "url").write.parquet(f"{folder}/in")
-    for run in ("first", "second"):
-        query_ = ingest_stream(read_stream(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/staging-{run}", f"{folder}/state-{run}", ChunkSettings(), 64)
-        query_.awaitTermination()
-    stored = spark.read.parquet(f"{folder}/table")
-    return stored.groupBy("source_id").agg(F.count("*").alias("points"), F.count_distinct("document_id").alias("documents"))
+    """Both editions of the documents arrive in one batch, then the second one again: ids and bodies of what is stored."""
+    folder, docs = scratch(spark), whole_documents(spark, d)
+    later = docs.withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit(" more"))).when(F.col("lang") == "es", "").otherwise(F.col("text"))).withColumn("edition", F.lit(2))
+    docs.unionByName(later).write.parquet(f"{folder}/in")
+    later.write.parquet(f"{folder}/again")
+    for n, source in enumerate(("in", "again")):
+        stream = read_stream(spark, f"{folder}/{source}")
+        ingest_stream(stream, f"{folder}/table", f"{folder}/state-{n}", WHOLE, 16, newest="edition", first_version=1000 * n).awaitTermination()
+    return read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))

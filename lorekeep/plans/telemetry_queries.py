@@ -250,12 +250,6 @@ def tm13_by_kind(spark, d):
     return admission.high_water(intervals(spark, d), F.date_trunc("day", "at"), ["kind"])
 
 
-@query("tm13_concurrency")
-def tm13_admission(spark, d):
-    """At most one request per client and four altogether."""
-    return admission.concurrency(intervals(spark, d), 1, 4, 24 * admission.HOUR_MS)
-
-
 @query(
     "tm14_redact_keys",
     f"""SELECT event_id, '{{"user":' || user_id || ',"apiKey":"[redacted]","nested":[{{"session_id":"[redacted]","tokens":' || {K} || '}}]}}' AS redacted FROM events""",

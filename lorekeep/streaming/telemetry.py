@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.telemetry import counter, histogram
 
-WATERMARK = "10 minutes"
-
-
-def windowed_counter(events: DataFrame, at: str, window: str, labels: list[str], by: Column | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Counter per time window; late events beyond the watermark are left out and state is dropped."""
+def windowed_counter(events: DataFrame, at: str, window: str, labels: list[str], watermark: str, by: Column | None = None) -> DataFrame:
+    """Counter per time window. ``watermark`` says how late an event may come: state of older windows is dropped."""
     timed = events.withWatermark(at, watermark).withColumn("window", F.window(at, window))
     return counter(timed, ["window", *labels], by)
 
 
-def windowed_histogram(events: DataFrame, at: str, window: str, value: Column, bounds: tuple, labels: list[str], watermark: str = WATERMARK) -> DataFrame:
+def windowed_histogram(events: DataFrame, at: str, window: str, value: Column, bounds: tuple, labels: list[str], watermark: str) -> DataFrame:
     timed = events.withWatermark(at, watermark).withColumn("window", F.window(at, window))
     return histogram(timed, value, bounds, ["window", *labels])
 
 
-def stream_sessions(events: DataFrame, idle: str, key: str = "turn_id", watermark: str = WATERMARK) -> DataFrame:
+def stream_sessions(events: DataFrame, idle: str, watermark: str, key: str = "turn_id") -> DataFrame:
     """One row per turn once it is idle: completed or abandoned, and its time to the first token."""
     first = F.min(F.when(F.col("type") == "delta", F.unix_millis("at")))
     start = F.min(F.when(F.col("type") == "start", F.unix_millis("at")))
