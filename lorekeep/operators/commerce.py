@@ -188,12 +188,12 @@ def compare_products(sets: DataFrame, key: str = "request_id") -> DataFrame:
     row = F.struct(price_order(F.col("amount")).alias("p"), F.col("position").alias("at"), F.col("sku").alias("sku"))
     aggregates = [comparable.alias("ordered"), F.array_sort(F.collect_list(row)).alias("_rows"), F.count("*").alias("_n")]
     for i, value in enumerate(axes.values()):
-        aggregates += [F.count(value).alias(f"_c{i}"), F.count_distinct(value).alias(f"_d{i}"), F.min(value).alias(f"_v{i}")]
+        aggregates += [F.count(value).alias(f"_c{i}"), (F.min(value) == F.max(value)).alias(f"_d{i}"), F.min(value).alias(f"_v{i}")]
     grouped = sets.groupBy(key).agg(*aggregates)
 
     def kind(i: int) -> Column:
         absent = F.col(f"_c{i}") == 0
-        same = (F.col(f"_d{i}") == 1) & (F.col(f"_c{i}") == F.col("_n"))
+        same = F.col(f"_d{i}") & (F.col(f"_c{i}") == F.col("_n"))
         return F.when(absent, "unknown").when(same, "shared").otherwise("differing")
 
     def listed(wanted: str, text) -> Column:

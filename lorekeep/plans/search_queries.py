@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.ids import store_id
 from lorekeep.functions.text import has_price, mask_price, render_template
 from lorekeep.operators import evaluation, retrieval, vectors
+from lorekeep.operators.ingestion import embed_chunks, embed_query
 from lorekeep.plans.catalog import query, table, text_list
 from lorekeep.settings import RetrievalSettings
 
@@ -15,35 +16,43 @@ SITE = "main"
 SETTINGS = RetrievalSettings(min_score=0.1, max_context_characters=4000)
 
 
+#: Letter pairs whose counts make the vectors of texts and questions here, and a last number that is always 1.
+GRAMS = ("th", "on", "re", "ti", "qu", "eu", "au", "en", "ch", "be", "ver", "os", "ci", "ll", "ra", "and")
+
+
+def gram_counts(texts: list[str]) -> list[list[float]]:
+    """A small stated embedding model, so that SQL can search with the same vectors."""
+    return [[*(float(t.count(g)) for g in GRAMS), 1.0] for t in texts]
+
+
 def points(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return (
-        table(spark, d, "embeddings")
-        .join(docs, F.col("vec_id") == F.col("doc_id"))
-        .select(
-            F.lit(SITE).alias("site_id"),
-            F.col("vec_id").alias("id"),
-            "embedding",
-            "label",
-            "lang",
-            F.col("source").alias("source_id"),
-            F.col("doc_id").cast("string").alias("document_id"),
-            F.concat(F.lit("About "), "lang").alias("title"),
-            F.concat(F.lit("https://kb.example/"), "source").alias("url"),
-            F.when(F.col("lang") != "en", F.concat(F.lit("Topic "), "label")).alias("heading_path"),
-            F.lit("page").alias("content_type"),
-            "text",
-        )
+    """Every document as a stored point."""
+    docs = table(spark, d, "documents").select(
+        F.lit(SITE).alias("site_id"),
+        F.col("doc_id").alias("id"),
+        (F.col("doc_id") % 10).alias("label"),
+        "lang",
+        F.col("source").alias("source_id"),
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.concat(F.lit("About "), "lang").alias("title"),
+        F.concat(F.lit("https://kb.example/"), "source").alias("url"),
+        F.when(F.col("lang") != "en", F.concat(F.lit("Topic "), (F.col("doc_id") % 10).cast("string"))).alias("heading_path"),
+        F.lit("page").alias("content_type"),
+        "text",
     )
+    return embed_chunks(docs, gram_counts, len(GRAMS) + 1)
 
 
-def matches(spark, d, k: int = 6, floor: float = 0.1) -> DataFrame:
-    """Every vector asks for its neighbours; it would find itself first, so one more is fetched and left out."""
-    stored = points(spark, d)
-    asked = stored.select(F.col("id").alias("query_id"), "embedding")
-    found = vectors.knn(asked, stored, SITE, k + 1, floor).filter("query_id <> id").drop("rank")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def asked(spark, d) -> DataFrame:
+    """Every benchmark text as a question with its vector."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return embed_query(items, "", gram_counts, len(GRAMS) + 1)
+
+
+def matches(spark, d, k: int = 6, floor: float = 0.1, broadcast_bytes: int | None = None) -> DataFrame:
+    """The benchmark texts searched over all documents."""
+    bound = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
+    return vectors.knn(asked(spark, d), points(spark, d), SITE, k, floor, **bound)
 
 
 def chunks(spark, d, floor: float = 0.1) -> DataFrame:
@@ -51,27 +60,27 @@ def chunks(spark, d, floor: float = 0.1) -> DataFrame:
 
 
 def questions(spark, d) -> DataFrame:
-    """A question expects its own source, or a text with its own first word; one topic has no answer."""
-    return points(spark, d).select(
-        F.col("id").alias("query_id"),
-        F.array("url").alias("expected_urls"),
+    """A question expects a source of its own, or a text with its own first word; every tenth has no answer."""
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.array(F.concat(F.lit("https://kb.example/src"), (F.col("item_id") % 20).cast("string"))).alias("expected_urls"),
         F.array(F.get(F.split("text", r"\s+"), F.lit(0))).alias("expected_text"),
-        (F.col("label") == 9).alias("unanswerable"),
+        (F.col("item_id") % 10 == 9).alias("unanswerable"),
     )
 
 
-P = """
-p AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, e.label, d.lang, d.source, d.text,
-  'About ' || d.lang AS title, 'https://kb.example/' || d.source AS url,
-  CASE WHEN d.lang <> 'en' THEN 'Topic ' || e.label END AS heading_path
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
+COUNTED = "[" + ", ".join(f"(length(text) - length(replace(text, '{g}', ''))) / {len(g)}" for g in GRAMS) + ", 1]::DOUBLE[]"
+P = f"""
+p AS (SELECT doc_id AS id, {COUNTED} AS v, doc_id % 10 AS label, lang, source, text, 'About ' || lang AS title, 'https://kb.example/' || source AS url,
+  CASE WHEN lang <> 'en' THEN 'Topic ' || doc_id % 10 END AS heading_path FROM documents),
+qs AS (SELECT item_id AS id, {COUNTED} AS v FROM benchmark)"""
 
 
 def match_cte(name: str = "m", floor: float = 0.1) -> str:
     return f"""
 {name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
   FROM (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 12) AS score
-        FROM p a JOIN p b ON a.id <> b.id) WHERE score >= {floor}) WHERE rank <= 6)"""
+        FROM qs a CROSS JOIN p b) WHERE score >= {floor}) WHERE rank <= 6)"""
 
 
 M = match_cte()
@@ -102,7 +111,8 @@ u AS (SELECT * FROM (SELECT *, sum(length(excerpt)) OVER (PARTITION BY query_id
 C = """
 c AS (SELECT m.query_id, m.id, m.score, m.rank, p.text, p.title, p.url, p.heading_path FROM m JOIN p USING (id))"""
 Q = r"""
-q AS (SELECT id AS query_id, url AS want_url, lower(regexp_split_to_array(text, '\s+')[1]) AS want_text, label = 9 AS unanswerable FROM p)"""
+q AS (SELECT item_id AS query_id, 'https://kb.example/src' || item_id % 20 AS want_url, lower(regexp_split_to_array(text, '\s+')[1]) AS want_text,
+  item_id % 10 = 9 AS unanswerable FROM benchmark)"""
 J = """
 j AS (SELECT c.*, contains(c.url, q.want_url) OR contains(lower(c.text), q.want_text) AS relevant FROM c JOIN q USING (query_id))"""
 R = """
@@ -125,8 +135,8 @@ FULL = "WITH RECURSIVE " + ",".join([P, M, C, kept_cte(), Q, J, R])
 
 def results(spark, d, floor: float = 0.1) -> DataFrame:
     found = chunks(spark, d, floor)
-    asked = questions(spark, d)
-    return evaluation.question_result(asked, evaluation.judge(found, asked), evaluation.count_usable(found, SETTINGS))
+    wanted = questions(spark, d)
+    return evaluation.question_result(wanted, evaluation.judge(found, wanted), evaluation.count_usable(found, SETTINGS))
 
 
 @query(
@@ -150,16 +160,22 @@ def vec2(spark, d):
     return matches(spark, d).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("vec2_knn_grid", f"WITH {P}, {M} SELECT query_id, id, round(score, 6) AS score, rank FROM m")
+def vec2_grid(spark, d):
+    """The same search with a broadcast bound that the questions exceed, so that both sides go on the grid."""
+    return matches(spark, d, broadcast_bytes=100).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "vec2_knn_filtered",
     f"""WITH {P} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.id AS query_id, b.id AS id,
         list_cosine_similarity(a.v, b.v) AS score,
         row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.id) AS rank
-        FROM p a JOIN p b ON b.lang = 'fr') WHERE rank <= 3""",
+        FROM qs a JOIN p b ON b.lang = 'fr') WHERE rank <= 3""",
 )
 def vec2_filtered(spark, d):
     stored = points(spark, d)
-    found = vectors.knn(stored.select(F.col("id").alias("query_id"), "embedding"), stored, SITE, 3, None, {"lang": "fr", "title": ""})
+    found = vectors.knn(asked(spark, d), stored, SITE, 3, None, {"lang": "fr", "title": ""})
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -260,12 +276,15 @@ def ret7(spark, d):
     return masked.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.md5("text").alias("text"))
 
 
-@query("ret8_search_knowledge")
+@query(
+    "ret8_search_knowledge",
+    f"""WITH RECURSIVE {P}, {M}, {C}, {kept_cte()} SELECT query_id, md5(string_agg(excerpt, chr(10) || chr(10) ORDER BY position)) AS context, count(*) AS used
+        FROM u GROUP BY query_id""",
+)
 def ret8(spark, d):
-    """The whole path from question vectors to context; its parts are compared with SQL one by one."""
-    stored = points(spark, d)
-    asked = stored.select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.search_knowledge(asked, stored, SITE, SETTINGS)
+    """The whole path from question vectors to context."""
+    found = retrieval.search_knowledge(asked(spark, d), points(spark, d), SITE, SETTINGS)
+    return found.select("query_id", F.md5("context").alias("context"), "used")
 
 
 @query(
@@ -399,8 +418,8 @@ FLOORS = [0.1, 0.2, 0.3, 0.4, 0.5]
           round(avg(retrieved) FILTER (NOT unanswerable), 4) AS average_retrieved FROM a GROUP BY floor""",
 )
 def ev12(spark, d):
-    asked = questions(spark, d)
-    return evaluation.threshold_sweep(asked, evaluation.judge(chunks(spark, d), asked), FLOORS)
+    wanted = questions(spark, d)
+    return evaluation.threshold_sweep(wanted, evaluation.judge(chunks(spark, d), wanted), FLOORS)
 
 
 @query(
