@@ -21,7 +21,6 @@ different components are kept, so a group of copies gives as many links as it ha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ CHUNK_SHINGLES = 1_500_000
 #: Frequent shingles whose counts are broadcast, 9 bytes each.
 FREQUENT = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
+#: Lists of more sets are looked up by binary search instead of being merged: a look-up costs as much as so many entries.
+LONG_LIST = 2048
 
 
 def least_overlap(n: int) -> int:
@@ -276,7 +277,7 @@ def list_under(sets: DataFrame, frequent) -> DataFrame:
 
 
 class InvertedLists:
-    """Inverted lists over the sets of one block."""
+    """Inverted lists over the sets of one block. Lists of a single set are left out: they hold no partner."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
@@ -284,34 +285,42 @@ class InvertedLists:
         doc = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(h, kind="stable")
         self.docs = doc[order]
-        self.keys, self.starts = np.unique(h[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(h))
-
-    def partners(self, query: np.ndarray) -> np.ndarray:
-        """Numbers of the sets that reach the needed overlap with the query."""
-        n = len(query)
+        first = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+        self.starts = np.flatnonzero(first)
+        self.lengths = np.diff(np.append(self.starts, len(h)))
+        # the list of each element of each set, in the sets' own order
+        self.list_of = np.empty(len(h), np.int64)
+        self.list_of[order] = np.cumsum(first) - 1
+        self.bounds = np.append(0, np.cumsum(self.sizes))
+
+    def partners(self, q: int) -> np.ndarray:
+        """Numbers of the sets that reach the needed overlap with set ``q``, its own included."""
+        n = int(self.sizes[q])
         least = least_overlap(n)
-        hit = np.flatnonzero(_among(query, self.keys))
-        if len(hit) < least:
-            return np.empty(0, np.int64)
-        lists = np.searchsorted(self.keys, query[hit])
-        lists = lists[np.argsort(self.ends[lists] - self.starts[lists], kind="stable")]
-        longest = int(self.ends[lists[-1]] - self.starts[lists[-1]])
-        aside = min(least - 1, int(least / (0.0085 * log2(max(2, longest)) + 1)))
+        lists = self.list_of[self.bounds[q] : self.bounds[q + 1]]
+        lists = lists[self.lengths[lists] > 1]
+        if len(lists) < least:
+            return np.array([q])
+        lists = lists[np.argsort(self.lengths[lists], kind="stable")]
+        aside = min(least - 1, int((self.lengths[lists] > LONG_LIST).sum()))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        merged = np.concatenate([self.docs[self.starts[x] : self.ends[x]] for x in short])
-        found, counts = np.unique(merged, return_counts=True)
-        fits = (counts >= least - aside) & (WHOLE * self.sizes[found] >= NEAR * n) & (NEAR * self.sizes[found] <= WHOLE * n)
-        found, counts = found[fits], counts[fits]
+        # merge the short lists: gather them and count each set
+        lengths = self.lengths[short]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[short] - (ends - lengths), lengths)
+        merged = np.bincount(self.docs[at], minlength=len(self.sizes))
+        found = np.flatnonzero((merged >= least - aside) & (WHOLE * self.sizes >= NEAR * n) & (NEAR * self.sizes <= WHOLE * n))
+        counts = merged[found]
         for left, x in zip(range(len(long), 0, -1), long):
             if not len(found):
                 break
-            row = self.docs[self.starts[x] : self.ends[x]]
-            at = np.minimum(np.searchsorted(row, found), len(row) - 1)
-            counts = counts + (row[at] == found)
+            row = self.docs[self.starts[x] : self.starts[x] + self.lengths[x]]
+            place = np.minimum(np.searchsorted(row, found), len(row) - 1)
+            counts = counts + (row[place] == found)
             alive = counts + left - 1 >= np.ceil(NEAR * (n + self.sizes[found]) / (NEAR + WHOLE))
             found, counts = found[alive], counts[alive]
-        return found[reaches(counts, n, self.sizes[found])]
+        # elements that only the query holds count for itself
+        return np.union1d(found[reaches(counts, n, self.sizes[found])], [q])
 
 
 def search_block(names: list[int], groups: list[int], index: list[np.ndarray], queries: list[int]) -> list[tuple[int, int]]:
@@ -328,7 +337,7 @@ def search_block(names: list[int], groups: list[int], index: list[np.ndarray], q
     for q in queries:
         if apart == 1:
             break
-        for c in lists.partners(index[q]).tolist():
+        for c in lists.partners(q).tolist():
             a, b = root(groups[q]), root(groups[c])
             if a != b:
                 parent[a] = b

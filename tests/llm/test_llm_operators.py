@@ -289,12 +289,14 @@ def test_jaccard_join_of_odd_rows(spark):
     assert rows(jaccard_join.join_near(documents(spark, []))) == []
 
 
-def test_divide_skip_finds_all_partners():
+@pytest.mark.parametrize("long", [2048, 5])
+def test_divide_skip_finds_all_partners(monkeypatch, long):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long)
     sets = [np.unique(runs_of(np.array([hash(w) & (2**63 - 1) for w in t.split()], np.uint64), 5)) for t in near_copies(7, 30, 4) + near_copies(8, 30, 6)]
     index = jaccard_join.InvertedLists(sets)
-    for q in sets:
+    for number, q in enumerate(sets):
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 75 * len(np.union1d(q, s))]
-        assert sorted(index.partners(q).tolist()) == want
+        assert sorted(index.partners(number).tolist()) == want
 
 
 def test_components_of_chains_and_stars(spark):
