@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 from lorekeep.functions.text import SPACE
+from lorekeep.functions.urls import punycode_url
 
 # Elements without content, page furniture, content containers and block elements.
 VOID = frozenset("area base basefont br col command embed frame hr img input isindex keygen link meta param source track wbr".split())
@@ -179,9 +180,9 @@ def parse_page(html: str) -> dict:
     for node in root.walk():
         attrs = node.attrs
         if node.tag == "a" and attrs.get("href"):
-            links.append(attrs["href"])
+            links.append(punycode_url(attrs["href"]))
         elif node.tag == "link" and attrs.get("rel") == "canonical":
-            note("canonical", attrs.get("href", ""))
+            note("canonical", punycode_url(attrs.get("href", "")))
         elif node.tag == "meta":
             if attrs.get("name") in ("description", "robots", "googlebot"):
                 note(attrs["name"], attrs.get("content", ""))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.functions.binding import bind
 
@@ -113,10 +118,30 @@ def _query(raw: Column) -> Column:
     return F.when(F.length(raw) <= 1, F.lit("")).when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
 
 
+_WITH_HOST = re.compile(r"(?is)^(\s*(?:https?:)?[/\\]{2,})([^/\\?#]*)(.*)$")
+
+
+def punycode_url(url: str | None) -> str | None:
+    """The address with an international host in its ASCII form; all others as they are."""
+    found = None if url is None or url.isascii() else _WITH_HOST.match(url)
+    if not found or found[2].isascii():
+        return url
+    account, at, host = found[2].rpartition("@")
+    labels = unicodedata.normalize("NFKC", host.lower()).replace("\u3002", ".").split(".")
+    ascii_labels = [label if label.isascii() else "xn--" + label.encode("punycode").decode() for label in labels]
+    return found[1] + account + at + ".".join(ascii_labels) + found[3]
+
+
+@F.pandas_udf(T.StringType())
+def ascii_host(urls: pd.Series) -> pd.Series:
+    """International hosts in their ASCII form. Put it before ``normalize_url`` where such hosts can come."""
+    return urls.map(punycode_url)
+
+
 def normalize_url(col, base=None) -> Column:
     """One spelling per address, or NULL where it is not an http(s) address.
 
-    Hosts must be written in ASCII (punycode for international names); others give NULL.
+    Hosts must be written in ASCII: links that ``extract_pages`` gives are, ``ascii_host`` converts others.
     """
     col = F.col(col) if isinstance(col, str) else col
     base = F.col(base) if isinstance(base, str) else base

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import normalize_line, normalize_text, scrub, truncate_text
-from lorekeep.functions.urls import normalize_url, url_host, url_origin, url_path
+from lorekeep.functions.urls import ascii_host, normalize_url, url_host, url_origin, url_path
 from lorekeep.operators import chunking, crawl, documents
 from lorekeep.plans.catalog import query, table, text_list
 from lorekeep.settings import ChunkSettings
@@ -176,6 +176,13 @@ def cr1(spark, d):
     return page_urls(spark, d)
 
 
+@query("cr1_international_hosts", f"WITH {N} SELECT page_id, replace(url, '://', '://xn--bcher-kva.') AS url FROM n")
+def cr1_international(spark, d):
+    """Every page's address below a host name in another script."""
+    pages = table(spark, d, "pages").select("page_id", F.replace("url", F.lit("://"), F.lit("://B\u00fccher.")).alias("url"))
+    return pages.select("page_id", normalize_url(ascii_host("url")).alias("url"))
+
+
 LINKS = """l AS (SELECT page_id, url, unnest(hrefs) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))"""
 
 

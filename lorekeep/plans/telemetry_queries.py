@@ -261,6 +261,12 @@ def tm14(spark, d):
     return events(spark, d).select("event_id", redact_keys(raw).alias("redacted"))
 
 
+@query("tm14_redact_plain", "SELECT doc_id, md5(text) AS redacted FROM documents")
+def tm14_plain(spark, d):
+    """Log values that are no JSON pass through."""
+    return table(spark, d, "documents").select("doc_id", F.md5(redact_keys("text")).alias("redacted"))
+
+
 @query("tm14_redact_flat", "SELECT event_id, 'kind=' || event_type || '|password=[redacted]' AS redacted FROM events")
 def tm14_flat(spark, d):
     masked = redact_flat(F.create_map(F.lit("kind"), kind(), F.lit("password"), F.col("user_id").cast("string")))
