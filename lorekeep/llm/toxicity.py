@@ -29,6 +29,8 @@ PER_CLASS, LONGEST = 3000, 20_000
 WINDOW_WORDS = 12
 ORDINARY_BYTES, TOXIC_BYTES = 26_000, 4096
 LEVEL = 9
+#: Least share of the toxic texts that hold a telling piece, and how many times the ordinary share that must be.
+LEAST_SHARE, LEAST_RATIO = 0.02, 15.0
 #: Bytes that a window must save to count, one figure each.
 SAVINGS = (2, 4, 6)
 
@@ -77,23 +79,40 @@ def _measure(ordinary: bytes, toxic: bytes) -> Callable[[bytes], np.ndarray]:
     return measure
 
 
-def telling_words(texts: list[bytes], labels: list[int], limit: int) -> list[bytes]:
-    """Words that far more toxic than ordinary texts hold, the strongest last, within ``limit`` bytes."""
+def pieces(text: bytes) -> set[bytes]:
+    """Words of a text and their beginnings, with the space before them."""
+    out = set()
+    for word in set(words(text)):
+        out.add(b" " + word + b" ")
+        out.update(b" " + word[:n] for n in range(5, min(len(word), 10)))
+    return out
+
+
+def telling_pieces(texts: list[bytes], labels: list[int], limit: int) -> list[bytes]:
+    """Wording that far more toxic than ordinary texts hold, the strongest last, within ``limit`` bytes.
+
+    A piece must occur in ``LEAST_SHARE`` of the toxic texts, so that chance finds do not grow with the sample, and may not
+    hold a stronger one.
+    """
     held, totals = (Counter(), Counter()), [1, 1]
     for text, label in zip(texts, labels):
-        held[label].update(set(words(text)))
+        held[label].update(pieces(text))
         totals[label] += 1
     strength = {}
-    for word, n in held[1].items():
-        ratio = n / totals[1] / ((held[0][word] + 1) / totals[0])
-        if n >= 3 and ratio >= 6:
-            strength[word] = n * np.log(ratio)
-    chosen, used = [], 0
-    for word in sorted(strength, key=lambda w: (-strength[w], w)):
-        used += len(word) + 1
+    for piece, n in held[1].items():
+        if n >= max(3, LEAST_SHARE * totals[1]):
+            ratio = n / totals[1] / ((held[0][piece] + 1) / totals[0])
+            if ratio >= LEAST_RATIO:
+                strength[piece] = n * np.log(ratio) * min(len(piece), 9)
+    chosen: list[bytes] = []
+    used = 0
+    for piece in sorted(strength, key=lambda w: (-strength[w], w)):
+        if any(c.strip() in piece for c in chosen):
+            continue
+        used += len(piece)
         if used > limit:
             break
-        chosen.append(word)
+        chosen.append(piece)
     return chosen[::-1]
 
 
@@ -107,8 +126,7 @@ def dictionaries(texts: list[bytes], labels: list[int]) -> tuple[bytes, bytes]:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text for the search
         ordinary = b" ".join(samples)[-ORDINARY_BYTES:] or b" "
-    telling = b" ".join(telling_words(texts, labels, TOXIC_BYTES))
-    return ordinary, b" " + telling + b" " + ordinary
+    return ordinary, b"".join(telling_pieces(texts, labels, TOXIC_BYTES)) + b" " + ordinary
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
