@@ -50,7 +50,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied between texts when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

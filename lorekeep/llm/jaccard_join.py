@@ -35,9 +35,9 @@ SHINGLE = 5
 #: Similarity as a fraction, 75 of 100.
 NEAR, WHOLE = 75, 100
 #: Hashes in a bucket and in a block of documents of the first step.
-BUCKET_HASHES, BLOCK_HASHES = 4_000_000, 2_000_000
+BUCKET_HASHES, BLOCK_HASHES = 1_500_000, 1_000_000
 #: Shingles of the documents in one block of the search.
-CHUNK_SHINGLES = 1_500_000
+CHUNK_SHINGLES = 1_000_000
 #: Frequent shingles whose counts are broadcast, 9 bytes each.
 FREQUENT = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024

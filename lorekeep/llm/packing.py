@@ -23,7 +23,7 @@ WINDOW = 4096
 END_ID = 2
 PIECES_PER_GROUP = 20_000
 #: Entries that a worker remembers of words and their ids, about 200 bytes each.
-CACHE = 500_000
+CACHE = 150_000
 
 
 class WordTokenizer:

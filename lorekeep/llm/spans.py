@@ -23,6 +23,8 @@ RUN = 3
 LEAST_WORDS = 10
 #: A sentence of more words is cut into clauses, behind words that their hash picks: one in ``CLAUSE``.
 LONG_SENTENCE, CLAUSE = 20, 5
+#: Documents that a task works on together.
+TOGETHER = 1000
 BOUNDARY = re.compile(rb"[.!?]+\s+|\n\s*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*")
 WORD = re.compile(rb"\S+\s*")
 
@@ -120,7 +122,7 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     rows = documents.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias(own_id), F.xxhash64(text_col).alias(own_hash))
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
             hs, cs, ps, at = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 _, hashes, counts = sentences(text.as_py() or b"")
@@ -148,7 +150,7 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     text_at = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
             texts, totals, removed = [], [], []
             for text, found in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist()):
                 spans_, hashes, counts = sentences(text or b"")
