@@ -138,13 +138,23 @@ def search_products(products: DataFrame, query: str, order: str = "position", li
     return products.withColumn("score", score).filter(F.col("score") > 0).orderBy(F.desc("score"), order).limit(min(limit, MAX_LISTING))
 
 
-def page_items(items: DataFrame, order: list, cursor: int = 0, limit: int = 5) -> tuple[DataFrame, int | None]:
-    """(page, next cursor or None). ``order`` must be total."""
+def page_items(items: DataFrame, order: list[str], after: tuple | None = None, limit: int = 5) -> tuple[DataFrame, tuple | None]:
+    """(page, next cursor or None). ``order`` names columns whose values are unique together and never null.
+
+    A cursor is the key of the last row that was shown, so a late page costs what the first one does: each task keeps the
+    few rows that follow the key, and only their keys come to the driver.
+    """
     size = min(limit or 5, MAX_LISTING)
-    ordered = items.orderBy(*order)
-    page = ordered.offset(cursor).limit(size)
-    more = not ordered.offset(cursor + size).limit(1).isEmpty()
-    return page, cursor + size if more else None
+    rest = items
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order, after):
+            beyond = beyond | (equal & (F.col(name) > F.lit(value)))
+            equal = equal & (F.col(name) == F.lit(value))
+        rest = items.filter(beyond)
+    ordered = rest.orderBy(*order)
+    keys = ordered.limit(size + 1).select(*order).collect()
+    return ordered.limit(size), tuple(keys[size - 1]) if len(keys) > size else None
 
 
 def wanted_skus(requests: DataFrame) -> DataFrame:
