@@ -109,25 +109,26 @@ class FilterPart:
     first: int
     data: np.ndarray  # shards here x bytes
 
+    @property
+    def whole(self) -> bool:
+        return len(self.data) == self.shards
+
     def levels(self, entries: np.ndarray) -> np.ndarray:
         """Level of each entry; 0 for those of other shards."""
-        unique, back = np.unique(entries, return_inverse=True)
-        out = np.zeros(len(unique), dtype=np.uint8)
-        shard = (unique >> np.uint64(32)) % np.uint64(self.shards)
+        out = np.zeros(len(entries), dtype=np.uint8)
+        shard = (entries >> np.uint64(32)) % np.uint64(self.shards)
         alive = np.flatnonzero((shard >= self.first) & (shard < self.first + len(self.data)))
-        flat, width = self.data.reshape(-1), np.uint64(self.data.shape[1]) if len(self.data) else np.uint64(0)
+        flat, width = self.data.reshape(-1), np.uint64(self.data.shape[1])
         base = (shard - np.uint64(self.first)) * width
-        level = 1
-        while len(alive):
+        for level in range(1, len(VALUES)):
+            if not len(alive):
+                break
             for i in range(HASHES):
-                bit = _bits(unique[alive], level, i, 8 * self.data.shape[1])
+                bit = _bits(entries[alive], level, i, 8 * self.data.shape[1])
                 byte = flat[(base[alive] + (bit >> np.uint64(3))).astype(np.int64)]
                 alive = alive[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             out[alive] = level
-            level += 1
-            if level >= len(VALUES):
-                break
-        return out[back]
+        return out
 
 
 @dataclass
@@ -219,10 +220,20 @@ def train(documents: DataFrame, text_col: str = "text", shard_bits: int = SHARD_
 
 
 def find_levels(part: FilterPart, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Levels of c(w), c(h), K(h) and c(hw) - 1 for each position, 4 x positions."""
-    return np.stack(
-        [part.levels(entry(UNIGRAM, tokens)), part.levels(entry(UNIGRAM, contexts)), part.levels(entry(KEPT, context_key(contexts))), part.levels(entry(BIGRAM, pair(contexts, tokens)))]
-    )
+    """Levels of c(w), c(h), K(h) and c(hw) - 1 for each position, 4 x positions.
+
+    Each word is probed once. With the whole filter at hand, a bigram is probed only where its context can keep any.
+    """
+    n = len(tokens)
+    distinct, back = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
+    single = part.levels(entry(UNIGRAM, distinct))[back]
+    kept = part.levels(entry(KEPT, context_key(distinct)))[back[n:]]
+    ask = np.flatnonzero((kept > 0) & (single[n:] > 1)) if part.whole else np.arange(n)
+    both = np.zeros(n, dtype=np.uint8)
+    if len(ask):
+        pairs, again = np.unique(pair(contexts[ask], tokens[ask]), return_inverse=True)
+        both[ask] = part.levels(entry(BIGRAM, pairs))[again]
+    return np.stack([single[:n], single[n:], kept, both])
 
 
 def log_probability(levels: np.ndarray, tokens: int, types: int) -> np.ndarray:
