@@ -40,10 +40,13 @@ def keep_good(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
-    """Rows are numbered by their place in the input files, so that repeated and null ids are told apart."""
+    """Rows are numbered by their place in the input files, so that repeated and null ids are told apart.
+
+    The numbers are written once: another scan may cut the files differently and would number the rows anew.
+    """
     docs = _documents(ship(spark), docs, sf_dir)
     row, copy = fresh(docs, "_row", "_copy")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     groups = jaccard_join.join_near(numbered, id_col=row)
     copies = stored(groups.filter(F.col(row) != F.col("component_id")).select(F.col(row).alias(copy)), "near-copies")
     few = copies.count() * 16 <= BROADCAST_BYTES

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, on a table with planted cases."""
 
 import corpus_pipeline
+from lorekeep.llm import jaccard_join
 from tests.llm.helpers import ODD, documents, prose
 
 
@@ -32,3 +33,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i for i, in held["packing"]} == set(dict(held["decontamination"]))
     whole = corpus_pipeline.run(spark, folder)
     assert {r[0] for r in whole.select("doc_id").collect()} == {i for i, in held["packing"]}
+
+
+def test_rows_keep_their_numbers_when_scans_are_cut_anew(spark, tmp_path, monkeypatch):
+    """Every table that is written changes how Spark cuts the files of the next scan, as a lost executor does."""
+    folder, name, cost = str(tmp_path), "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+    # files of growing size: in one task they are read from the largest to the smallest, in several each is numbered anew
+    for n in range(6):
+        held = [(10 * n + i, prose(10 * n + i, 60 + 40 * n)) for i in range(5)] + ([(900 + n, prose(7, 100) + f" copy{n}")] if n in (1, 4) else [])
+        documents(spark, held).coalesce(1).write.mode("append").parquet(f"{folder}/documents.parquet")
+    times, before = [], spark.conf.get(cost)
+
+    def toggled(stored):
+        def run(df, label):
+            out = stored(df, label)
+            times.append(label)
+            spark.conf.set(name, str(1 + len(times)))
+            return out
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "stored", toggled(jaccard_join.stored))
+    monkeypatch.setattr(corpus_pipeline, "stored", toggled(corpus_pipeline.stored))
+    try:
+        spark.conf.set(cost, "1")
+        spark.conf.set(name, "1")
+        kept = [r[0] for r in corpus_pipeline.keep_one_of_each(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).select("doc_id").collect()]
+    finally:
+        spark.conf.set(cost, before)
+        spark.conf.unset(name)
+    assert sorted(i for i in kept if i < 900) == sorted(10 * n + i for n in range(6) for i in range(5))
+    assert len([i for i in kept if i >= 900]) == 1
