@@ -1,9 +1,9 @@
-"""Removal of passages that occur earlier in the corpus, found by hashing sliding runs of consecutive sentences.
+"""Removal of passages that occur earlier in the corpus, found by hashing sliding runs of consecutive clauses.
 
-Every run of at least ``RUN`` consecutive sentences and ``LEAST_WORDS`` words is hashed; the smallest document id that holds a run is its first place. A
-sentence goes if any run over it is repeated and this is not the run's first place. The hashes of a document are made in
+Every run of at least ``RUN`` consecutive clauses and ``LEAST_WORDS`` words is hashed; the smallest document id that holds a run is its first place. A
+clause goes if any run over it is repeated and this is not the run's first place. The hashes of a document are made in
 a map; one aggregation with partial sums finds the runs of several documents, which are few; a join that Spark can split
-at frequent runs brings back who holds them. The positions of a document are no more than its sentences.
+at frequent runs brings back who holds them. The positions of a document are no more than its clauses.
 """
 
 from __future__ import annotations
@@ -16,62 +16,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MIX, fresh, mixed, stored
+from lorekeep.llm.common import MIX, WordHashes, fresh, mixed, stored
 
 RUN = 3
 #: Runs of fewer words are too common to tell anything; a run goes on until it has so many, unless the text ends.
 LEAST_WORDS = 10
-#: A sentence of more words is cut into clauses, behind words that their hash picks: one in ``CLAUSE``.
-LONG_SENTENCE, CLAUSE = 20, 5
+#: Sentences are cut into clauses of at most so many words, behind each word whose hash is the smallest of ``CLAUSE``
+#: consecutive ones of its sentence. Whether a word is one depends on the words less than ``CLAUSE`` away, so a shared
+#: passage has the same clauses up to ``CLAUSE`` - 1 words from its ends, wherever it starts: one of 6 * ``CLAUSE`` - 2
+#: words holds three whole ones.
+CLAUSE = 8
 #: Documents that a task works on together.
 TOGETHER = 1000
+#: Rows with null ids are numbered from here.
+NULL_IDS = (1 << 63) - 1 - (1 << 53)
+#: Repeated runs are broadcast up to so many bytes, at so many each; beyond that a join that Spark can split.
+BROADCAST_BYTES, SHARED_BYTES = 64 * 1024 * 1024, 64
 BOUNDARY = re.compile(rb"[.!?]+\s+|\n\s*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*")
-WORD = re.compile(rb"\S+\s*")
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[*range(9, 14), 32]] = True
+_known = WordHashes()
+
+
+def clause_ends(h: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Whether a clause ends behind each word, from the words' hashes and the numbers of their sentences."""
+    n = len(h)
+    ends = np.ones(n, dtype=bool)
+    ends[:-1] = sentence[1:] != sentence[:-1]
+    if n < CLAUSE:
+        return ends
+    windows = n - CLAUSE + 1
+    least = h[:windows]
+    for i in range(1, CLAUSE):
+        least = np.minimum(least, h[i : i + windows])
+    # no word has the zero of windows that reach into another sentence
+    least = np.where(sentence[CLAUSE - 1 :] == sentence[:windows], least, np.uint64(0))
+    most = np.zeros(n, dtype=np.uint64)
+    for i in range(CLAUSE):
+        np.maximum(most[i : i + windows], least, out=most[i : i + windows])
+    return ends | (most == h)
 
 
 def sentences(text: bytes) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """(start, end) of each sentence, its hash, its number of words. Sentences cover the text without gaps.
+    """(start, end) of each clause, its hash, its number of words. Clauses cover the text without gaps.
 
-    Hashes are of the words with A-Z in lower case and single spaces. Text without words joins the sentence before it.
+    Hashes are of the words with A-Z in lower case and single spaces. Text without words joins the clause before it, or
+    at the start of a text the one behind it.
     """
-    from xxhash import xxh3_64_intdigest
-
-    spans: list[tuple[int, int]] = []
-    hashes: list[int] = []
-    counts: list[int] = []
-
-    def add(start: int, end: int, tokens: list[bytes]) -> None:
-        if not tokens and spans:
-            spans[-1] = (spans[-1][0], end)
-            return
-        spans.append((start, end))
-        hashes.append(xxh3_64_intdigest(b" ".join(tokens)))
-        counts.append(len(tokens))
-
-    start = 0
-    for end in [*(m.end() for m in BOUNDARY.finditer(text)), len(text)]:
-        if end <= start:
-            continue
-        tokens = text[start:end].lower().split()
-        if len(tokens) <= LONG_SENTENCE:
-            add(start, end, tokens)
-        else:
-            begun, held = start, []
-            for m, token in zip(WORD.finditer(text, start, end), tokens):
-                held.append(token)
-                if xxh3_64_intdigest(token, 7) % CLAUSE == 0:
-                    add(begun, m.end(), held)
-                    begun, held = m.end(), []
-            if begun < end:
-                add(begun, end, held)
-        start = end
-    return spans, np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
+    if not text:
+        return [], np.empty(0, np.uint64), np.empty(0, np.int64)
+    stops = np.array([m.end() for m in BOUNDARY.finditer(text)], dtype=np.int64)
+    inside = np.zeros(len(text) + 2, dtype=bool)
+    inside[1:-1] = ~SPACE[np.frombuffer(text, np.uint8)]
+    begins = inside[1:-1] & ~inside[:-2]
+    cut = stops[stops < len(text)]
+    begins[cut] |= inside[1:-1][cut]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return [(0, len(text))], mixed(np.zeros(1, np.uint64)), np.zeros(1, np.int64)
+    low = text.lower()
+    tokens = low.split()
+    if len(tokens) != len(at):  # a stop that no space follows ends a word too
+        places = at.tolist()
+        tokens = [low[s:e].rstrip() for s, e in zip(places, [*places[1:], len(low)])]
+    h = _known.of(tokens) | np.uint64(1)
+    last = np.flatnonzero(clause_ends(h, np.searchsorted(stops, at, "right")))
+    first = np.concatenate([[0], last[:-1] + 1])
+    where = [0, *at[first[1:]].tolist(), len(text)]
+    counts = last + 1 - first
+    return list(zip(where[:-1], where[1:])), folded(h, first, last + 1), counts
+
+
+def folded(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash of each run of hashes: a polynomial, from a difference of prefix sums brought back to the run's start."""
+    n = len(h)
+    power, prefix = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    power[1:] = np.cumprod(np.full(n, MIX))
+    prefix[1:] = np.cumsum(mixed(h) * power[:n])
+    return mixed((prefix[end] - prefix[start]) * inverse_powers(n)[start] + (end - start).astype(np.uint64))
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, check, start, end) of each run.
 
-    From each sentence the shortest run of at least ``run`` sentences and ``LEAST_WORDS`` words, then the shortest such
+    From each clause the shortest run of at least ``run`` clauses and ``LEAST_WORDS`` words, then the shortest such
     run that ends the text; a text with less is one run.
     """
     n = len(hashes)
@@ -84,12 +112,7 @@ def runs(hashes: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray,
     tail = max(0, min(n - run, int(np.searchsorted(total, total[-1] - LEAST_WORDS, "right")) - 1))
     if not len(start) or end[-1] < n or start[-1] != tail:
         start, end = np.append(start, tail), np.append(end, n)
-    power, prefix = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-    power[1:] = np.cumprod(np.full(n, MIX))
-    # a polynomial of the run's hashes: a difference of prefix sums, brought back to the run's start
-    scaled = mixed(hashes) * power[:n]
-    prefix[1:] = np.cumsum(scaled)
-    h = mixed((prefix[end] - prefix[start]) * inverse_powers(n)[start] + (end - start).astype(np.uint64))
+    h = folded(hashes, start, end)
     check = (mixed(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)).astype(np.int32)
     return h, check, start, end
 
@@ -112,14 +135,18 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     """All columns of ``documents`` with repeated passages cut out of the text, plus n_sentences and n_removed.
 
     The id must be a whole number. The first place of a passage is the smallest id, and in a text its first position;
-    null ids come last and count as one id; rows with one id are one document as to order, so what they share stays.
-    Repeated rows get the same result. Null texts stay null, empty ones empty (no sentence); a text all of whose sentences
-    go becomes empty. Input columns n_sentences and n_removed are replaced. An empty table gives no rows.
+    rows with null ids come last, each a document of its own in the order of the input files (an id less than 2^53 below
+    the largest whole number comes among them); rows with one id are one document as to order, so what they share stays.
+    Repeated rows with an id get the same result. Null texts stay null, empty ones empty (no clause); a text all of whose
+    clauses go becomes empty. n_sentences and n_removed count clauses. Input columns n_sentences and n_removed are replaced. An empty table gives no rows.
     """
     columns = [c for c in documents.columns if c not in ("n_sentences", "n_removed")]
-    last = (1 << 63) - 1
     own_id, own_hash, own_numbers = fresh(documents, "_id", "_text_hash", "_numbers")
-    rows = documents.select(*columns, F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias(own_id), F.xxhash64(text_col).alias(own_hash))
+    key = F.col(id_col).cast("long")
+    # written once, so that every later scan sees the same numbers
+    unnamed = stored(documents.filter(key.isNull()).select(*columns, (F.monotonically_increasing_id() + NULL_IDS).alias(own_id)), "null-ids")
+    named = documents.filter(key.isNotNull()).select(*columns, key.alias(own_id))
+    rows = named.union(unnamed).select(*columns, own_id, F.xxhash64(text_col).alias(own_hash))
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
@@ -144,7 +171,8 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     shared = stored(
         spans.groupBy("h", "c").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last").select("h", "c", "first"), "shared-runs"
     )
-    later = spans.join(shared, ["h", "c"]).filter(F.col("_id") > F.col("first"))
+    few = shared.count() * SHARED_BYTES <= BROADCAST_BYTES
+    later = spans.join(F.broadcast(shared) if few else shared, ["h", "c"]).filter(F.col("_id") > F.col("first"))
     numbers = later.groupBy(F.col("_id").alias(own_id), F.col("_text_hash").alias(own_hash)).agg(F.collect_set("number").alias(own_numbers))
     joined = rows.join(numbers, [own_id, own_hash], "left").select(*columns, own_numbers)
     text_at = columns.index(text_col)

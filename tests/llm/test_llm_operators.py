@@ -133,6 +133,33 @@ def test_sentences_cover_the_text():
         assert counts.sum() >= len(text.encode().split()) and len(hashes) == len(where)
 
 
+def test_passages_of_fifty_words_go_wherever_they_start(spark):
+    plain = [prose(300 + i, 50).replace(".", "") for i in range(20)]
+    docs = []
+    for i, passage in enumerate(plain):
+        # four shapes: no stops at all, one or two stops inside, a stop right before it in one of the two texts
+        words = passage.split()
+        for at in ((), (17,), (16, 33), (24,))[i % 4]:
+            words[at] += "."
+        passage = " ".join(words)
+        for j, (before, after) in enumerate(((3, 2), (9 + i, 14))):
+            head = prose(1000 + 2 * i + j, before).replace(".", "") + (". " if i % 3 == 0 and j else " ")
+            docs.append((100 * j + i, prose(2000 + 2 * i + j, 60) + ". " + head + passage + " " + prose(3000 + 2 * i + j, after).replace(".", "") + ". " + prose(4000 + 2 * i + j, 60)))
+    got = {r[0]: r[1:] for r in rows(spans.remove_repeats(documents(spark, docs)), "doc_id", "text", "n_removed")}
+    assert got == brute_repeats(docs)
+    for i, passage in enumerate(plain):
+        assert got[i] == (docs[2 * i][1], 0)
+        held = got[100 + i][0].replace(".", "")
+        assert " ".join(passage.split()[14:36]) not in held and got[100 + i][1] >= 3
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    passage = prose(9, 80)
+    docs = [(None, passage), (None, passage), (None, prose(10, 60) + ".\n" + passage), (5, prose(11, 60))]
+    got = rows(spans.remove_repeats(documents(spark, docs)), "doc_id", "text")
+    assert sum(passage in t for _, t in got) == 1 and sum(t == "" for _, t in got) >= 1 and (5, docs[3][1]) in got
+
+
 # toxicity
 
 
