@@ -251,6 +251,47 @@ def run_without_prune(spark, d):
     return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
 
 
+def whole_texts(spark, d) -> DataFrame:
+    """The documents with their whole texts, for the production chunk settings."""
+    return table(spark, d, "documents").select(
+        F.lit("main").alias("site_id"), F.concat(F.lit("d"), "doc_id").alias("id"), F.col("source").alias("source_id"), F.lit("page").alias("content_type"),
+        F.lit("t").alias("title"), "text", F.lit(None).cast("string").alias("url"), "lang", F.lit(1).alias("edition"),
+    )
+
+
+def revised_texts(docs: DataFrame) -> DataFrame:
+    """English texts as before, French ones longer at the end, German ones cut to a third, Spanish ones emptied."""
+    third = F.substring("text", F.lit(1), F.ceil(F.length("text") / 3).cast("int"))
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" more"))).when(F.col("lang") == "de", third).when(F.col("lang") == "es", "").otherwise(F.col("text"))
+    return docs.withColumns({"text": text, "edition": F.lit(2)})
+
+
+def second_texts(docs: DataFrame) -> DataFrame:
+    """The revised texts; src5 is without its German ones, src6 nearly gone."""
+    gone = ((F.col("source_id") == "src5") & (F.col("lang") == "de")) | ((F.col("source_id") == "src6") & (F.col("lang") != "fr"))
+    return revised_texts(docs.filter(~gone))
+
+
+def run_texts(spark, d, prune: bool) -> DataFrame:
+    folder, docs = scratch(spark), whole_texts(spark, d)
+    run_ingestion(docs, f"{folder}/table", 0)
+    run_ingestion(second_texts(docs), f"{folder}/table", 1, prune=prune)
+    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"), F.size("embedding").alias("dims"))
+
+
+# SQL cannot cut texts into chunks; a test compares these with brute force
+@query("ing_full_run_texts")
+def full_run_texts(spark, d):
+    """Two runs over two editions of the whole texts with the production settings; what the table then holds."""
+    return run_texts(spark, d, True)
+
+
+@query("ing_run_without_prune_texts")
+def run_without_prune_texts(spark, d):
+    """The same runs with pruning switched off: what was not seen stays."""
+    return run_texts(spark, d, False)
+
+
 MERGED = f"""WITH {VERSIONS} SELECT id, md5(body) AS body FROM nw UNION ALL SELECT id, md5(body) FROM st WHERE id NOT IN (SELECT id FROM nw)"""
 
 

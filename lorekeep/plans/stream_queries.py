@@ -9,12 +9,13 @@ from lorekeep.operators import telemetry
 from lorekeep.plans.catalog import ORACLE, query, table
 from lorekeep.plans.commerce_queries import proposals
 from lorekeep.plans.conversation_queries import BASE, TIMED
-from lorekeep.plans.ingest_queries import WHOLE, whole_documents
+from lorekeep.plans.ingest_queries import WHOLE, revised_texts, whole_documents, whole_texts
 from lorekeep.plans.telemetry_queries import DAY, le_sql
 from lorekeep.sources.sinks import read_current
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
 from lorekeep.session import scratch
+from lorekeep.settings import ChunkSettings
 from lorekeep.streaming.run import drain, latest, newest, read_stream
 from lorekeep.streaming.stateful import confirm_stream, conversation_state, rate_limit_stream
 
@@ -111,3 +112,17 @@ def ingest(spark, d):
         stream = read_stream(spark, f"{folder}/{source}")
         ingest_stream(stream, f"{folder}/table", f"{folder}/state-{n}", WHOLE, 16, newest="edition", first_version=1000 * n).awaitTermination()
     return read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
+
+
+@query("stream_ing10_ingest_texts")
+def ingest_texts(spark, d):
+    """The same with the whole texts and the production settings; SQL cannot cut texts into chunks, a test compares with brute force."""
+    folder, docs = scratch(spark), whole_texts(spark, d)
+    later = revised_texts(docs)
+    docs.unionByName(later).write.parquet(f"{folder}/in")
+    docs.write.parquet(f"{folder}/back")
+    later.write.parquet(f"{folder}/again")
+    for n, source in enumerate(("back", "in", "again")):
+        stream = read_stream(spark, f"{folder}/{source}")
+        ingest_stream(stream, f"{folder}/table", f"{folder}/state-{n}", ChunkSettings(), 256, newest="edition", first_version=1000 * n).awaitTermination()
+    return read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
