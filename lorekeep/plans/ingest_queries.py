@@ -142,6 +142,31 @@ def ing6(spark, d):
     )
 
 
+@query(
+    "ing6_to_points_of_all",
+    """SELECT doc_id || '#0' AS id, CAST(doc_id AS VARCHAR) AS document_id, source AS source_id, 'main' AS site_id, 0 AS chunk_index,
+       lang || ' > ' || source AS heading_path, md5(text) AS text, 64 AS dims FROM documents""",
+)
+def ing6_of_all(spark, d):
+    """Every document with the built-in vector of its own text."""
+    rows = ingestion.embed_chunks(table(spark, d, "documents"), dims=64).select(
+        F.lit("main").alias("site_id"),
+        F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("id"),
+        "embedding",
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("source").alias("source_id"),
+        F.lit("page").alias("content_type"),
+        F.sha2("text", 256).alias("content_hash"),
+        F.lit(0).alias("index"),
+        F.lit("t").alias("title"),
+        F.array("lang", "source").alias("heading_path"),
+        F.col("text").alias("body"),
+        F.lit(None).cast("string").alias("url"),
+    )
+    made = ingestion.to_points(rows, F.current_timestamp())
+    return made.select("id", "document_id", "source_id", "site_id", "chunk_index", "heading_path", F.md5("text").alias("text"), F.size("embedding").alias("dims"))
+
+
 def failures(spark, d) -> DataFrame:
     """Toxic documents of src7 and src8 stand for failures."""
     bad = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("toxic = 1 AND source IN ('src7', 'src8')")

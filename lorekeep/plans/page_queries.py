@@ -199,6 +199,14 @@ def cr1_links(spark, d):
     return links.filter(plain).select("page_id", "href", normalize_url("href", normalize_url("url")).alias("url"))
 
 
+@query("cr1_all_links")
+def cr1_all_links(spark, d):
+    """Every link of every page against its address; null where it is not an http(s) address. Tests compare with brute force."""
+    parsed = documents.extract_pages(table(spark, d, "pages"))
+    links = parsed.select("page_id", "url", F.explode("links").alias("href"))
+    return links.select("page_id", "href", normalize_url("href", normalize_url("url")).alias("url"))
+
+
 @query("cr2_allowed_hosts", f"WITH {N} SELECT regexp_extract(host, '(example\\.[a-z]+)$', 1) AS id, min(regexp_extract(host, '(example\\.[a-z]+)$', 1)) AS hosts FROM n GROUP BY 1")
 def cr2(spark, d):
     return crawl.allowed_hosts(source_config(spark, d)).select("id", text_list("hosts").alias("hosts"))

@@ -1,6 +1,7 @@
 """Queries over all rows and whole texts, which SQL cannot state, against brute force on small tables."""
 
 import random
+from urllib.parse import urldefrag, urljoin
 
 import pytest
 
@@ -48,3 +49,19 @@ def test_ingestion_of_whole_texts(spark, folder, name):
         fewer += len(first) > len(second) > 1
     got = [tuple(r) for r in all_queries().QUERIES[name](spark, folder).select("id", "source_id", "body").collect()]
     assert fewer and len(got) == len(want) and set(got) == want
+
+
+def test_every_document_becomes_a_point(spark, folder):
+    got = all_queries().QUERIES["ing6_to_points_of_all"](spark, folder).select("id", "dims").collect()
+    assert sorted(map(tuple, got)) == sorted((f"{i}#0", 64) for i, *_ in DOCS)
+
+
+LINKS = ["/plain", "/a/b?x=1", "/a#part", "../up", "./same", "next.html", "sub/deep/../x", "https://other.example/y?z=1", "//third.example/w", "?q=2", "/a/./b/../c"]
+
+
+def test_all_links_are_resolved(spark, tmp_path):
+    base = "https://kb.example/one/two/page.html"
+    html = "<html><body><p>" + " ".join(f'<a href="{x}">go</a>' for x in LINKS) + "</p></body></html>"
+    spark.createDataFrame([(1, base, html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.href: r.url for r in all_queries().QUERIES["cr1_all_links"](spark, str(tmp_path)).collect()}
+    assert got == {x: urldefrag(urljoin(base, x))[0] for x in LINKS}
