@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import stored
+
 WINDOW = 4096
 END_ID = 2
 PIECES_PER_GROUP = 20_000
@@ -156,6 +158,11 @@ def pieces(documents: DataFrame, vocabulary: str, window: int = WINDOW, end_id:
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def group_count(cut: DataFrame, per_group: int) -> int:
+    """Groups for the pieces, of about ``per_group`` each: a few long texts make many."""
+    return max(1, -(-cut.count() // per_group))
+
+
 def pack(documents: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", per_group: int = PIECES_PER_GROUP) -> DataFrame:
     """Place every token of every document in exactly one sequence of at most ``window`` tokens.
 
@@ -165,8 +172,8 @@ def pack(documents: DataFrame, vocabulary: str, window: int = WINDOW, end_id: in
     columns are left out; an empty table gives no rows. ``vocabulary`` is the path of a tokenizer file that every worker
     can read.
     """
-    groups = max(1, -(-documents.count() // per_group))
-    cut = pieces(documents, vocabulary, window, end_id, id_col, text_col)
+    cut = stored(pieces(documents, vocabulary, window, end_id, id_col, text_col), "pieces")
+    groups = group_count(cut, per_group)
     # repeated rows differ in their place in the partition only, which spreads them
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(id_col, "start", F.monotonically_increasing_id()), F.lit(groups)))
     fields = ["start", "length", "ids_crc32", "doc_tokens"]

@@ -205,6 +205,15 @@ def test_best_fit_decreasing_takes_the_tightest_window():
     assert [o for _, o in packing.best_fit_decreasing(lengths, 64)] == wanted
 
 
+def test_long_texts_are_dealt_to_groups_by_their_pieces(spark):
+    frame = documents(spark, [(1, prose(1, 4000)), (2, prose(2, 4000))])
+    got = rows(packing.pack(frame, VOCABULARY, window=64, per_group=10), "doc_id", "sequence_id")
+    groups = -(-len(got) // 10)
+    # by documents there was one group, whose sequences are numbered without gaps
+    assert groups > 10 and {i for _, i in got} != set(range(len({i for _, i in got})))
+    assert packing.group_count(packing.pieces(frame, VOCABULARY, window=64), 10) == groups
+
+
 def test_packing_places_every_token_once(spark):
     from tokenizers import Tokenizer
 
