@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from typing import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.scale import running_sum, scan_groups
+from lorekeep.scale import ranged_sum, scan_groups
 
 HOUR_MS = 3_600_000
 
@@ -98,8 +98,11 @@ def token_bucket(requests: DataFrame, window_ms: int, max_requests: int, block_m
     )
 
 
-def in_flight(intervals: DataFrame, bucket: Column, keys: list[str] | None = None) -> DataFrame:
-    """Requests in flight after each start or end: keys, at, change, running. Ends come before starts at one instant."""
+def in_flight(intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Requests in flight after each start or end: keys, at, change, running. Ends come before starts at one instant.
+
+    Edges are summed over time ranges of equal row counts, so a rush on one day spreads over many tasks.
+    """
     keys = keys or []
     edges = F.explode(
         F.array(
@@ -110,9 +113,9 @@ def in_flight(intervals: DataFrame, bucket: Column, keys: list[str] | None = Non
     steps = intervals.select(*keys, edges.alias("_e")).select(*keys, "_e.at", "_e.change")
     # equal (time, change) edges are one step: fewer rows, and a total order
     merged = steps.groupBy(*keys, "at", "change").agg(F.sum("change").alias("moved"))
-    return running_sum(merged, keys, bucket, ["at", "change"], F.col("moved"), "running")
+    return ranged_sum(merged, keys, ["at", "change"], F.col("moved"), "running")
 
 
-def high_water(intervals: DataFrame, bucket: Column, keys: list[str] | None = None) -> DataFrame:
+def high_water(intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Most requests in flight at once, per key or overall."""
-    return in_flight(intervals, bucket, keys).groupBy(*(keys or [])).agg(F.max("running").alias("high_water"))
+    return in_flight(intervals, keys).groupBy(*(keys or [])).agg(F.max("running").alias("high_water"))

@@ -239,7 +239,7 @@ EDGES = """e AS (SELECT event_type, (epoch_us(ts) // 1000) AS t, 1 AS c FROM eve
 
 @query("tm13_high_water", f"WITH {EDGES} SELECT max(n) AS high_water FROM (SELECT sum(c) OVER (ORDER BY t, c ROWS UNBOUNDED PRECEDING) AS n FROM e)")
 def tm13(spark, d):
-    return admission.high_water(intervals(spark, d), F.date_trunc("day", "at"))
+    return admission.high_water(intervals(spark, d))
 
 
 @query(
@@ -247,7 +247,7 @@ def tm13(spark, d):
     f"WITH {EDGES} SELECT event_type AS kind, max(n) AS high_water FROM (SELECT event_type, sum(c) OVER (PARTITION BY event_type ORDER BY t, c ROWS UNBOUNDED PRECEDING) AS n FROM e) GROUP BY 1",
 )
 def tm13_by_kind(spark, d):
-    return admission.high_water(intervals(spark, d), F.date_trunc("day", "at"), ["kind"])
+    return admission.high_water(intervals(spark, d), ["kind"])
 
 
 @query(

@@ -10,10 +10,15 @@ from __future__ import annotations
 from itertools import groupby
 from typing import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
+
+from lorekeep.session import scratch
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -75,6 +80,66 @@ def previous_value(df: DataFrame, keys: list[str], bucket: Column, order, value:
     )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, and a value that depends on the layout is fixed."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged_sum(df: DataFrame, keys: list[str], order: list, value: Column, out: str, keep: list[str] | None = None) -> DataFrame:
+    """Running sum (long) of ``value`` per key along ``order``, over ranges of about equal row counts.
+
+    Rows are cut into ranges by (keys, order), so a key with any share of the rows spreads over as many ranges as that
+    share. Each range is summed on its own in sorted order; only a key that goes on from one range into the next needs
+    the totals before it, and there is at most one such key a range, so that table is tiny. Rows with equal keys and
+    order follow in the order of ``order`` only; give a total order where ties matter. ``keep`` names the columns of the
+    result besides ``out`` (default: all).
+    """
+    keep = list(df.columns if keep is None else keep)
+    by = [F.col(k) for k in keys] + _order(order)
+    placed = df.withColumn("_value", value.cast("long")).repartitionByRange(*by).sortWithinPartitions(*by)
+    inner = [*keep, *[k for k in keys if k not in keep]]
+    slim = placed.select(*inner, "_value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, total, first = TaskContext.get().partitionId(), None, 0, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            value = np.asarray(batch.column("_value").fill_null(0))
+            starts = np.zeros(n, bool)
+            for k in keys:
+                codes = np.asarray(batch.column(k).dictionary_encode(null_encoding="encode").indices)
+                starts[1:] |= codes[1:] != codes[:-1]
+            head = tuple(batch.column(k)[0].as_py() for k in keys)
+            starts[0] = last is not None and head != last
+            run_of = np.cumsum(starts)
+            sums = np.cumsum(value)
+            at = np.flatnonzero(starts)
+            before = np.concatenate([[-total], sums[at] - value[at]])  # the first run goes on from the batch before
+            running = sums - before[run_of]
+            flags = (run_of == 0) & first
+            first = bool(flags[-1])
+            last, total = tuple(batch.column(k)[n - 1].as_py() for k in keys), int(running[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(running, pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(flags)], names=[*inner, "_value", out, "_part", "_head"]
+            )
+
+    schema = StructType(list(slim.schema.fields)).add(out, LongType()).add("_part", IntegerType()).add("_head", BooleanType())
+    summed = stored(slim.mapInArrow(run, schema), "ranges")
+    match = lambda names: [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    heads = summed.filter("_head").select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).distinct()  # one a range at most
+    crossing = summed.join(F.broadcast(heads), match([f"_h{i}" for i in range(len(keys))]), "left_semi") if keys else summed
+    totals = crossing.groupBy(*keys, "_part").agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    on = match([f"_k{i}" for i in range(len(keys))])
+    joined = summed.join(F.broadcast(offsets), [*on, F.col("_part") == F.col("_p")], "left")
+    return joined.select(*[c for c in keep], (F.col(out) + F.coalesce("_offset", F.lit(0))).alias(out))
+
+
 def fits_broadcast(row_count: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return row_count * row_bytes <= limit
 
