@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, quality, spans, toxicity, url_rules
+from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, prefix_trie, quality, spans, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that repeats a benchmark item, with the item."""
     leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return leaks.select("doc_id", "item_id", "similarity", "start")
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k,
+                      coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, c - c % 100 AS b, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda z: [ascii(z)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda a, z: CASE WHEN z >= 0 THEN xor(a, z) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+    s AS (SELECT n.c, 0 AS own, k, r, x FROM n JOIN t ON t.c = n.b AND k < h UNION ALL SELECT n.c, 1, k, r, x FROM n JOIN t ON t.c = n.c AND k >= h),
+    p AS (SELECT c, md5(r) || md5(x) AS g, length(x) AS w, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d FROM s),
+    q AS (SELECT c, d, w, md5(string_agg(g, '') OVER (PARTITION BY c ORDER BY d)) AS name FROM p UNION ALL SELECT c, 0, 0, '' FROM n),
+    e AS (SELECT *, lag(name) OVER (PARTITION BY c ORDER BY d) AS parent, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM q),
+    v AS (SELECT name, d, min(c) AS m, count(*) AS n_convs, any_value(w) AS w, any_value(parent) AS parent, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM e GROUP BY 1, 2),
+    k AS (SELECT parent AS name, count(*) AS n FROM v WHERE parent IS NOT NULL GROUP BY 1),
+    u AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN k USING (name)),
+    a AS (SELECT e.name, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * u.w)::BIGINT AS saved FROM u JOIN e ON e.c = u.m AND e.d <= u.d GROUP BY 1)
+    SELECT u.m AS conv_id, u.d AS depth, f.m AS parent_conv_id, u.n_convs, u.n_children, a.n_leaves, a.saved AS saved_tokens, u.ends AS ends_sha256
+    FROM u JOIN a USING (name) LEFT JOIN v f ON u.parent = f.name
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that those of one hundred share their beginnings."""
+    members, steps = prefix_trie.rebuilt(prefix_trie.ordered_turns(table(spark, folder, "conversations")))
+    return prefix_trie.prefix_trie(members, steps)
