@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, prefix_trie, quality, spans, toxicity, url_rules
+from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, prefix_trie, quality, spans, token_alignment, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """The trie of all conversations, rebuilt so that those of one hundred share their beginnings."""
     members, steps = prefix_trie.rebuilt(prefix_trie.ordered_turns(table(spark, folder, "conversations")))
     return prefix_trie.prefix_trie(members, steps)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by a byte-level vocabulary, aligned with its sentence pieces."""
+    names = token_alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, folder, "documents"), names)
