@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_model, packing, prefix_trie, quality, spans, token_alignment, toxicity, url_rules
+from lorekeep.llm import chat_format, decontamination, exact_search, jaccard_join, language_id, language_model, packing, prefix_trie, quality, spans, token_alignment, toxicity, url_rules
 from lorekeep.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,12 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's tokens by a byte-level vocabulary, aligned with its sentence pieces."""
     names = token_alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
     return token_alignment.align(table(spark, folder, "documents"), names)
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those whose id hashes outside the held-out quarter."""
+    documents = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False))
+    found = language_id.identify(documents, language_id.learn(documents.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
