@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over a corpus: which ids cover the same bytes, and in how many documents.
 
-Both token sequences of a text spell the same bytes. Cutting the text where either has a token end gives segments, and
+Texts are tokenized once; the ids are written to the shared folder. Both token sequences of a text spell the same bytes. Cutting the text where either has a token end gives segments, and
 each segment is one link of the token of A and the token of B that cover it. A first pass over the documents gathers the
 distinct linked pairs. A minimal perfect hash numbers them, so counts are dense vectors without keys: tasks count into
 vectors of their own, the vectors are summed in a tree, and a second pass aligns the documents again and looks each pair
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import fresh, stored
 from lorekeep.llm.perfect_hash import PerfectHash, build_shard
 
-#: Characters that are aligned at once; a longer text is taken alone.
-SLICE = 2 << 20
+#: Tokens that are aligned at once; a longer text is taken alone.
+SLICE = 1 << 18
 #: Linked pairs that a worker gathers before it hands them on.
 HELD = 1 << 20
 PAIRS_PER_SHARD = 1 << 15
@@ -68,6 +69,8 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
+        #: Ids take 16 bits where both vocabularies fit.
+        self.id_type = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
         self.a_text = written(len(self.a_bytes))
         self.b_text = written(len(self.b_bytes))
 
@@ -75,14 +78,14 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both, or none where a tokenizer does not spell the text."""
+    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids of both as ``id_type``, or none where a tokenizer does not spell the text."""
         if not text:
-            return [], []
+            return b"", b""
         a, b, spelt = self.a.encode_ordinary(" " + text), self.b.encode(text), (" " + text).encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, b)) != spelt:
-            return [], []
-        return a, b
+            return b"", b""
+        return np.array(a, self.id_type).tobytes(), np.array(b, self.id_type).tobytes()
 
 
 def written(n: int) -> np.ndarray:
@@ -105,13 +108,13 @@ def tokenizers(names: Vocabularies) -> Tokenizers:
 class Aligned:
     """The alignment of several texts. Byte offsets run on from one text to the next."""
 
-    def __init__(self, tools: Tokenizers, texts: list[str | None]):
-        encoded = [tools.encode(t) for t in texts]
+    def __init__(self, tools: Tokenizers, a: list[bytes], b: list[bytes]):
         self.tools = tools
-        self.n_a = np.array([len(a) for a, _ in encoded], np.int64)
-        self.n_b = np.array([len(b) for _, b in encoded], np.int64)
-        self.a = np.fromiter((i for a, _ in encoded for i in a), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter((i for _, b in encoded for i in b), np.int64, int(self.n_b.sum()))
+        size, kind = tools.id_type.itemsize, tools.id_type
+        self.n_a = np.array([len(x) // size for x in a], np.int64)
+        self.n_b = np.array([len(x) // size for x in b], np.int64)
+        self.a = np.frombuffer(b"".join(a), kind).astype(np.int64)
+        self.b = np.frombuffer(b"".join(b), kind).astype(np.int64)
         self.a_end, self.b_end = np.cumsum(tools.a_size[self.a]), np.cumsum(tools.b_size[self.b])
         cuts = np.concatenate([self.a_end, self.b_end])
         cuts.sort(kind="stable")
@@ -155,20 +158,42 @@ class Aligned:
         return [hashlib.sha256(b"".join(said[lo:hi])[:-1]).hexdigest() if hi > lo else "" for lo, hi in zip(until[:-1], until[1:])]
 
 
-def slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive runs of texts of at most ``limit`` characters, or of one text."""
+def tokens(documents: DataFrame, names: Vocabularies, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, a, b) of every row, written to the shared folder; ``row`` tells repeated and null ids apart."""
+    id_type = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = tokenizers(names)
+        for batch in batches:
+            low, held, a, b = 0, 0, [], []
+            for i, text in enumerate(batch.column(2)):
+                both = tools.encode(text.as_py())
+                a.append(both[0])
+                b.append(both[1])
+                held += len(both[0])
+                if held > SLICE * tools.id_type.itemsize or i == batch.num_rows - 1:
+                    part = batch.slice(low, i + 1 - low)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=[id_col, row, "a_ids", "b_ids"])
+                    low, held, a, b = i + 1, 0, [], []
+
+    (row,) = fresh(documents.select(id_col), "row")
+    numbered = documents.select(id_col, F.monotonically_increasing_id().alias(row), text_col)
+    return stored(numbered.mapInArrow(run, f"`{id_col}` {id_type}, `{row}` long, a_ids binary, b_ids binary"), "tokens")
+
+
+def aligned(tools: Tokenizers, batch: pa.RecordBatch) -> Iterator[tuple[int, int, Aligned]]:
+    """The alignment of rows whose last two columns are the ids, in runs of at most ``SLICE`` tokens or of one row."""
+    columns = batch.columns[-2:]
+    sizes = np.asarray(pc.binary_length(columns[0])) // tools.id_type.itemsize
     low, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or "")
-        if held and held + size > limit:
-            yield low, i
+    for i, size in enumerate([*sizes.tolist(), SLICE + 1]):
+        if i > low and (held + size > SLICE or i == batch.num_rows):
+            yield low, i, Aligned(tools, *(c.slice(low, i - low).to_pylist() for c in columns))
             low, held = i, 0
         held += size
-    if low < len(texts):
-        yield low, len(texts)
 
 
-def linked_pairs(documents: DataFrame, names: Vocabularies, text_col: str, held: int = HELD) -> DataFrame:
+def linked_pairs(tokenized: DataFrame, names: Vocabularies, held: int = HELD) -> DataFrame:
     """(pair, docs): partial counts of the documents that hold a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +210,7 @@ def linked_pairs(documents: DataFrame, names: Vocabularies, text_col: str, held:
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + (1 << 17)]), pa.array(docs[a : a + (1 << 17)])], names=["pair", "docs"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for low, high in slices(texts, SLICE):
-                found = Aligned(tools, texts[low:high])
+            for low, high, found in aligned(tools, batch):
                 document = np.repeat(np.arange(high - low), found.n_links)
                 once = np.unique(document * space + found.pairs()) % space
                 pairs, docs = np.unique(once, return_counts=True)
@@ -198,7 +221,7 @@ def linked_pairs(documents: DataFrame, names: Vocabularies, text_col: str, held:
         if parts:
             yield from merged(True)
 
-    return documents.select(text_col).mapInArrow(run, "pair long, docs long")
+    return tokenized.select("a_ids", "b_ids").mapInArrow(run, "pair long, docs long")
 
 
 def tree_sum(vectors: DataFrame, branches: int, fan_in: int = FAN_IN) -> DataFrame:
@@ -254,16 +277,15 @@ class Counts:
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def look_up(documents: DataFrame, names: Vocabularies, counts, id_cols: list[str], text_col: str, complete: bool) -> DataFrame:
+def look_up(tokenized: DataFrame, names: Vocabularies, counts, complete: bool) -> DataFrame:
     """Align again and sum the counts of this round's links. In a ``complete`` round a pair without a count is an error."""
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in id_cols)
+    id_cols = tokenized.columns[:2]
+    schema = ", ".join(f"`{c}` {tokenized.schema[c].dataType.simpleString()}" for c in id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, round_ = tokenizers(names), counts.value
         for batch in batches:
-            texts = batch.column(len(id_cols)).to_pylist()
-            for low, high in slices(texts, SLICE):
-                found = Aligned(tools, texts[low:high])
+            for low, high, found in aligned(tools, batch):
                 pair = found.pairs()
                 a = pair // len(tools.b_bytes)
                 at = round_.lookup.index(pair, a % round_.lookup.shards)
@@ -272,10 +294,10 @@ def look_up(documents: DataFrame, names: Vocabularies, counts, id_cols: list[str
                 docs = np.where(at >= 0, round_.docs[at], 0) if len(round_.docs) else np.zeros(len(at), np.int64)
                 best = (at >= 0) & (docs == round_.best[a])
                 sums = [found.n_a, found.n_b, found.n_groups, found.n_links, found.sums(best.astype(np.int64)), found.sums(docs)]
-                ids = [batch.column(i).slice(low, high - low) for i in range(len(id_cols))]
+                ids = [batch.column(i).slice(low, high - low) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([*ids, *[pa.array(s, pa.int64()) for s in sums], pa.array(found.digests(), pa.string())], names=[*id_cols, *[f.split()[0] for f in RESULT.split(", ")]])
 
-    return documents.select(*id_cols, text_col).mapInArrow(run, f"{schema}, {RESULT}")
+    return tokenized.mapInArrow(run, f"{schema}, {RESULT}")
 
 
 def align(documents: DataFrame, names: Vocabularies, id_col: str = "doc_id", text_col: str = "text", round_bytes: int = ROUND_BYTES, per_shard: int = PAIRS_PER_SHARD) -> DataFrame:
@@ -285,11 +307,12 @@ def align(documents: DataFrame, names: Vocabularies, id_col: str = "doc_id", tex
     in as many documents as any pair of its id of A), count_sum (over links, the documents that hold the pair), and
     groups_sha256 (of ``a1,a2|b1;a3|b2,b3``). Texts that are null, empty or spelt otherwise by a tokenizer have zeros and an
     empty digest. Repeated rows are documents of their own, null ids are kept, other columns are left out; an empty table
-    gives no rows. One pass gathers the pairs, one more for each ``round_bytes`` of distinct pairs looks them up.
+    gives no rows. One pass over the ids gathers the pairs, one more for each ``round_bytes`` of distinct pairs looks them up.
     """
     spark = documents.sparkSession
     width = len(tokenizers(names).b_bytes)
-    pairs = stored(linked_pairs(documents, names, text_col), "linked-pairs")
+    tokenized = tokens(documents, names, id_col, text_col)
+    pairs = stored(linked_pairs(tokenized, names), "linked-pairs")
     distinct = stored(pairs.select("pair").distinct(), "pairs")
     n = distinct.count()
     shards = max(1, -(-n // per_shard))
@@ -301,10 +324,6 @@ def align(documents: DataFrame, names: Vocabularies, id_col: str = "doc_id", tex
 
     sharded = distinct.withColumn("shard", F.expr(f"cast(pair div {width} % {shards} AS int)"))
     hashes = stored(sharded.groupBy("shard").applyInArrow(build, "shard int, sizes array<long>, bits binary, keys binary"), "hashes")
-    rows, id_cols = documents, [id_col]
-    if rounds > 1:  # the rounds of a row meet by a number that must not change from one scan to the next
-        (row,) = fresh(documents.select(id_col, text_col), "_row")
-        rows, id_cols = stored(documents.select(id_col, text_col).withColumn(row, F.monotonically_increasing_id()), "numbered"), [id_col, row]
     parts = []
     for r in range(rounds):
         built = [(b.shard, b.sizes, bytes(b.bits), bytes(b.keys)) for b in hashes.filter(F.col("shard") % rounds == r).collect()]
@@ -314,9 +333,10 @@ def align(documents: DataFrame, names: Vocabularies, id_col: str = "doc_id", tex
         best = np.zeros(len(tokenizers(names).a_bytes), np.int64)
         np.maximum.at(best, lookup.keys // width, docs)
         shared.unpersist()
-        parts.append(look_up(rows, names, spark.sparkContext.broadcast(Counts(lookup, docs, best)), id_cols, text_col, rounds == 1))
+        parts.append(look_up(tokenized, names, spark.sparkContext.broadcast(Counts(lookup, docs, best)), rounds == 1))
+    id_cols = tokenized.columns[:2]
     if rounds == 1:
-        return parts[0]
+        return parts[0].drop(id_cols[1])
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
