@@ -118,6 +118,12 @@ PIECES = T.StructType(
 )
 
 
+def chunk_text_column(settings: ChunkSettings) -> Column:
+    """The text that is embedded and hashed, from a chunk's title, heading path and body."""
+    prefix = chunk_prefix(F.coalesce("title", F.lit("")), F.col("heading_path")) if settings.include_heading_path else F.lit("")
+    return F.concat(prefix, F.col("body"))
+
+
 def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """documents(id, title, text) -> document_id, id, index, text, body, heading_path, content_hash and ``keep``.
 
@@ -136,11 +142,10 @@ def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(),
             yield pd.concat([head, pd.DataFrame(rows, columns=PIECES.names)], axis=1)
 
     cut = docs.select(*carried, "text").mapInPandas(run, schema)
-    prefix = chunk_prefix(F.coalesce("title", F.lit("")), F.col("heading_path")) if settings.include_heading_path else F.lit("")
     return (
         cut.withColumnRenamed("id", "document_id")
         .withColumn("id", F.concat(F.col("document_id").cast("string"), F.lit("#"), F.col("index")))
-        .withColumn("text", F.concat(prefix, F.col("body")))
+        .withColumn("text", chunk_text_column(settings))
         .withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
     )
 

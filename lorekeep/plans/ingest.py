@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.chunking import chunk_documents
+from lorekeep.operators.chunking import chunk_documents, chunk_text_column
 from lorekeep.operators.ingestion import diff_chunks, document_failures, embed_chunks, ingest_counts, orphan_chunks, prune_plan, quarantine, run_report, to_points
-from lorekeep.session import durable
+from lorekeep.scale import stored
 from lorekeep.settings import ChunkSettings
-from lorekeep.sources.sinks import has_versions, newest_rows, read_current, write_version
+from lorekeep.sources.versions import compact_levels, has_versions, newest_rows, read_current, write_version
 
 CARRIED = ("site_id", "source_id", "content_type", "url")
 KNOWN = ["source_id", "document_id", "content_hash"]
@@ -25,28 +25,38 @@ def newest_documents(documents: DataFrame, version: str | None) -> DataFrame:
 
 
 def changes(documents: DataFrame, known: DataFrame, settings: ChunkSettings, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(chunks with ``changed``, orphans) of a batch. A document that now has no text is seen, and loses all its chunks."""
-    chunks = durable(chunk_documents(documents, settings, CARRIED))
+    """(chunks with ``changed``, orphans) of a batch. A document that now has no text is seen, and loses all its chunks.
+
+    Chunks are cut once and written without their text, which is made again from the body for those that are embedded.
+    """
+    chunks = stored(chunk_documents(documents, settings, CARRIED).drop("text"), "chunks")
     seen = documents.select("site_id", F.col("id").alias("document_id"))
     return diff_chunks(chunks, known, force), orphan_chunks(chunks, known, seen)
 
 
+def embedded(diffed: DataFrame, settings: ChunkSettings, embed, dims: int) -> DataFrame:
+    changed = diffed.filter("changed").drop("changed").withColumn("text", chunk_text_column(settings))
+    return to_points(embed_chunks(changed, embed, dims), F.current_timestamp())
+
+
 def ingest_batch(documents: DataFrame, table: str, version: int, settings: ChunkSettings, dims: int, embed=None, newest: str | None = None) -> None:
     """Write one batch as version ``version``; a replay sees the versions before it and writes the same again.
 
+    Only the buckets of the batch's documents are read. Earlier versions are merged by size first.
+
     Documents without an id are left out, as nothing could be stored under them; ``run_ingestion`` counts them. Each changed
     chunk is embedded once.
     """
     spark = documents.sparkSession
-    usable = durable(newest_documents(documents, newest).filter("id IS NOT NULL"))
+    usable = stored(newest_documents(documents, newest).filter("id IS NOT NULL"), "batch")
     if has_versions(spark, table):
-        batch = usable.select("site_id", F.col("id").alias("document_id")).distinct()
-        known = durable(read_current(spark, table, KNOWN, before=version).join(batch, ["site_id", "document_id"], "left_semi"))
+        compact_levels(spark, table, before=version)
+        batch = usable.select("site_id", F.col("id").alias("document_id"))
+        known = stored(read_current(spark, table, KNOWN, before=version, documents=batch), "known")
     else:
         known = spark.createDataFrame([], EMPTY)
     diffed, orphans = changes(usable, known, settings)
-    points = to_points(embed_chunks(diffed.filter("changed").drop("changed"), embed, dims), F.current_timestamp())
-    write_version(points, table, version, orphans)
+    write_version(embedded(diffed, settings, embed, dims), table, version, orphans)
 
 
 def run_ingestion(documents: DataFrame, table: str, version: int, settings: ChunkSettings = ChunkSettings(), dims: int = 256, embed=None,
@@ -57,19 +67,19 @@ def run_ingestion(documents: DataFrame, table: str, version: int, settings: Chun
     failure of the run's documents: such a document is seen and loses its chunks. Returns the report of ``run_report``.
     """
     spark = documents.sparkSession
-    latest = durable(newest_documents(documents, newest))
+    latest = stored(newest_documents(documents, newest), "latest")
     usable = latest.filter("id IS NOT NULL")
     failures = document_failures(quarantine(latest)[1].filter("failure = 'no id'").select("site_id", "source_id"), crawl_failures)
-    known = durable(read_current(spark, table, KNOWN, before=version)) if has_versions(spark, table) else spark.createDataFrame([], EMPTY)
+    known = stored(read_current(spark, table, KNOWN, before=version), "known") if has_versions(spark, table) else spark.createDataFrame([], EMPTY)
     diffed, orphans = changes(usable, known, settings, force)
-    diffed, orphans = durable(diffed), durable(orphans)
+    orphans = stored(orphans, "orphans")
     seen = usable.select("site_id", "source_id", F.col("id").alias("document_id"))
     decision, removed = prune_plan(known, seen, failures)
-    decision, removed = durable(decision), durable(removed)
+    decision, removed = stored(decision, "decision"), stored(removed, "removed")
     if not prune:
         decision = decision.withColumns({"pruned": F.lit(False), "documents_removed": F.lit(0).cast("long"), "chunks_removed": F.lit(0).cast("long")})
         removed = removed.limit(0)
-    points = to_points(embed_chunks(diffed.filter("changed").drop("changed"), embed, dims), F.current_timestamp())
-    write_version(points, table, version, orphans.select("site_id", "id").union(removed.select("site_id", "id")))
+    gone = ["site_id", "id", "document_id"]
+    write_version(embedded(diffed, settings, embed, dims), table, version, orphans.select(*gone).union(removed.select(*gone)))
     counted = usable.groupBy("source_id").agg(F.count_distinct("site_id", "id").alias("documents"))
     return run_report(counted, ingest_counts(diffed, orphans, ["source_id"]), decision)

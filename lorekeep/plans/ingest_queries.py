@@ -11,7 +11,7 @@ from lorekeep.plans.ingest import run_ingestion
 from lorekeep.plans.search_queries import SETTINGS
 from lorekeep.session import scratch
 from lorekeep.settings import ChunkSettings
-from lorekeep.sources import sinks
+from lorekeep.sources import sinks, versions
 from lorekeep.operators import evaluation
 from lorekeep.plans import search_queries
 
@@ -264,7 +264,7 @@ def full_run(spark, d):
     folder, docs = scratch(spark), whole_documents(spark, d)
     run_ingestion(docs, f"{folder}/table", 0, WHOLE, 16)
     run_ingestion(second_edition(docs), f"{folder}/table", 1, WHOLE, 16)
-    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
+    return versions.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
 
 
 @query("ing_run_without_prune", SURVIVORS.format(kept="true", pruned="true"))
@@ -273,7 +273,7 @@ def run_without_prune(spark, d):
     folder, docs = scratch(spark), whole_documents(spark, d)
     run_ingestion(docs, f"{folder}/table", 0, WHOLE, 16)
     run_ingestion(second_edition(docs), f"{folder}/table", 1, WHOLE, 16, prune=False)
-    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
+    return versions.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
 
 
 def whole_texts(spark, d) -> DataFrame:
@@ -301,7 +301,7 @@ def run_texts(spark, d, prune: bool) -> DataFrame:
     folder, docs = scratch(spark), whole_texts(spark, d)
     run_ingestion(docs, f"{folder}/table", 0)
     run_ingestion(second_texts(docs), f"{folder}/table", 1, prune=prune)
-    return sinks.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"), F.size("embedding").alias("dims"))
+    return versions.read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"), F.size("embedding").alias("dims"))
 
 
 # SQL cannot cut texts into chunks; a test compares these with brute force
@@ -325,10 +325,10 @@ def snk1(spark, d):
     """Write the stored version, upsert the new one, read the table back."""
     folder = scratch(spark)
     columns = ["site_id", "id", "source_id", "document_id", "body", "content_hash"]
-    sinks.upsert_vectors(stored_chunks(spark, d).select(columns), f"{folder}/table", 1)
-    sinks.upsert_vectors(new_chunks(spark, d).select(columns), f"{folder}/table", 2)
-    sinks.compact(spark, f"{folder}/table", f"{folder}/compacted")
-    return sinks.read_current(spark, f"{folder}/compacted").select("id", F.md5("body").alias("body"))
+    versions.upsert_vectors(stored_chunks(spark, d).select(columns), f"{folder}/table", 1)
+    versions.upsert_vectors(new_chunks(spark, d).select(columns), f"{folder}/table", 2)
+    versions.compact(spark, f"{folder}/table", f"{folder}/compacted")
+    return versions.read_current(spark, f"{folder}/compacted").select("id", F.md5("body").alias("body"))
 
 
 @query("snk2_write_report", f"{search_queries.FULL} SELECT count(*) FILTER (passed) AS passed, count(*) AS total, 'baseline' AS run FROM res")

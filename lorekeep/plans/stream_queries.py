@@ -11,7 +11,7 @@ from lorekeep.plans.commerce_queries import proposals
 from lorekeep.plans.conversation_queries import BASE, TIMED
 from lorekeep.plans.ingest_queries import WHOLE, revised_texts, whole_documents, whole_texts
 from lorekeep.plans.telemetry_queries import DAY, le_sql
-from lorekeep.sources.sinks import read_current
+from lorekeep.sources.versions import read_current
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
 from lorekeep.session import scratch

@@ -1,4 +1,4 @@
-"""Writing vectors, evaluation snapshots and metric text."""
+"""Writing evaluation snapshots and metric text."""
 
 from __future__ import annotations
 
@@ -6,62 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-KEYS = ("site_id", "id")
-
-
-def newest_rows(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key: that of the highest version. Sums are partial before the shuffle, so a key with many rows is cheap."""
-    others = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*others), F.struct(version, F.xxhash64(*others)))
-    return rows.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
-
-
-def write_version(points: DataFrame, path: str, version: int, deleted: DataFrame | None = None) -> None:
-    """Add one version to a vector table: upserts, and tombstones for the keys in ``deleted``.
-
-    Nothing stored is rewritten, whatever the size of the tenant. A version that is written again, as after a failure,
-    replaces itself. Of several rows of one id within ``points`` one stays.
-    """
-    rows = points.dropDuplicates(list(KEYS)).withColumn("deleted", F.lit(False))
-    if deleted is not None:
-        gone = deleted.select(*KEYS).distinct().withColumn("deleted", F.lit(True))
-        rows = rows.unionByName(gone, allowMissingColumns=True)
-    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
-def has_versions(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except Exception as error:  # the first run has no table yet
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
-    return True
-
-
-def read_current(spark, path: str, columns: list[str] | None = None, before: int | None = None) -> DataFrame:
-    """The table as of now, or as it was ``before`` a version: the newest row of each id, without deleted ones.
-
-    Name the ``columns`` that are needed; vectors and texts are not read otherwise.
-    """
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
-    if before is not None:
-        rows = rows.filter(F.col("version") < before)
-    if columns is not None:
-        rows = rows.select(*dict.fromkeys([*KEYS, *columns, "version", "deleted"]))
-    return newest_rows(rows, list(KEYS), "version").filter(~F.col("deleted")).drop("deleted", "version")
-
-
-def upsert_vectors(points: DataFrame, path: str, version: int) -> None:
-    """Upsert by (site, id) as one more version of the table."""
-    write_version(points, path, version)
-
-
-def compact(spark, path: str, target: str) -> None:
-    """Write the resolved table to a new place as its version 0; readers then move over."""
-    write_version(read_current(spark, path), target, 0)
-
-
 def write_report(report: DataFrame, path: str, label: str) -> None:
     """One JSON snapshot per run label."""
     (

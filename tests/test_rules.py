@@ -10,7 +10,7 @@ from lorekeep.operators.chunking import chunk_text, split_oversized, tail_overla
 from lorekeep.operators.ingestion import quarantine
 from lorekeep.plans.ingest import ingest_batch, run_ingestion
 from lorekeep.settings import ChunkSettings
-from lorekeep.sources.sinks import compact, read_current, write_version
+from lorekeep.sources.versions import compact, read_current, write_version
 
 
 def rows(df):
