@@ -50,6 +50,7 @@ def _is_phone(found: str) -> bool:
 
 
 RULES = (("email", EMAIL, None), ("payment card", CARD, _is_card), ("phone number", PHONE, _is_phone))
+CATEGORIES = tuple(label for label, _, _ in RULES)
 
 
 def redact_text(text: str) -> tuple[str, list[str]]:

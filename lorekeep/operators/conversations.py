@@ -133,18 +133,26 @@ def reassemble_answers(events: DataFrame, key: str = "turn_id") -> DataFrame:
     return joined_in_order(deltas, [key], "seq", "text", "answer")
 
 
-def valid_requests(raw: DataFrame, max_message: int, known: tuple[str, ...] = ("conversationId", "message")) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reason) from rows with ``fields`` (map of field to text)."""
+REQUEST_REASONS = ("conversation id", "empty message", "message too long", "unknown field")
+
+
+def marked_requests(raw: DataFrame, max_message: int, known: tuple[str, ...] = ("conversationId", "message")) -> DataFrame:
+    """Rows with ``fields`` (map of field to text), with conversation_id, message and the ``reason`` of a rejection, else null."""
     conversation = F.try_element_at("fields", F.lit("conversationId"))
     message = js_trim(F.try_element_at("fields", F.lit("message")))
     extra = F.size(F.array_except(F.map_keys("fields"), F.array(*[F.lit(k) for k in known]))) > 0
     reason = (
-        F.when(conversation.isNotNull() & ~conversation.rlike(r"^[A-Za-z0-9_-]{1,64}\z"), "conversation id")
-        .when(message.isNull() | (message == ""), "empty message")
-        .when(F.length(message) > max_message, "message too long")
-        .when(extra, "unknown field")
+        F.when(conversation.isNotNull() & ~conversation.rlike(r"^[A-Za-z0-9_-]{1,64}\z"), REQUEST_REASONS[0])
+        .when(message.isNull() | (message == ""), REQUEST_REASONS[1])
+        .when(F.length(message) > max_message, REQUEST_REASONS[2])
+        .when(extra, REQUEST_REASONS[3])
     )
-    marked = raw.withColumns({"conversation_id": conversation, "message": message, "reason": reason})
+    return raw.withColumns({"conversation_id": conversation, "message": message, "reason": reason})
+
+
+def valid_requests(raw: DataFrame, max_message: int, known: tuple[str, ...] = ("conversationId", "message")) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason)."""
+    marked = marked_requests(raw, max_message, known)
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 

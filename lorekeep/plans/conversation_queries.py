@@ -85,6 +85,36 @@ def cv6(spark, d):
     return cleaned.select("doc_id", F.md5("r.text").alias("text"), F.array_join("r.removed", "|").alias("removed"))
 
 
+PLANTED = """p AS (SELECT conv_id, turn, role, regexp_replace(text, '[0-9@+]', '', 'g') AS said, CASE WHEN role = 'user' THEN 'email' WHEN turn % 4 = 1 THEN 'payment card' WHEN turn % 4 = 3 THEN 'phone number' END AS kind FROM conversations)"""
+
+
+def planted_turns(spark, d) -> DataFrame:
+    """Whole turns without digits, at signs and plus signs, each with one thing to remove behind it, or with a number that is none."""
+    kept = F.regexp_replace("text", "[0-9@+]", "")
+    tail = (
+        F.when(F.col("role") == "user", F.lit(" write to jo.doe+x@mail.example.org now"))
+        .when(F.col("turn") % 4 == 1, F.lit(" card 4111 1111 1111 1111 ok"))
+        .when(F.col("turn") % 4 == 3, F.lit(" call +49 170 1234567 ok"))
+        .otherwise(F.lit(" see https://a.example/x@y.org and 4111 1111 1111 1112 ok"))
+    )
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.concat(kept, tail).alias("content"))
+
+
+@query(
+    "cv6_redact_planted",
+    f"""WITH {PLANTED} SELECT conv_id, turn, coalesce(kind, '') AS removed, md5(said || CASE kind WHEN 'email' THEN ' write to [removed] now' WHEN 'payment card' THEN ' card [removed] ok'
+        WHEN 'phone number' THEN ' call [removed] ok' ELSE ' see https://a.example/x@y.org and 4111 1111 1111 1112 ok' END) AS text FROM p""",
+)
+def cv6_planted(spark, d):
+    cleaned = planted_turns(spark, d).withColumn("r", redact("content"))
+    return cleaned.select("conv_id", "turn", F.array_join("r.removed", "|").alias("removed"), F.md5("r.text").alias("text"))
+
+
+@query("cv7_redact_planted", f"WITH {PLANTED} SELECT role, kind AS category, count(*) AS turns FROM p WHERE kind IS NOT NULL GROUP BY ALL")
+def cv7_planted(spark, d):
+    return cv.redaction_counts(cv.redact_turns(planted_turns(spark, d)), ["role"])
+
+
 @query("cv7_redact_turns")
 def cv7(spark, d):
     """Conversations and documents as turns, counted by category."""

@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import telemetry
 from lorekeep.plans.catalog import ORACLE, query, table
-from lorekeep.plans.commerce_queries import proposals
-from lorekeep.plans.conversation_queries import BASE, TIMED
+from lorekeep.plans.commerce_queries import confirms, keyed_requests, proposals
+from lorekeep.plans.conversation_queries import BASE, CHECKED, PLANTED, TIMED, planted_turns, requests, stream_events
 from lorekeep.plans.ingest_queries import WHOLE, revised_texts, whole_documents, whole_texts
-from lorekeep.plans.telemetry_queries import DAY, le_sql
+from lorekeep.plans.telemetry_queries import DAY, NO_ANSWER, TURNS, le_sql, turn_log
 from lorekeep.sources.versions import read_current
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
 from lorekeep.session import scratch
 from lorekeep.settings import ChunkSettings
-from lorekeep.streaming.run import drain, latest, newest, read_stream
-from lorekeep.streaming.stateful import confirm_stream, conversation_state, rate_limit_stream
+from lorekeep.streaming.processors import answers_stream, apply_once_stream, confirm_stream, first_token_stream
+from lorekeep.streaming.routes import observed, redacted_stream, requests_stream, routed
+from lorekeep.streaming.run import drain, in_batches, latest, newest, read_stream
+from lorekeep.streaming.stateful import conversation_state, rate_limit_stream
+
+
+LONG_AFTER = "2200-01-01 00:00:00"
+
+
+def clock(rows: DataFrame, **values) -> DataFrame:
+    """One row of a clock, long after all others."""
+    return rows.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
+def timed_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def event_stream(spark, d) -> DataFrame:
@@ -37,8 +51,11 @@ def histogram(spark, d):
 
 @query("stream_tm1_windowed", "SELECT event_type, date_trunc('day', ts) AS day, count(*) AS count FROM events GROUP BY ALL")
 def windowed(spark, d):
-    out = latest(drain(metrics.windowed_counter(event_stream(spark, d), "at", "1 day", ["event_type"], "1 day"), "complete"))
-    return out.select("event_type", F.col("window.start").alias("day"), "count")
+    """Windows go out once they have passed, in append mode; a clock closes the last."""
+    rows = timed_events(spark, d)
+    stream = in_batches(rows, F.col("event_id") % 3, 3, clock(rows, event_type="clock", at=LONG_AFTER))
+    out = drain(metrics.windowed_counter(stream, "at", "1 day", ["event_type"], "9000 days"))
+    return out.filter("event_type <> 'clock'").select("event_type", F.col("window.start").alias("day"), "count")
 
 
 @query("stream_tm12_rate_limit", ORACLE["tm12_rate_limit"].replace(
@@ -65,37 +82,111 @@ def conversations(spark, d):
 
 @query("stream_co18_confirm", ORACLE["co18_confirm_proposals"])
 def confirmations(spark, d):
-    """Confirmations arrive as a stream and are settled against the proposals table."""
-    lines = read_stream(spark, f"{d}/lineitem.parquet")
-    orders = table(spark, d, "orders")
-    stranger = (F.col("l_returnflag") == "A").cast("long")
-    tried = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.lit("main").alias("site_id"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("confirm_id"),
-        F.col("l_orderkey").alias("proposal_id"),
-        (F.col("o_custkey") - stranger).alias("subject"),
-        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=3 * F.col("l_linenumber"))).alias("at"),
-    )
-    folder = scratch(spark)
-    confirm_stream(tried, proposals(spark, d), f"{folder}/out", f"{folder}/state").awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
+    """Confirmations arrive in four batches, by their time, and are settled against the proposals table."""
+    tried = confirms(spark, d).select("site_id", "confirm_id", "proposal_id", "subject", "at")
+    days = F.datediff("at", F.lit("1992-01-01")) % 1000
+    stream = in_batches(tried, F.least(F.floor(days / 250), F.lit(3)), 4)
+    out = drain(confirm_stream(stream, proposals(spark, d), late="9000 days"), keyed=True)
     return out.select("confirm_id.l_orderkey", "confirm_id.l_linenumber", "confirm_id.l_partkey", "status")
 
 
-@query("stream_co19_apply_once", "SELECT l_suppkey AS owner, l_returnflag || l_linestatus AS key FROM lineitem WHERE l_discount > 0 GROUP BY ALL")
+def once(spark, d) -> DataFrame:
+    """Replies and errors of keyed requests that arrive in four batches, in order of their time."""
+    requests = keyed_requests(spark, d).withColumn("at", F.col("l_shipdate").cast("timestamp"))
+    years = F.least(F.greatest(F.floor((F.year("at") - 1992) / 2), F.lit(0)), F.lit(3))
+    return drain(apply_once_stream(in_batches(requests, years, 4), keep_seconds=20_000 * 86_400), keyed=True)
+
+
+@query("stream_co19_apply_once", ORACLE["co19_idempotent_apply"])
 def apply_once(spark, d):
-    requests = read_stream(spark, f"{d}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("owner"), F.when(F.col("l_discount") > 0, F.concat("l_returnflag", "l_linestatus")).alias("key"), F.col("l_shipdate").cast("timestamp").alias("at")
+    """Every repeat gets the first answer, also when that came batches ago."""
+    return once(spark, d).filter("error IS NULL").select("request_id.l_orderkey", "request_id.l_linenumber", "request_id.l_partkey", "outcome", "replayed")
+
+
+@query("stream_co19_missing_keys", ORACLE["co19_missing_keys"])
+def missing_keys(spark, d):
+    return once(spark, d).filter("error IS NOT NULL").agg(F.count("*").alias("errors"))
+
+
+@query("stream_cv10_reassemble_answers", ORACLE["cv10_reassemble_answers"])
+def answers(spark, d):
+    """The pieces of all answers arrive shuffled over four batches."""
+    events = stream_events(spark, d).select("turn_id", "type", "seq", "text", "at")
+    stream = in_batches(events, F.pmod(F.xxhash64("turn_id", "seq"), F.lit(4)), 4, clock(events, turn_id="clock", type="tick", seq=0, at=LONG_AFTER))
+    return drain(answers_stream(stream, late="1000 days"), keyed=True).select("turn_id", F.md5("answer").alias("answer"))
+
+
+@query("stream_tm6_first_token", ORACLE["tm6_time_to_first_token"])
+def first_token(spark, d):
+    """Events arrive in order in three batches; each turn is told once, at its first delta."""
+    events = stream_events(spark, d).select("turn_id", "type", "seq", "at")
+    return drain(first_token_stream(in_batches(events, F.least(F.floor(F.col("seq") / 20), F.lit(2)), 3), late="1000 days"), keyed=True)
+
+
+def streamed_outcomes(spark, d) -> DataFrame:
+    """Turns start in one stream and end in another, each in three batches of its own."""
+    log = turn_log(spark, d).select("*", F.monotonically_increasing_id().alias("turn_id"))
+    at = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, turn_id)")
+    starts = log.select("turn_id", "mode", at.alias("at"))
+    dones = log.filter("completed").select("turn_id", "answer", "grounded", (at + F.expr("make_dt_interval(0, 0, 0, duration_ms / 1000)")).alias("at"))
+    feed = lambda rows, third: in_batches(rows, third % 3, 3, clock(rows, turn_id=-1, mode="clock", at=LONG_AFTER))
+    out = drain(metrics.turn_outcomes_stream(feed(starts, F.col("turn_id")), feed(dones, F.col("turn_id") + 1), NO_ANSWER, late="1000 days"))
+    return out.filter("turn_id >= 0")
+
+
+@query("stream_tm5_turn_outcomes", ORACLE["tm5_turn_outcomes"])
+def outcomes(spark, d):
+    return streamed_outcomes(spark, d).groupBy("mode", "outcome").agg(F.count("*").alias("count"))
+
+
+@query("stream_tm7_abandoned", f"WITH {TURNS} SELECT mode, count(*) AS turns FROM tl WHERE size >= 1500 GROUP BY mode")
+def abandoned(spark, d):
+    """Turns whose end never came, by mode."""
+    return streamed_outcomes(spark, d).filter("outcome IN ('abandoned', 'failed')").groupBy("mode").agg(F.count("*").alias("turns"))
+
+
+@query("stream_tm17_turn_summary", ORACLE["tm17_turn_summary"])
+def summary(spark, d):
+    """Each turn is one event per round; turns are closed and then summed, in append mode."""
+    log = turn_log(spark, d).select("*", F.monotonically_increasing_id().alias("turn_id"))
+    rounds = log.select(
+        "turn_id", "mode", "sources", "history_turns", "persisted", "grounded", F.explode(F.sequence(F.lit(0), "rounds")).alias("round"),
+        F.expr("timestamp '2024-01-01 06:00:00' + make_dt_interval(0, 0, 0, turn_id % 36000)").alias("at"),
     )
-    return drain(metrics.apply_once(requests, keep="20000 days")).select("owner", "key")
+    stream = in_batches(rounds, F.col("round") % 3, 3, clock(rounds, turn_id=-1, mode="clock", round=0, at=LONG_AFTER))
+    return drain(metrics.turn_summary_stream(stream, late="2 days")).filter("mode <> 'clock'").drop("window_start")
+
+
+@query("stream_cv11_requests", f"""WITH {CHECKED} SELECT coalesce(reason, 'accepted') AS metric, count(*) AS count FROM c GROUP BY 1""")
+def checked_requests(spark, d):
+    """What one pass counted while it sent requests to two places."""
+    folder, rows = scratch(spark), requests(spark, d)
+    requests_stream(in_batches(rows, F.col("conv_id") % 3, 3), 800, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return observed(spark, f"{folder}/out")
+
+
+@query("stream_cv11_accepted", ORACLE["cv11_accepted_requests"])
+def accepted_requests(spark, d):
+    folder, rows = scratch(spark), requests(spark, d)
+    requests_stream(in_batches(rows, F.col("conv_id") % 3, 3), 800, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return routed(spark, f"{folder}/out", "accepted").select("conv_id", "turn")
+
+
+@query("stream_cv7_redact_turns", f"WITH {PLANTED} SELECT kind AS metric, count(*) AS count FROM p WHERE kind IS NOT NULL GROUP BY 1")
+def redacted(spark, d):
+    """Categories counted while the cleaned turns were written."""
+    folder, rows = scratch(spark), planted_turns(spark, d)
+    redacted_stream(in_batches(rows, F.col("conv_id") % 3, 3), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return observed(spark, f"{folder}/out")
 
 
 @query("stream_tm7_sessions", "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap, max(ts) OVER () AS last, max(ts) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS mine FROM events) WHERE gap IS NULL OR gap >= INTERVAL 2 HOUR GROUP BY user_id")
 def sessions(spark, d):
-    """Visits of each user, closed by two hours without an event."""
-    rows = event_stream(spark, d).select(F.col("user_id").alias("turn_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("delta").alias("type"), "at")
-    out = drain(metrics.stream_sessions(rows, "2 hours", "1 day"), "complete")
-    return latest(out).groupBy(F.col("turn_id").alias("user_id")).agg(F.count("*").alias("sessions"))
+    """Visits of each user, closed by two hours without an event; each goes out once it is closed."""
+    rows = timed_events(spark, d).select(F.col("user_id").alias("turn_id"), F.when(F.col("event_type") == "purchase", "done").otherwise("delta").alias("type"), "at")
+    stream = in_batches(rows, F.pmod(F.xxhash64("turn_id", "at"), F.lit(3)), 3, clock(rows, type="clock", at=LONG_AFTER))
+    out = drain(metrics.stream_sessions(stream, "2 hours", "9000 days"))
+    return out.filter("turn_id IS NOT NULL").groupBy(F.col("turn_id").alias("user_id")).agg(F.count("*").alias("sessions"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,12 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available and return the output.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, mode: str = "append", keyed: bool = False) -> DataFrame:
+    """Process everything available and return the output. ``keyed``: the query holds state with timers, in RocksDB.
 
     Append output is written by the file sink. In the other modes each batch goes to a folder of its own with its
     number as ``batch_id``, so that later versions of a row can be told from earlier ones.
@@ -35,12 +39,31 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
             batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
         writer = stream.writeStream.foreachBatch(write)
-    running = writer.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(STORE)
+    if keyed:
+        spark.conf.set(STORE, ROCKSDB)
+    try:  # a query keeps the store that it was started with
+        running = writer.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
     running.awaitTermination()
     numbered = [] if mode == "append" else [T.StructField("batch_id", T.IntegerType())]
     return spark.read.schema(T.StructType(stream.schema.fields + numbered)).parquet(f"{folder}/out")
 
 
+def in_batches(rows: DataFrame, order: Column, batches: int, end: DataFrame | None = None) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches, dealt by ``order`` (a number from 0), with ``end`` as the last.
+
+    ``end`` holds rows from long after, such as a clock sends, so that the watermark passes everything before.
+    """
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    for n in range(batches):
+        rows.filter(order == n).coalesce(1).write.mode("append").parquet(folder)
+    if end is not None:
+        end.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Update output: for each key the rows of the newest batch that wrote it."""
     last = rows.groupBy(*keys).agg(F.max("batch_id").alias("_newest")).withColumnsRenamed({k: f"_{k}" for k in keys})

@@ -1,4 +1,4 @@
-"""Operators that remember something per key between batches: live conversations, token buckets, taken proposals."""
+"""Operators that remember something per key between batches: live conversations and token buckets."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.operators.admission import take
-from lorekeep.operators.commerce import confirm_proposals
 
 TURN = ["seq", "us", "role", "content"]
 CONVERSATION_STATE = "seq array<long>, us array<long>, role array<string>, content array<string>"
@@ -99,28 +98,3 @@ def rate_limit_stream(requests: DataFrame, window_ms: int, max_requests: int, la
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-
-
-def confirm_stream(confirms: DataFrame, proposals: DataFrame, out: str, checkpoint: str):
-    """Start the query: each batch of confirmations is settled against the proposals nobody has taken yet.
-
-    ``out`` holds the verdicts of every batch in a folder of its own and is also the memory of what was taken, so a
-    batch that is replayed after a failure sees the same earlier batches and writes the same verdicts again. Within a
-    batch the earliest valid confirmation wins.
-    """
-    spark = confirms.sparkSession
-
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        waiting = proposals
-        if batch_id > 0:
-            verdicts = spark.read.parquet(*[f"{out}/batch_id={i}" for i in range(batch_id)])
-            taken = verdicts.filter("status <> 'gone'").select("site_id", F.col("proposal_id").alias("id"))
-            waiting = proposals.join(taken, ["site_id", "id"], "left_anti")
-        confirm_proposals(waiting, batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return (
-        confirms.writeStream.foreachBatch(settle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.telemetry import counter, histogram
+from lorekeep.operators.telemetry import counter, histogram, turn_outcome, turn_summary
+
 
 def windowed_counter(events: DataFrame, at: str, window: str, labels: list[str], watermark: str, by: Column | None = None) -> DataFrame:
     """Counter per time window. ``watermark`` says how late an event may come: state of older windows is dropped."""
@@ -40,6 +41,35 @@ def stream_sessions(events: DataFrame, idle: str, watermark: str, key: str = "tu
     )
 
 
-def apply_once(requests: DataFrame, at: str = "at", keep: str = "1 day") -> DataFrame:
-    """First request per (owner, key) within ``keep``; repeats are dropped."""
-    return requests.filter(F.coalesce("key", F.lit("")) != "").withWatermark(at, keep).dropDuplicatesWithinWatermark(["owner", "key"])
+def turn_outcomes_stream(starts: DataFrame, dones: DataFrame, no_answer: str, longest: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """One row per started turn with its outcome: turn_id, mode, begun, outcome.
+
+    ``starts``: turn_id, mode, at. ``dones``: turn_id, answer, grounded, at. An ended turn goes out at once; one without an
+    end goes out when no end can come any more, ``longest`` after its start and ``late`` for both streams.
+    """
+    begun = starts.select("turn_id", "mode", F.col("at").alias("begun")).withWatermark("begun", late)
+    ended = dones.select(F.col("turn_id").alias("_turn"), "answer", "grounded", F.col("at").alias("ended")).withWatermark("ended", late)
+    joined = begun.join(ended, F.expr(f"turn_id = _turn AND ended >= begun AND ended <= begun + INTERVAL {longest}"), "left_outer")
+    outcome = turn_outcome(F.col("mode"), F.col("answer"), F.col("grounded"), F.col("_turn").isNotNull(), no_answer)
+    return joined.select("turn_id", "mode", "begun", outcome.alias("outcome"))
+
+
+def turn_summary_stream(events: DataFrame, window: str = "1 day", late: str = "10 minutes", by: tuple[str, ...] = ("mode",)) -> DataFrame:
+    """The summary of all turns per time window, from the events of each turn: two aggregations, one behind the other.
+
+    ``events``: turn_id, at, round, sources, history_turns, persisted, grounded and ``by``. The first aggregation closes a
+    turn in the window of its events, the second sums the turns of the window; both let go of a window once it has passed.
+    """
+    each = (
+        events.withWatermark("at", late)
+        .groupBy(F.window("at", window).alias("w"), "turn_id", *by)
+        .agg(
+            F.max("round").alias("rounds"),
+            F.max("sources").alias("sources"),
+            F.max("history_turns").alias("history_turns"),
+            F.bool_or("persisted").alias("persisted"),
+            F.bool_or("grounded").alias("grounded"),
+        )
+    )
+    timed = each.withColumn("window", F.window(F.window_time("w"), window))
+    return turn_summary(timed, ["window", *by]).withColumn("window_start", F.col("window.start")).drop("window")
