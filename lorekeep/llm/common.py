@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -42,6 +47,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go() -> None:
+    """Give the memory that a worker no longer uses back to the machine, at the end of a task: workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs whose texts in ``column`` have at most ``limit`` bytes, or of one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64).tolist()
+        low, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > low and held + size > limit:
+                yield batch.slice(low, i - low)
+                low, held = i, 0
+            held += size
+        if low < len(sizes):
+            yield batch.slice(low)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null becomes empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stored
+from lorekeep.llm.common import let_go, stored
 
 WINDOW = 4096
 END_ID = 2
@@ -52,33 +52,41 @@ class WordTokenizer:
         self.pieces: dict[str, bytes] = {"": b""}
 
     def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > CACHE:
-                self.pieces = {"": b""}
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.pieces) > CACHE:
+            self.pieces = {"": b""}
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: A-Z and a-z alone
+            letters = word.lower().decode()
+            return self.pieces.get(letters) or self.piece(letters)
         text = word.decode()
-        if b"<|" not in word and (simple := self.SIMPLE.fullmatch(text.lower())) and all(c < "Ā" for c in text):
-            return self.piece(simple[1]) + self.piece(simple[2])
+        simple = self.SIMPLE.fullmatch(text.lower())
+        if simple and b"<|" not in word and (word.isascii() or max(text) < "Ā"):
+            letters, marks = simple.groups()
+            front, back = self.pieces.get(letters), self.pieces.get(marks)
+            return (self.piece(letters) if front is None else front) + (self.piece(marks) if back is None else back)
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces = {"": b""}
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
+        new = set(parts).difference(known)
+        if new:
             if len(known) > CACHE:
                 known.clear()
-            for w in set(parts):
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in parts])
+                new = set(parts)
+            for w in new:
+                known[w] = self.word(w)
+        return b"".join(map(known.__getitem__, parts))
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -154,6 +162,8 @@ def pieces(documents: DataFrame, vocabulary: str, window: int = WINDOW, end_id:
                     totals.append(total)
             numbers = [pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *numbers], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+        tokenizer(vocabulary).forget()
+        let_go()
 
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
