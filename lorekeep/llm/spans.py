@@ -2,8 +2,8 @@
 
 Every run of at least ``RUN`` consecutive clauses and ``LEAST_WORDS`` words is hashed; the smallest document id that holds a run is its first place. A
 clause goes if any run over it is repeated and this is not the run's first place. The hashes of a document are made in
-a map; one aggregation with partial sums finds the runs of several documents, which are few; a join that Spark can split
-at frequent runs brings back who holds them. The positions of a document are no more than its clauses.
+a map and written once; sorted over ranges of equal size they tell which places are not the first of their run, and those
+places are brought to the texts. The positions of a document are no more than its clauses.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MIX, WordHashes, fresh, mixed, stored
+from lorekeep.llm.common import MIX, WordHashes, by_bytes, fresh, let_go, mixed, stored
 
 RUN = 3
 #: Runs of fewer words are too common to tell anything; a run goes on until it has so many, unless the text ends.
@@ -26,12 +26,12 @@ LEAST_WORDS = 10
 #: passage has the same clauses up to ``CLAUSE`` - 1 words from its ends, wherever it starts: one of 6 * ``CLAUSE`` - 2
 #: words holds three whole ones.
 CLAUSE = 8
-#: Documents that a task works on together.
-TOGETHER = 1000
+#: Bytes of text that a task works on together; a longer text is taken alone.
+TOGETHER = 4 << 20
 #: Rows with null ids are numbered from here.
 NULL_IDS = (1 << 63) - 1 - (1 << 53)
-#: Repeated runs are broadcast up to so many bytes, at so many each; beyond that a join that Spark can split.
-BROADCAST_BYTES, SHARED_BYTES = 64 * 1024 * 1024, 64
+#: Places to cut are broadcast up to so many bytes; beyond that the texts are joined with them.
+BROADCAST_BYTES = 64 * 1024 * 1024
 BOUNDARY = re.compile(rb"[.!?]+\s+|\n\s*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*")
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[*range(9, 14), 32]] = True
@@ -131,6 +131,50 @@ def first_in_text(h: np.ndarray) -> np.ndarray:
     return out
 
 
+RUNS = "h long, c int, number int, _id long, _text_hash long"
+
+
+def later_places(spans: DataFrame) -> DataFrame:
+    """The rows of ``spans`` whose run has a smaller ``_id`` somewhere.
+
+    Runs are sorted over ranges of equal row counts, by id within a run, so a run that a third of all documents hold is
+    many ranges. A range knows the first place of every run that begins in it; for the one run that may have begun before,
+    the ranges' last runs tell, one row each.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, c, ids = (np.asarray(batch.column(i)) for i in (0, 1, 3))
+            if last is None:
+                last = (h[0], c[0], ids[0])
+            new = np.empty(len(h), dtype=bool)
+            new[0] = (h[0], c[0]) != last[:2]
+            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            first = np.where(at >= 0, ids[at], last[2])
+            edge = head & (at < 0)
+            head = bool(edge[-1])
+            last = (h[-1], c[-1], first[-1])
+            keep = np.flatnonzero((ids > first) | edge)
+            kept = batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(first[keep]), pa.array(edge[keep].astype(np.int32))], names=MARKED)
+        if last is not None:
+            one = [last[0], last[1], 0, last[2], 0, last[2], 2]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], t) for x, t in zip(one, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=MARKED)
+
+    placed = spans.repartitionByRange("h", "c", "_id").sortWithinPartitions("h", "c", "_id")
+    marked = stored(placed.mapInArrow(mark, RUNS + ", first long, edge int"), "marked")
+    begun = marked.filter("edge = 2").groupBy("h", "c").agg(F.min("first").alias("before"))  # a row a range at most
+    heads = marked.filter("edge = 1").join(F.broadcast(begun), ["h", "c"]).filter("_id > before").select("number", "_id", "_text_hash")
+    return marked.filter("edge = 0").select("number", "_id", "_text_hash").unionByName(heads)
+
+
+MARKED = ["h", "c", "number", "_id", "_text_hash", "first", "edge"]
+
+
 def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``documents`` with repeated passages cut out of the text, plus n_sentences and n_removed.
 
@@ -149,7 +193,7 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
     rows = named.union(unnamed).select(*columns, own_id, F.xxhash64(text_col).alias(own_hash))
 
     def hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
+        for batch in by_bytes(batches, 2, TOGETHER):
             hs, cs, ps, at = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 _, hashes, counts = sentences(text.as_py() or b"")
@@ -166,19 +210,19 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
                 [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ps).astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)],
                 names=["h", "c", "number", "_id", "_text_hash"],
             )
-
-    spans = rows.select(own_id, own_hash, text_col).mapInArrow(hash_runs, "h long, c int, number int, _id long, _text_hash long")
-    shared = stored(
-        spans.groupBy("h", "c").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last").select("h", "c", "first"), "shared-runs"
-    )
-    few = shared.count() * SHARED_BYTES <= BROADCAST_BYTES
-    later = spans.join(F.broadcast(shared) if few else shared, ["h", "c"]).filter(F.col("_id") > F.col("first"))
-    numbers = later.groupBy(F.col("_id").alias(own_id), F.col("_text_hash").alias(own_hash)).agg(F.collect_set("number").alias(own_numbers))
+        _known.clear()
+        let_go()
+
+    spans = stored(rows.select(own_id, own_hash, text_col).mapInArrow(hash_runs, RUNS), "runs")
+    later = later_places(spans)
+    numbers = stored(later.groupBy(F.col("_id").alias(own_id), F.col("_text_hash").alias(own_hash)).agg(F.collect_set("number").alias(own_numbers)), "numbers")
+    if numbers.agg(F.coalesce(F.sum(F.size(own_numbers) * 4 + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        numbers = F.broadcast(numbers)
     joined = rows.join(numbers, [own_id, own_hash], "left").select(*columns, own_numbers)
     text_at = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
+        for batch in by_bytes(batches, text_at, TOGETHER):
             texts, totals, removed = [], [], []
             for text, found in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist()):
                 spans_, hashes, counts = sentences(text or b"")
@@ -195,6 +239,8 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
             arrays = [batch.column(i) for i in range(len(columns))]
             arrays[text_at] = pa.array([None if t is None else t.decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_sentences", "n_removed"])
+        _known.clear()
+        let_go()
 
     schema = documents.select(*columns).schema.add("n_sentences", "long").add("n_removed", "long")
     return joined.mapInArrow(cut, schema)
