@@ -227,17 +227,20 @@ def remove_repeats(documents: DataFrame, run: int = RUN, id_col: str = "doc_id",
             for text, found in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(len(columns)).to_pylist()):
                 spans_, hashes, counts = sentences(text or b"")
                 h, _, start, end = runs(hashes, counts, run)
+                totals.append(len(spans_))
                 out = ~first_in_text(h)
                 out[found or []] = True
-                gone = np.zeros(len(spans_) + 1, dtype=np.int64)
-                np.add.at(gone, start[out], 1)
-                np.add.at(gone, end[out], -1)
-                over = np.cumsum(gone)[:-1] > 0
-                texts.append(text if not over.any() else b"".join(text[s:e] for (s, e), x in zip(spans_, over) if not x))
-                totals.append(len(spans_))
+                if not out.any():
+                    texts.append(text)
+                    removed.append(0)
+                    continue
+                size = len(spans_) + 1
+                over = np.cumsum(np.bincount(start[out], minlength=size) - np.bincount(end[out], minlength=size))[:-1] > 0
+                texts.append(b"".join(text[s:e] for (s, e), x in zip(spans_, over.tolist()) if not x))
                 removed.append(int(over.sum()))
             arrays = [batch.column(i) for i in range(len(columns))]
-            arrays[text_at] = pa.array([None if t is None else t.decode() for t in texts], pa.string())
+            if any(removed):
+                arrays[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_sentences", "n_removed"])
         _known.clear()
         let_go()
