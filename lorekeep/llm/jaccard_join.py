@@ -100,7 +100,7 @@ class Block:
         return self.held >= BLOCK_HASHES or len(self.rows) >= 60_000
 
     def send(self, key: int, buckets: int) -> pa.RecordBatch:
-        """A row per bucket, and one with the documents that any bucket passes on."""
+        """A row per bucket that gets any hashes, and one with the documents that some bucket passes on."""
         count = len(self.hashes)
         at = np.repeat(np.arange(count), [len(p) for p in self.hashes])
         h = np.concatenate([np.empty(0, np.uint64), *self.hashes])
@@ -111,15 +111,17 @@ class Block:
         local = np.bincount(at[~alone], minlength=count)
         # a hash of several documents here is sent once, as nobody's: it is shared already
         sent, owner = h[first], np.where(alone[first], at[first], count).astype(np.uint16)
-        edges = np.searchsorted(sent, np.array([i * (1 << 64) // buckets for i in range(1, buckets)], dtype=np.uint64))
+        edges = np.searchsorted(sent, np.array([i * (1 << 64) // buckets for i in range(buckets)], dtype=np.uint64))
+        filled = np.flatnonzero(np.diff(np.append(edges, len(sent))))
+        parts = [slice(edges[i], edges[i + 1] if i + 1 < buckets else len(sent)) for i in filled]
         doc, has, n, cls, number = np.array(self.rows, dtype=np.int64).reshape(-1, 5).T
         told = np.stack([doc, has, n, cls, number, np.where(number >= 0, np.append(local, 0)[number], 0)])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.append(np.arange(buckets), key % buckets).astype(np.int32)),
-                pa.array(np.full(buckets + 1, key)),
-                pa.array([*(a.tobytes() for a in np.split(sent, edges)), told.tobytes()], pa.binary()),
-                pa.array([*(b.tobytes() for b in np.split(owner, edges)), None], pa.binary()),
+                pa.array(np.append(filled, key % buckets).astype(np.int32)),
+                pa.array(np.full(len(parts) + 1, key)),
+                pa.array([*(sent[p].tobytes() for p in parts), told.tobytes()], pa.binary()),
+                pa.array([*(owner[p].tobytes() for p in parts), None], pa.binary()),
             ],
             names=["bucket", "block", "hashes", "owners"],
         )
@@ -128,19 +130,17 @@ class Block:
 def count_shared(dealt: DataFrame) -> DataFrame:
     """Blocks in buckets -> (doc, cls, n, shared): how many of the hashes that a document sent others sent too.
 
-    Rows that sent nothing (copies within a block, empty sets) have a null ``shared``.
+    A bucket answers each block with one packed row, if it has anything to tell. Rows that sent nothing (copies within a
+    block, empty sets) have a null ``shared``.
     """
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = []
+        answers: list[tuple[int, bytes | None, bytes | None]] = []
         parts = []
-        none = np.iinfo(np.int64).min
         for block, h, owner in zip(*(table.column(c).to_pylist() for c in ("block", "hashes", "owners"))):
             if owner is None:
-                doc, has, n, cls, number, local = np.frombuffer(h, np.int64).reshape(6, -1)
-                at = np.where(number >= 0, number, -1 - np.arange(len(doc)))
-                out.append([np.full(len(doc), block), at, doc, has, n, cls, local])
-            elif h:
+                answers.append((block, h, None))
+            else:
                 parts.append((block, np.frombuffer(h, np.uint64), np.frombuffer(owner, np.uint16)))
         if parts:
             every = np.concatenate([h for _, h, _ in parts])
@@ -150,16 +150,31 @@ def count_shared(dealt: DataFrame) -> DataFrame:
             for block, h, owner in parts:
                 n = np.bincount(owner[_among(h, twice)])
                 at = np.flatnonzero(n)
-                blank = np.full(len(at), none)
-                out.append([np.full(len(at), block), at, blank, blank, blank, blank, n[at]])
-        names = ["block", "at", "doc", "has", "n", "cls", "shared"]
-        columns = [np.concatenate([np.empty(0, np.int64), *c]).astype(np.int64) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 7
-        return pa.table(dict(zip(names, map(pa.array, columns))))
-
-    counted = dealt.groupBy("bucket").applyInArrow(count, "block long, at long, doc long, has long, n long, cls long, shared long")
-    # what a block sent as nobody's has counts, but no size
-    whole = counted.groupBy("block", "at").agg(*[F.max(c).alias(c) for c in ("doc", "has", "n", "cls")], F.sum("shared").alias("shared")).filter("n >= 0")
-    return whole.select(F.when(F.col("has") == 1, F.col("doc")).alias("doc"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"), "n", F.when(F.col("at") >= 0, F.col("shared")).alias("shared"))
+                if len(at):
+                    answers.append((block, None, np.stack([at, n[at]]).astype(np.int32).tobytes()))
+        block, told, counts = zip(*answers) if answers else ((), (), ())
+        return pa.table({"block": pa.array(block, pa.int64()), "told": pa.array(told, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        told = next(t for t in table.column("told").to_pylist() if t is not None)
+        doc, has, n, cls, number, local = np.frombuffer(told, np.int64).reshape(6, -1)
+        # the last place counts what the block sent as nobody's
+        shared = np.zeros(number.max() + 2, np.int64)
+        for packed in table.column("counts").to_pylist():
+            if packed is not None:
+                at, more = np.frombuffer(packed, np.int32).reshape(2, -1)
+                shared[at] += more
+        return pa.table(
+            {
+                "doc": pa.array(doc, mask=has != 1),
+                "cls": pa.array(cls, mask=n == 0),
+                "n": pa.array(n),
+                "shared": pa.array(local + shared[number], mask=number < 0),
+            }
+        )
+
+    counted = dealt.groupBy("bucket").applyInArrow(count, "block long, told binary, counts binary")
+    return counted.groupBy("block").applyInArrow(total, "doc long, cls long, n long, shared long")
 
 
 def document_sets(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
