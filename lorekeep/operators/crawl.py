@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.patterns import any_found, expressions, longest_rule, rule_index
 from lorekeep.functions.text import js_trim
 from lorekeep.functions.urls import normalize_url, url_host, url_origin, url_path
 from lorekeep.scale import position
@@ -23,11 +24,16 @@ def allowed_hosts(sources: DataFrame) -> DataFrame:
     return sources.withColumn("hosts", F.when(F.size("allowed_hosts") > 0, explicit).otherwise(derived))
 
 
-def crawlable(url: Column, hosts: Column, include: Column, exclude: Column) -> Column:
+def configured(sources: DataFrame) -> list[str] | None:
+    """The regular expressions that ``crawlable`` needs for these sources."""
+    return expressions(sources.select("include"), sources.select("exclude"))
+
+
+def crawlable(url: Column, hosts: Column, include: Column, exclude: Column, known: list[str] | None) -> Column:
     host = url_host(url)
     host_ok = F.exists(hosts, lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h)))
-    excluded = F.exists(exclude, lambda p: F.regexp_like(url, p))
-    included = (F.size(include) == 0) | F.exists(include, lambda p: F.regexp_like(url, p))
+    excluded = any_found(url, exclude, known)
+    included = (F.size(include) == 0) | any_found(url, include, known)
     return F.coalesce(url.isNotNull() & host_ok & ~excluded & included, F.lit(False))
 
 
@@ -36,7 +42,7 @@ def url_filter(urls: DataFrame, sources: DataFrame) -> DataFrame:
     rules = sources.select(F.col("id").alias("source_id"), "hosts", "include", "exclude")
     return (
         urls.join(rules, "source_id")
-        .filter(crawlable(F.col("url"), F.col("hosts"), F.col("include"), F.col("exclude")))
+        .filter(crawlable(F.col("url"), F.col("hosts"), F.col("include"), F.col("exclude"), configured(sources)))
         .drop("hosts", "include", "exclude")
     )
 
@@ -123,27 +129,14 @@ def robots_origins(files: DataFrame, agent: str = AGENT) -> DataFrame:
     )
 
 
-def robots_pattern(pattern: Column) -> Column:
-    """A robots path pattern as a regular expression."""
-    anchored = F.endswith(pattern, F.lit("$"))
-    body = F.when(anchored, pattern.substr(F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    escaped = F.regexp_replace(body, r"[.+?^${}()|\[\]\\]", r"\\$0")
-    source = F.replace(escaped, F.lit("*"), F.lit(".*"))
-    return F.concat(F.lit("^"), source, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
-
-
 def rule_list(rules: DataFrame) -> DataFrame:
-    """One row per origin with its rules as an array; a robots file bounds its length."""
-    return rules.groupBy("origin").agg(
-        F.collect_list(F.struct(robots_pattern(F.col("pattern")).alias("regex"), F.length("pattern").alias("size"), "allow")).alias("rules")
-    )
+    """One row per origin with its rules as an index; a robots file bounds its length."""
+    return rule_index(rules, "origin")
 
 
 def allowed_by(rules: Column, path: Column) -> Column:
     """Longest matching pattern wins and Allow wins ties; nothing matching means allowed."""
-    hits = F.filter(rules, lambda r: F.regexp_like(path, r["regex"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["size"], r["allow"])))
-    return F.coalesce(best["allow"], F.lit(True))
+    return F.coalesce(longest_rule(rules, path)["allow"], F.lit(True))
 
 
 def robots_decide(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -229,6 +222,7 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, sources: DataFrame, rule
     are seen, cost nothing and lead nowhere. Each depth is one join, written down before the next one starts.
     """
     limits = sources.select(F.col("id").alias("source_id"), "max_depth", "max_pages", "hosts", "include", "exclude")
+    known = configured(sources)
     deepest = sources.agg(F.max("max_depth")).first()[0] or 0
     frontier = seeds.select("source_id", "url", "depth", F.struct("tier", "position").alias("at"))
     frontier = frontier.select("source_id", "url", "depth", F.col("at.tier").cast("long").alias("parent"), F.col("at.position").cast("long").alias("position"))
@@ -272,7 +266,7 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, sources: DataFrame, rule
             .select("source_id", links["href"].alias("url"), F.col("crawl_seq").alias("parent"), links["position"].cast("long").alias("position"))
             .join(limits, "source_id")
             .filter(F.col("max_depth") > depth)
-            .filter(crawlable(F.col("url"), F.col("hosts"), F.col("include"), F.col("exclude")))
+            .filter(crawlable(F.col("url"), F.col("hosts"), F.col("include"), F.col("exclude"), known))
             .groupBy("source_id", "url")
             .agg(F.min(F.struct("parent", "position")).alias("at"))
             .join(seen, ["source_id", "url"], "left_anti")
