@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import normalize_line, normalize_text, scrub, truncate_text
 from lorekeep.functions.urls import ascii_host, normalize_url, url_host, url_origin, url_path
-from lorekeep.operators import chunking, crawl, documents
+from lorekeep.operators import chunking, crawl, documents, website
 from lorekeep.plans.catalog import query, table, text_list
 from lorekeep.settings import ChunkSettings
 from lorekeep.sources import pages as sources
@@ -350,15 +350,73 @@ def cr10(spark, d):
         SELECT source_id, url, min(depth) AS depth FROM walk GROUP BY 1, 2""",
 )
 def cr11(spark, d):
+    config = crawl.allowed_hosts(source_config(spark, d))
+    return crawl.expand_frontier(seeds(spark, d), page_graph(spark, d), config).select("source_id", "url", "depth")
+
+
+def page_graph(spark, d) -> DataFrame:
+    """Page i links to pages 2i+1 and 2i+2: page_url, position, href."""
     urls = page_urls(spark, d)
     target = urls.select(F.col("page_id").alias("to"), F.col("url").alias("href"))
-    links = (
+    return (
         urls.select(F.col("url").alias("page_url"), F.posexplode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("position", "to"))
         .join(target, "to")
         .select("page_url", "position", "href")
     )
+
+
+# the page graph again, with the robots rules of each source's start and twenty pages a source
+BUDGET = f"""n0 AS (SELECT *, {PATH} AS path FROM n), r AS (SELECT source_id, start, contains(regexp_extract(start, '^https?://([^/?#]+)', 1), 'www.') AS www FROM s),
+  open AS (SELECT DISTINCT r.source_id, url, host FROM n0, r WHERE CASE WHEN www THEN NOT (starts_with(path, '/en/1') OR starts_with(path, '/es/'))
+    ELSE NOT (ends_with(path, '.html') OR (starts_with(path, '/fr/') AND NOT starts_with(path, '/fr/8'))) END),
+  f0 AS (SELECT source_id, url, min(place) AS place FROM (SELECT source_id, start AS url, -1 AS place FROM s
+    UNION ALL SELECT regexp_extract(host, '(example\\.[a-z]+)$', 1), url, page_id FROM n WHERE contains(url, '/es/') AND NOT ends_with(url, '.html')) GROUP BY 1, 2),
+  v0 AS (SELECT source_id, url, 0 AS depth, row_number() OVER (PARTITION BY source_id ORDER BY place, url) AS crawl_seq
+    FROM f0 SEMI JOIN open USING (source_id, url) QUALIFY crawl_seq <= 20),
+  e AS (SELECT a.url AS page_url, b.url AS href, b.host AS target, b.page_id - 2 * a.page_id AS position FROM n a JOIN n b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2)
+    WHERE NOT contains(b.url, '/fr/') AND NOT ends_with(b.url, '.html')),
+  f1 AS (SELECT source_id, href AS url, min(crawl_seq * 10 + position) AS place FROM v0 JOIN e ON page_url = url
+    WHERE (target = source_id OR ends_with(target, '.' || source_id)) AND (source_id, href) NOT IN (SELECT source_id, url FROM f0) GROUP BY 1, 2),
+  v1 AS (SELECT source_id, url, 1 AS depth, used + row_number() OVER (PARTITION BY source_id ORDER BY place, url) AS crawl_seq
+    FROM f1 SEMI JOIN open USING (source_id, url) JOIN (SELECT source_id, count(*) AS used FROM v0 GROUP BY 1) u USING (source_id) QUALIFY crawl_seq <= 20),
+  f2 AS (SELECT source_id, href AS url, min(crawl_seq * 10 + position) AS place FROM v1 JOIN e ON page_url = url
+    WHERE (target = source_id OR ends_with(target, '.' || source_id)) AND (source_id, href) NOT IN (SELECT source_id, url FROM f0 UNION SELECT source_id, url FROM f1) GROUP BY 1, 2),
+  v2 AS (SELECT source_id, url, 2 AS depth, used + row_number() OVER (PARTITION BY source_id ORDER BY place, url) AS crawl_seq
+    FROM f2 SEMI JOIN open USING (source_id, url) JOIN (SELECT source_id, count(*) AS used FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1) GROUP BY 1) u USING (source_id) QUALIFY crawl_seq <= 20)"""
+
+
+@query(
+    "cr11_rules_and_budget",
+    f"WITH {N}, {SEEDS}, {BUDGET} SELECT source_id, url, depth, crawl_seq FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2",
+)
+def cr11_budget(spark, d):
+    """Visit order under the robots rules of the start's origin and a budget of twenty pages a source."""
+    config = crawl.allowed_hosts(source_config(spark, d)).withColumns({"max_pages": F.lit(20), "sitemaps": F.array().cast("array<string>")})
+    rules = crawl.source_rules(crawl.source_origins(config), crawl.robots_group(crawl.robots_rules(robots_files(spark, d))))
+    return crawl.expand_frontier(seeds(spark, d), page_graph(spark, d), config, rules).select("source_id", "url", "depth", "crawl_seq")
+
+
+def crawled_site(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(documents, outcomes) of a crawl from all pages: sitemaps name every address, links come from the pages' text."""
+    offered = page_urls(spark, d).join(table(spark, d, "pages").select("page_id", "html"), "page_id")
+    parsed = website.read_pages(offered.withColumns({"status": F.lit(200), "content_type": F.lit("text/html")}))
     config = crawl.allowed_hosts(source_config(spark, d))
-    return crawl.expand_frontier(seeds(spark, d), links, config).select("source_id", "url", "depth")
+    listed = hosted(spark, d).select(F.regexp_extract("host", r"(example\.[a-z]+)$", 1).alias("source_id"), "url", F.col("page_id").alias("position"))
+    rules = crawl.source_rules(crawl.source_origins(config), crawl.robots_group(crawl.robots_rules(robots_files(spark, d))))
+    visited = crawl.expand_frontier(crawl.seed_frontier(config, listed), website.page_links(parsed), config, rules)
+    return website.site_documents(visited, parsed, "shop", [("/en/", "guide")])
+
+
+@query("pages_to_chunks")
+def pages_to_chunks(spark, d):
+    """Chunks of every document that a crawl of the pages yields; a test compares the steps with plain Python."""
+    made, _ = crawled_site(spark, d)
+    return chunking.chunk_documents(made, keep=("source_id", "crawl_seq")).select("source_id", "crawl_seq", "document_id", "id", "index", "heading_path", "body", "content_hash")
+
+
+@query("pages_to_outcomes")
+def pages_to_outcomes(spark, d):
+    return crawl.crawl_stats(crawled_site(spark, d)[1])
 
 
 @query("cr12_crawl_dedupe", "SELECT min(doc_id) AS crawl_seq, source AS source_id, md5(text) AS content_hash FROM documents GROUP BY source, text")
