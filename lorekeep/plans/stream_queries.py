@@ -10,7 +10,7 @@ from lorekeep.plans.catalog import ORACLE, query, table
 from lorekeep.plans.commerce_queries import confirms, keyed_requests, proposals
 from lorekeep.plans.conversation_queries import BASE, CHECKED, PLANTED, TIMED, planted_turns, requests, stream_events
 from lorekeep.plans.ingest_queries import WHOLE, revised_texts, whole_documents, whole_texts
-from lorekeep.plans.telemetry_queries import DAY, NO_ANSWER, TURNS, le_sql, turn_log
+from lorekeep.plans.telemetry_queries import DAY, NO_ANSWER, TURNS, calls, cart_log, dependency_log, http_log, le_sql, turn_log
 from lorekeep.sources.versions import read_current
 from lorekeep.streaming import telemetry as metrics
 from lorekeep.streaming.ingest import ingest_stream
@@ -217,3 +217,48 @@ def ingest_texts(spark, d):
         stream = read_stream(spark, f"{folder}/{source}")
         ingest_stream(stream, f"{folder}/table", f"{folder}/state-{n}", ChunkSettings(), 256, newest="edition", first_version=1000 * n).awaitTermination()
     return read_current(spark, f"{folder}/table").select("id", "source_id", F.col("text").alias("body"))
+
+
+def counted(rows: DataFrame, series: list[metrics.Series], metric: str, **labels: str) -> DataFrame:
+    """A counter of events that arrive in three batches, summed over its windows; a clock closes the last of them.
+
+    ``labels`` names the label columns and their types.
+    """
+    stream = in_batches(rows, F.pmod(F.hash("at"), F.lit(3)), 3, clock(rows, at=LONG_AFTER))
+    out = drain(metrics.counters_stream(stream, series, late="9000 days")).filter(F.col("metric") == metric)
+    return out.groupBy(*[F.col("labels")[k].cast(t).alias(k) for k, t in labels.items()]).agg(F.sum("count").alias("count"))
+
+
+@query("stream_tm4_http_requests", ORACLE["tm4_http_requests"])
+def http_requests(spark, d):
+    return counted(http_log(spark, d, "at"), metrics.http_series(), "requests", route="string", method="string", status="int")
+
+
+@query("stream_tm4_http_rejections", ORACLE["tm4_http_rejections"])
+def http_rejections(spark, d):
+    return counted(http_log(spark, d, "at"), metrics.http_series(), "rejections", reason="string")
+
+
+@query("stream_tm8_tool_rounds", ORACLE["tm8_tool_rounds"])
+def tool_rounds(spark, d):
+    return counted(stream_events(spark, d), metrics.tool_series(), "tool_rounds", tool="string", phase="string")
+
+
+@query("stream_tm9_token_usage", ORACLE["tm9_token_usage"])
+def token_usage(spark, d):
+    return counted(telemetry.parsed_usage(calls(spark, d, "at")), metrics.call_series(), "tokens", model="string", kind="string")
+
+
+@query("stream_tm10_dependency_calls", ORACLE["tm10_dependency_calls"])
+def dependency_calls(spark, d):
+    return counted(dependency_log(spark, d, "at"), metrics.dependency_series(), "calls", dependency="string", operation="string", outcome="string")
+
+
+@query("stream_tm11_cart_stages", ORACLE["tm11_cart_stages"])
+def cart_stages(spark, d):
+    return counted(cart_log(spark, d, "at"), metrics.cart_series(), "cart_stages", kind="string", stage="string")
+
+
+@query("stream_tm19_finish_reasons", ORACLE["tm19_finish_reasons"])
+def finish_reasons(spark, d):
+    return counted(telemetry.parsed_usage(calls(spark, d, "at")), metrics.call_series(), "finish_reasons", model="string", mode="string", reason="string")

@@ -49,14 +49,14 @@ def tm2(spark, d):
     return rounded(telemetry.histogram(events(spark, d), F.col("value"), (50, 1, 5, 10), ["event_type"]))
 
 
-def http_log(spark, d) -> DataFrame:
+def http_log(spark, d, *keep: str) -> DataFrame:
     path = (
         F.when(kind() == "view", "/v1/chat").when(kind() == "click", "/v1/chat/stream").when(kind() == "purchase", "/v1/cart/confirm")
         .otherwise(F.concat(F.lit("/x/"), "event_id"))
     )
     status = F.when((kind() == "error") & (F.col("value") < 5), 429).when(kind() == "error", 503).when((kind() == "signup") & (F.col("k") < 50), 401).otherwise(200)
     return events(spark, d).select(
-        path.alias("path"), F.when(kind() == "view", "GET").otherwise("POST").alias("method"), status.alias("status"), (F.col("value") * 100).alias("duration_ms"), "event_id"
+        *keep, path.alias("path"), F.when(kind() == "view", "GET").otherwise("POST").alias("method"), status.alias("status"), (F.col("value") * 100).alias("duration_ms"), "event_id"
     )
 
 
@@ -139,13 +139,13 @@ def tm8(spark, d):
     return telemetry.tool_rounds(stream_events(spark, d))
 
 
-def calls(spark, d) -> DataFrame:
+def calls(spark, d, *keep: str) -> DataFrame:
     """One model call per event; what it reports depends on the kind of event."""
     number = F.col("value").cast("string")
     total = F.when(kind() == "view", F.concat(F.lit(',"total_tokens":'), (F.col("k") + 100).cast("string"))).when(kind() == "click", ',"total_tokens":"7"').otherwise("")
     usage = F.concat(F.lit('{"prompt_tokens":'), F.col("k").cast("string"), F.lit(',"completion_tokens":'), number, total, F.lit("}"))
     return events(spark, d).select(
-        kind().alias("model"), F.when(kind() == "error", F.lit(None)).when(kind() == "signup", '{"prompt_tokens":-5}').otherwise(usage).alias("usage"),
+        *keep, kind().alias("model"), F.when(kind() == "error", F.lit(None)).when(kind() == "signup", '{"prompt_tokens":-5}').otherwise(usage).alias("usage"),
         F.when(F.col("k") < 20, "stop").when(F.col("k") < 40, "function_call").when(F.col("k") < 60, "length").when(F.col("k") < 80, "toString").alias("finish_reason"),
         F.when(F.col("k") > 50, "stream").otherwise("generate").alias("mode"),
     )
@@ -169,9 +169,9 @@ def tm9_per_call(spark, d):
     return rounded(telemetry.token_usage(telemetry.parsed_usage(calls(spark, d)))[1])
 
 
-def dependency_log(spark, d) -> DataFrame:
+def dependency_log(spark, d, *keep: str) -> DataFrame:
     return events(spark, d).select(
-        F.when(kind().isin("view", "error"), "retrieval").otherwise("llm").alias("dependency"),
+        *keep, F.when(kind().isin("view", "error"), "retrieval").otherwise("llm").alias("dependency"),
         F.when(kind().isin("view", "error"), "retrieve").otherwise(kind()).alias("operation"),
         (kind() != "error").alias("ok"), F.when(F.col("k") < 10, 0).otherwise(F.col("k")).alias("results"), (F.col("value") * 50).alias("duration_ms"),
     )
@@ -200,8 +200,12 @@ def tm10_duration(spark, d):
     "SELECT CASE WHEN value > 20 THEN 'applyCoupon' ELSE 'addToCart' END AS kind, CASE event_type WHEN 'view' THEN 'prepared' WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'rejected' ELSE 'gone' END AS stage, count(*) AS count FROM events GROUP BY ALL",
 )
 def tm11(spark, d):
+    return telemetry.cart_stages(cart_log(spark, d))
+
+
+def cart_log(spark, d, *keep: str) -> DataFrame:
     stage = F.when(kind() == "view", "prepared").when(kind() == "purchase", "applied").when(kind() == "error", "rejected").otherwise("gone")
-    return telemetry.cart_stages(events(spark, d).select(F.when(F.col("value") > 20, "applyCoupon").otherwise("addToCart").alias("kind"), stage.alias("stage")))
+    return events(spark, d).select(*keep, F.when(F.col("value") > 20, "applyCoupon").otherwise("addToCart").alias("kind"), stage.alias("stage"))
 
 
 DAY = 86_400_000

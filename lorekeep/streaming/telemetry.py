@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.telemetry import counter, histogram, turn_outcome, turn_summary
+from lorekeep.operators.telemetry import REJECTIONS, counter, finish_reason, histogram, route_fold, turn_outcome, turn_summary
 
 
 def windowed_counter(events: DataFrame, at: str, window: str, labels: list[str], watermark: str, by: Column | None = None) -> DataFrame:
@@ -73,3 +73,56 @@ def turn_summary_stream(events: DataFrame, window: str = "1 day", late: str = "1
     )
     timed = each.withColumn("window", F.window(F.window_time("w"), window))
     return turn_summary(timed, ["window", *by]).withColumn("window_start", F.col("window.start")).drop("window")
+
+
+#: A counter to be kept: its name, the events that it counts, its labels, and what each event adds.
+Series = tuple[str, Column, dict[str, Column], Column]
+
+
+def counters_stream(events: DataFrame, series: list[Series], window: str = "1 day", late: str = "10 minutes", at: str = "at") -> DataFrame:
+    """Any number of counters from one pass and one state: window_start, metric, labels, count.
+
+    A window goes out once no event of it can come any more. Label values are texts; a null label is kept as null.
+    """
+
+    def one(name: str, wanted: Column, labels: dict[str, Column], amount: Column) -> Column:
+        pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in labels.items()])
+        return F.when(wanted, F.struct(F.lit(name).alias("metric"), pairs.alias("labels"), amount.cast("long").alias("amount")))
+
+    told = F.filter(F.array(*[one(*s) for s in series]), lambda s: s.isNotNull())
+    flat = events.withWatermark(at, late).select(at, F.explode(told).alias("s")).select(at, "s.*")
+    summed = flat.groupBy(F.window(at, window).alias("w"), "metric", "labels").agg(F.sum("amount").alias("count"))
+    return summed.select(F.col("w.start").alias("window_start"), "metric", F.map_from_entries("labels").alias("labels"), "count")
+
+
+def http_series() -> list[Series]:
+    """Of a log(path, method, status): requests, and refusals by reason."""
+    names = F.create_map(*[F.lit(x) for pair in REJECTIONS.items() for x in pair])
+    reason = F.try_element_at(names, F.col("status").cast("int"))
+    labels = {"route": route_fold(F.col("path")), "method": F.col("method"), "status": F.col("status")}
+    return [("requests", F.lit(True), labels, F.lit(1)), ("rejections", reason.isNotNull(), {"reason": reason}, F.lit(1))]
+
+
+def tool_series() -> list[Series]:
+    return [("tool_rounds", F.col("type") == "tool", {"tool": F.col("tool"), "phase": F.col("phase")}, F.lit(1))]
+
+
+def call_series() -> list[Series]:
+    """Of parsed model calls: tokens by kind where any were reported, and finish reasons."""
+    reported = F.col("total_tokens") > 0
+    tokens = [("tokens", reported, {"model": F.col("model"), "kind": F.lit(k)}, F.col(f"{k}_tokens")) for k in ("prompt", "completion")]
+    return [*tokens, ("finish_reasons", F.lit(True), {"model": F.col("model"), "mode": F.col("mode"), "reason": finish_reason(F.col("finish_reason"))}, F.lit(1))]
+
+
+def dependency_series() -> list[Series]:
+    """Of a log(dependency, operation, ok, results): calls by outcome, retrievals also by whether they found anything."""
+    labels = {"dependency": F.col("dependency"), "operation": F.col("operation")}
+    searched = (F.col("dependency") == "retrieval") & F.col("ok")
+    return [
+        ("calls", F.lit(True), labels | {"outcome": F.when(F.col("ok"), "ok").otherwise("error")}, F.lit(1)),
+        ("calls", searched, labels | {"outcome": F.when(F.col("results") == 0, "empty").otherwise("found")}, F.lit(1)),
+    ]
+
+
+def cart_series() -> list[Series]:
+    return [("cart_stages", F.lit(True), {"kind": F.col("kind"), "stage": F.col("stage")}, F.lit(1))]
