@@ -86,7 +86,7 @@ def counters_stream(events: DataFrame, series: list[Series], window: str = "1 da
     """
 
     def one(name: str, wanted: Column, labels: dict[str, Column], amount: Column) -> Column:
-        pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in labels.items()])
+        pairs = F.array(*[F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in labels.items()]).cast("array<struct<label:string,value:string>>")
         return F.when(wanted, F.struct(F.lit(name).alias("metric"), pairs.alias("labels"), amount.cast("long").alias("amount")))
 
     told = F.filter(F.array(*[one(*s) for s in series]), lambda s: s.isNotNull())

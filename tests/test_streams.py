@@ -7,7 +7,7 @@ from lorekeep.operators.commerce import confirm_proposals, idempotent_apply
 from lorekeep.streaming.processors import answers_stream, apply_once_stream, confirm_stream, first_token_stream
 from lorekeep.streaming.routes import observed, requests_stream, routed
 from lorekeep.streaming.run import drain, in_batches
-from lorekeep.streaming.telemetry import turn_outcomes_stream, turn_summary_stream
+from lorekeep.streaming.telemetry import counters_stream, turn_outcomes_stream, turn_summary_stream
 
 
 def rows(df):
@@ -88,3 +88,15 @@ def test_one_pass_counts_and_sends(spark, tmp_path):
     requests_stream(in_batches(raw, F.col("n") % 2, 2), 20, out, str(tmp_path / "state")).awaitTermination()
     assert [r["n"] for r in routed(spark, out, "accepted").orderBy("n").collect()] == [0, 6] and routed(spark, out, "rejected").count() == 5
     assert dict(rows(observed(spark, out))) == {"accepted": 2, "conversation id": 1, "empty message": 2, "message too long": 1, "unknown field": 1}
+
+
+def test_counters_of_one_pass(spark):
+    """Two metrics, a null label, windows that close one after the other, and a last one that stays open."""
+    rows = spark.createDataFrame(
+        [(0, 1, "a", 2), (0, 1, None, 5), (0, 30, "a", 1), (1, 1, "b", 0), (1, 70, "a", 4), (2, 10_000, "a", 9)], "batch int, minute int, kind string, n int"
+    ).withColumn("at", F.timestamp_seconds(F.col("minute") * 60))
+    stream = in_batches(rows, F.col("batch"), 3)
+    series = [("all", F.lit(True), {"kind": F.col("kind")}, F.col("n")), ("large", F.col("n") > 3, {}, F.lit(1))]
+    out = drain(counters_stream(stream, series, window="1 hour", late="2 hours"))
+    got = {(int(r["s"]) // 3600, r["metric"], *r["labels"].values()): r["count"] for r in out.withColumn("s", F.unix_timestamp("window_start")).collect()}
+    assert got == {(0, "all", "a"): 3, (0, "all", None): 5, (0, "all", "b"): 0, (0, "large"): 1, (1, "all", "a"): 4, (1, "large"): 1}
