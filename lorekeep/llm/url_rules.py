@@ -66,7 +66,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.reverse(F.split("host", r"\."))
-    levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
+    # no rule has more labels than the longest rule host, so deeper keys of a URL would find none
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda n: F.array_join(F.slice(labels, 1, n), "."))
     stack_type = "array<struct<rule_key:string,rule:string,verdict:string>>"
     keys = urls.select("_id", "host", "path", F.posexplode(levels).alias("_level", "_host")).select(
         F.concat("_host", F.lit(GAP), "path").alias("key"), F.lit(1).alias("kind"), "_id", "host", "path", "_level",

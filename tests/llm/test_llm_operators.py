@@ -267,6 +267,15 @@ def test_url_rules_match_brute_force(spark):
     assert {r[0] for r in rows(url_rules.judge_urls(pages, table.limit(0)), "verdict")} == {"allow"}
 
 
+def test_url_rules_of_very_long_hosts(spark):
+    """A host of 16,000 labels has no more keys than the longest rule host has labels."""
+    rules = [("org", "/", "allow"), ("b.a.org", "/x", "block")]
+    urls = ["http://" + "a." * 16_000 + "org/x", "http://" + "c." * 8_000 + "b.a.org/xy", "http://" + "." * 9_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = rows(url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")), "page_id", "rule", "verdict")
+    assert sorted(got) == [(i, *brute_verdict(u, rules)[2:]) for i, u in enumerate(urls)]
+
+
 # Jaccard join
 
 
