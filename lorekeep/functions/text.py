@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.binding import bind
+from lorekeep.scale import small_runs
 
 # The whitespace set of String.prototype.trim and of \s, as a Java character class body.
 SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -38,9 +39,10 @@ def blank_to_null(col) -> Column:
     return bind(js_trim(col), lambda trimmed: F.when(trimmed != "", trimmed))
 
 
-@F.pandas_udf(T.StringType())
-def _compose(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+@F.arrow_udf(T.StringType())
+def _compose(values: pa.Array) -> pa.Array:
+    runs = [values.slice(start, length).to_pylist() for start, length in small_runs(values)]
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in run], pa.string()) for run in runs)])
 
 
 def nfc(col: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.html import trim
 from lorekeep.functions.text import SPACE
+from lorekeep.scale import text_batches
 from lorekeep.settings import ChunkSettings
 
 HEADING = re.compile(rf"(#{{1,6}})[{SPACE}]+([^\n\r  ]*)")
@@ -132,16 +133,15 @@ def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(),
     carried = ["id", "title", *[c for c in keep if c not in ("id", "title", "text")]]
     schema = T.StructType([docs.schema[c] for c in carried] + PIECES.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pieces = batch["text"].map(lambda text: chunk_text(text or "", settings)).reset_index(drop=True)
-            sizes = pieces.map(len)
-            rows = [(i, body, path) for found in pieces for i, (body, path) in enumerate(found)]
-            head = batch[carried].reset_index(drop=True)
-            head = head.loc[head.index.repeat(sizes)].reset_index(drop=True)
-            yield pd.concat([head, pd.DataFrame(rows, columns=PIECES.names)], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_batches(batches, "text"):
+            pieces = [chunk_text(text or "", settings) for text in rows.column("text").to_pylist()]
+            origin = pa.array([row for row, found in enumerate(pieces) for _ in found], pa.int64())
+            index, body, path = zip(*[(i, *piece) for found in pieces for i, piece in enumerate(found)]) if len(origin) else ((), (), ())
+            made = [pa.array(index, pa.int32()), pa.array(body, pa.string()), pa.array(path, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(origin) for c in carried), *made], names=schema.names)
 
-    cut = docs.select(*carried, "text").mapInPandas(run, schema)
+    cut = docs.select(*carried, "text").mapInArrow(run, schema)
     return (
         cut.withColumnRenamed("id", "document_id")
         .withColumn("id", F.concat(F.col("document_id").cast("string"), F.lit("#"), F.col("index")))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.html import parse_page
 from lorekeep.functions.ids import content_hash, document_id
 from lorekeep.functions.text import js_trim, normalize_line, normalize_text, truncate_text
 from lorekeep.functions.urls import normalize_url, url_host
+from lorekeep.scale import text_batches
 from lorekeep.settings import CONTENT_TYPES, MIN_DOCUMENT_TEXT
 
 PARSED = T.StructType(
@@ -31,17 +33,20 @@ PARSED = T.StructType(
 def extract_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Parse ``html``; the result carries the ``keep`` columns (all but html by default) and the parsed fields.
 
-    The scan hands Python batches limited in bytes, so pages of several MB do not pile up in a worker.
+    Python takes the pages of a batch by bytes, so pages of several MB do not pile up in a worker.
     """
     kept = [c for c in pages.columns if c != "html"] if keep is None else keep
     schema = T.StructType([pages.schema[c] for c in kept] + PARSED.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = pd.DataFrame([parse_page(h or "") for h in batch["html"]], columns=PARSED.names)
-            yield pd.concat([batch[kept].reset_index(drop=True), parsed], axis=1)
+    fields = list(to_arrow_schema(PARSED))
 
-    return pages.select(*kept, "html").mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_batches(batches, "html"):
+            parsed = [parse_page(html or "") for html in rows.column("html").to_pylist()]
+            made = [pa.array([page[field.name] for page in parsed], field.type) for field in fields]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *made], names=schema.names)
+
+    return pages.select(*kept, "html").mapInArrow(run, schema)
 
 
 def indexable(pages: DataFrame) -> DataFrame:

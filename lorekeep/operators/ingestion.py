@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.scale import text_batches
 from lorekeep.settings import EMBED_BATCH, PRUNE_MIN_COVERAGE
 
 
@@ -79,9 +80,9 @@ def embed_chunks(
         return hashed_vectors(changed, dims, column)
     schema = T.StructType([*changed.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = frame[column].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_batches(batches, column):
+            texts = rows.column(column).to_pylist()
             if any(t is None or not t.strip() for t in texts):
                 raise ValueError("cannot embed an empty text")
             vectors: list[list[float]] = []
@@ -93,9 +94,9 @@ def embed_chunks(
                 if any(len(v) != dims for v in found):
                     raise ValueError(f"expected {dims} dimensions")
                 vectors.extend(found)
-            yield frame.assign(embedding=vectors)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], names=schema.names)
 
-    return changed.mapInPandas(run, schema)
+    return changed.mapInArrow(run, schema)
 
 
 def embed_query(questions: DataFrame, prefix: str = "", embed=None, dims: int = 256, column: str = "question") -> DataFrame:

@@ -55,9 +55,10 @@ class TopMatches:
         unit, names = _unit(vectors), ids.to_numpy(dtype=object)
         for start in range(0, len(self.queries), self.width):
             rows = slice(start, start + self.width)
-            scores = np.round(self.queries[rows] @ unit.T, 12)
-            scores[scores < self.floor] = -np.inf
-            self._keep_best(rows, scores, names)
+            for low in range(0, len(names), self.width):
+                scores = np.round(self.queries[rows] @ unit[low : low + self.width].T, 12)
+                scores[scores < self.floor] = -np.inf
+                self._keep_best(rows, scores, names[low : low + self.width])
 
     def _keep_best(self, rows: slice, scores: np.ndarray, names: np.ndarray) -> None:
         k = self.k

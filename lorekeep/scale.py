@@ -13,6 +13,7 @@ from typing import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,29 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 from lorekeep.session import scratch
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of text that a Python worker turns into objects at a time.
+TEXT_BYTES = 2 * 1024 * 1024
+
+
+def small_runs(texts: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows that hold at most ``limit`` bytes of text, or are one row.
+
+    Spark cuts batches by rows alone, so without this a worker's memory follows the length of the texts.
+    """
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    low = 0
+    while low < len(ends):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield low, high - low
+        low = high
+
+
+def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``small_runs`` of their text ``column``."""
+    for batch in batches:
+        for start, length in small_runs(batch.column(column), limit):
+            yield batch.slice(start, length)
 
 
 def _order(order) -> list[Column]:

@@ -39,3 +39,29 @@ def test_running_sum_without_keys_spreads_over_ranges(spark):
 def test_running_sum_of_nothing(spark):
     df = spark.createDataFrame([], "k string, a int, i long, v long")
     assert ranged_sum(df, ["k"], ["a", "i"], F.lit(1), "s").collect() == []
+
+
+def test_python_takes_texts_by_bytes(spark):
+    """A batch of long texts is never turned into objects as a whole; rows, nulls and order stay."""
+    import pyarrow as pa
+
+    from lorekeep.scale import small_runs, text_batches
+
+    texts = pa.array(["a" * 60, None, "b" * 60, "", "c" * 500, "d"])
+    assert list(small_runs(texts, 100)) == [(0, 2), (2, 2), (4, 1), (5, 1)] and list(small_runs(texts.slice(0, 0), 100)) == []
+    cut = list(text_batches([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", 100))
+    assert [v for b in cut for v in b.column(0).to_pylist()] == texts.to_pylist()
+
+    from lorekeep.operators.ingestion import embed_chunks
+
+    asked = []
+
+    def embed(found):
+        asked.append(len(found))
+        if sum(map(len, found)) > 3_000_000:
+            raise ValueError("too much at a time")
+        return [[1.0, float(len(t))] for t in found]
+
+    rows = spark.range(0, 8, 1, 1).selectExpr("id", "repeat('x', 1000000 + cast(id as int)) AS text")
+    got = embed_chunks(rows, embed, 2).select("id", "embedding").orderBy("id").collect()
+    assert [r["embedding"][1] for r in got] == [1_000_000.0 + n for n in range(8)]
