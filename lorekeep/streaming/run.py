@@ -51,17 +51,37 @@ def drain(stream: DataFrame, mode: str = "append", keyed: bool = False) -> DataF
     return spark.read.schema(T.StructType(stream.schema.fields + numbered)).parquet(f"{folder}/out")
 
 
-def in_batches(rows: DataFrame, order: Column, batches: int, end: DataFrame | None = None) -> DataFrame:
+#: Rows of a file that ``in_batches`` deals out, about; a batch is as many files as its rows ask for.
+FILE_ROWS = 100_000
+
+
+def in_batches(rows: DataFrame, order: Column, batches: int, end: DataFrame | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream of ``batches`` micro-batches, dealt by ``order`` (a number from 0), with ``end`` as the last.
 
-    ``end`` holds rows from long after, such as a clock sends, so that the watermark passes everything before.
+    ``end`` holds rows from long after, such as a clock sends, so that the watermark passes everything before. The table is
+    computed once. Every batch is cut into equally many files, so that many tasks write and read it; a batch too small for
+    that gets empty ones.
     """
     spark, folder = rows.sparkSession, scratch(rows.sparkSession)
+    rows.withColumn("_batch", order.cast("double")).filter(F.col("_batch").isin(*map(float, range(batches)))).write.parquet(f"{folder}-dealt")
+    dealt = spark.read.parquet(f"{folder}-dealt")
+    sizes = dict(dealt.groupBy("_batch").count().collect())  # at most ``batches`` rows
+    files = max(1, -(-max(sizes.values(), default=0) // file_rows))
+    held = lambda: len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
     for n in range(batches):
-        rows.filter(order == n).coalesce(1).write.mode("append").parquet(folder)
+        part = dealt.filter(F.col("_batch") == n).drop("_batch")
+        if files == 1:
+            part = part.coalesce(1)
+        else:
+            small = sizes.get(float(n), 0) <= file_rows
+            part = (part.coalesce(1) if small else part).repartition(files)
+        part.write.mode("append").parquet(folder)
+        if files > 1 and (n < batches - 1 or end is not None):
+            for _ in range(files * (n + 1) - held()):
+                spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
     if end is not None:
         end.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,3 +100,23 @@ def test_counters_of_one_pass(spark):
     out = drain(counters_stream(stream, series, window="1 hour", late="2 hours"))
     got = {(int(r["s"]) // 3600, r["metric"], *r["labels"].values()): r["count"] for r in out.withColumn("s", F.unix_timestamp("window_start")).collect()}
     assert got == {(0, "all", "a"): 3, (0, "all", None): 5, (0, "all", "b"): 0, (0, "large"): 1, (1, "all", "a"): 4, (1, "large"): 1}
+
+
+def test_batches_of_many_files(spark):
+    """Batches are cut into equally many files, small and empty ones too, and arrive one after the other."""
+    rows_ = spark.range(0, 50).select("id", F.when(F.col("id") < 40, 0).when(F.col("id") < 43, 2).otherwise(3).alias("batch"))
+    out = drain(in_batches(rows_, F.col("batch"), 4, rows_.limit(1).withColumn("id", F.lit(99).cast("long")), file_rows=10), "update")
+    got = {b: sorted(r["id"] for r in out.filter(F.col("batch_id") == b).collect()) for b in range(5)}
+    assert got == {0: list(range(40)), 1: [], 2: [40, 41, 42], 3: list(range(43, 50)), 4: [99]}
+
+
+def test_keyed_state_by_bucket(spark):
+    """Keys share a call: what is known of one survives another's coming and going, and there are far fewer calls than keys."""
+    from lorekeep.streaming.processors import KEY_BUCKETS, bucket
+
+    keys = spark.range(0, 5000).select("id", F.lit("k").alias("key"))
+    assert keys.select(bucket("id", "key")).distinct().count() <= KEY_BUCKETS < 5000
+    made = [(n, n % 2500, "k", f"outcome {n}", f"2024-01-01 00:{n // 2500:02d}:00") for n in range(5000)]
+    requests = timed(spark.createDataFrame(made, "request_id long, owner long, key string, outcome string, at string"))
+    out = drain(apply_once_stream(in_batches(requests, F.floor(F.col("request_id") / 2500), 2), 86_400), keyed=True)
+    assert out.filter((F.col("replayed") != (F.col("request_id") >= 2500)) | (F.col("outcome") != F.concat(F.lit("outcome "), "owner"))).count() == 0 and out.count() == 5000
