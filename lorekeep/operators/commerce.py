@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,43 +63,45 @@ def clean_price(value: Column, path: str = "$") -> Column:
     return bind(_text(value, at("formatted")), price)
 
 
+def _parsed(raw: DataFrame, column: str, fields: Callable[[Column], list[Column]], required: tuple[str, ...] = ()) -> DataFrame:
+    """The ``fields`` of JSON text beside the other columns; rows without one of ``required`` are dropped.
+
+    They leave a generator, which the optimizer takes apart for no filter and no part that is selected of a field, so a
+    text is parsed once and a field is read once.
+    """
+    rows = F.transform(F.array(F.try_parse_json(column)), lambda value: F.struct(*fields(value)))
+    if required:
+        rows = F.filter(rows, lambda row: reduce(and_, [row[name].isNotNull() for name in required]))
+    return raw.select(*[c for c in raw.columns if c != column], F.inline(rows))
+
+
 def clean_products(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Products from JSON text; rows without sku, name and an http(s) url are dropped."""
-    value = F.col("_value")
-    availability = _field(value, "$.availability", "string")
-    return (
-        raw.withColumn("_value", F.try_parse_json(column))
-        .select(
-            *[c for c in raw.columns if c != column],
+
+    def fields(value: Column) -> list[Column]:
+        return [
             _text(value, "$.sku").alias("sku"),
             _text(value, "$.name").alias("name"),
             _address(value, "$.url").alias("url"),
             _address(value, "$.imageUrl").alias("image_url"),
             _text(value, "$.summary").alias("summary"),
             clean_price(value, "$.price").alias("price"),
-            F.when(availability.isin(*AVAILABILITY), availability).alias("availability"),
-        )
-        .filter(F.col("sku").isNotNull() & F.col("name").isNotNull() & F.col("url").isNotNull())
-    )
+            bind(_field(value, "$.availability", "string"), lambda found: F.when(found.isin(*AVAILABILITY), found)).alias("availability"),
+        ]
+
+    return _parsed(raw, column, fields, ("sku", "name", "url"))
 
 
 def clean_orders(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Orders from JSON text; they need a reference, their items a name, and bad quantities count as 1."""
-    value = F.col("_value")
 
     def item(entry: Column) -> Column:
-        quantity = _field(entry, "$.quantity", "integer")
-        return F.struct(
-            _text(entry, "$.name").alias("name"),
-            F.when(quantity > 0, quantity).otherwise(F.lit(1).cast("long")).alias("quantity"),
-            _text(entry, "$.sku").alias("sku"),
-        )
+        quantity = bind(_field(entry, "$.quantity", "integer"), lambda n: F.when(n > 0, n).otherwise(F.lit(1).cast("long")))
+        return F.struct(_text(entry, "$.name").alias("name"), quantity.alias("quantity"), _text(entry, "$.sku").alias("sku"))
 
-    entries = F.coalesce(F.try_variant_get(value, "$.items", "array<variant>"), F.array().cast("array<variant>"))
-    return (
-        raw.withColumn("_value", F.try_parse_json(column))
-        .select(
-            *[c for c in raw.columns if c != column],
+    def fields(value: Column) -> list[Column]:
+        entries = F.coalesce(F.try_variant_get(value, "$.items", "array<variant>"), F.array().cast("array<variant>"))
+        return [
             _text(value, "$.reference").alias("reference"),
             _text(value, "$.status").alias("status"),
             _text(value, "$.statusLabel").alias("status_label"),
@@ -105,21 +110,22 @@ def clean_orders(raw: DataFrame, column: str = "raw") -> DataFrame:
             _address(value, "$.trackingUrl").alias("tracking_url"),
             clean_price(value, "$.total").alias("total"),
             F.filter(F.transform(entries, item), lambda i: i["name"].isNotNull()).alias("items"),
-        )
-        .filter(F.col("reference").isNotNull())
-    )
+        ]
+
+    return _parsed(raw, column, fields, ("reference",))
 
 
 def clean_outcome(raw: DataFrame, column: str = "raw") -> DataFrame:
-    value = F.col("_value")
-    return raw.withColumn("_value", F.try_parse_json(column)).select(
-        *[c for c in raw.columns if c != column],
-        F.coalesce(_field(value, "$.applied", "boolean"), F.lit(False)).alias("applied"),
-        _text(value, "$.message").alias("message"),
-        _field(value, "$.itemCount", "integer").alias("item_count"),
-        clean_price(value, "$.total").alias("total"),
-        _address(value, "$.cartUrl").alias("cart_url"),
-    )
+    def fields(value: Column) -> list[Column]:
+        return [
+            F.coalesce(_field(value, "$.applied", "boolean"), F.lit(False)).alias("applied"),
+            _text(value, "$.message").alias("message"),
+            _field(value, "$.itemCount", "integer").alias("item_count"),
+            clean_price(value, "$.total").alias("total"),
+            _address(value, "$.cartUrl").alias("cart_url"),
+        ]
+
+    return _parsed(raw, column, fields)
 
 
 def search_terms(query: str, longer_than: int) -> list[str]:

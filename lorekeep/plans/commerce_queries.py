@@ -31,7 +31,9 @@ def raw_products(spark, d) -> DataFrame:
         price.alias("price"),
         F.when(size > 40, "out_of_stock").when(size > 20, "in_stock").when(size > 15, "sold").alias("availability"),
     )
-    return table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.to_json(wire).alias("raw"))
+    # a part is small and costly to clean, so a few files of many parts are dealt to all cores
+    parts = table(spark, d, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select("p_partkey", "p_brand", "p_size", F.to_json(wire).alias("raw"))
 
 
 def products(spark, d) -> DataFrame:
