@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from lorekeep.scale import stored
+
 KEYS = ("site_id", "id")
 #: Buckets of a new table, and segments of one size that are merged into the next.
 BUCKETS, FAN_IN = 64, 8
@@ -72,12 +74,29 @@ def bucket_of(by: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64("site_id", by), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, first: int, last: int, buckets: int, by: str) -> None:
-    spark, columns = rows.sparkSession, rows.schema
+def _repeated(rows: DataFrame) -> bool:
+    """Whether a key may come twice. Only hashes travel; two keys of one hash count as a key that does."""
+    hashes = rows.select(F.xxhash64(*KEYS).alias("_key"))
+    return not hashes.groupBy("_key").count().filter("count > 1").isEmpty()
+
+
+def _write(rows: DataFrame, path: str, first: int, last: int, buckets: int, by: str, settled: bool = False, once: bool = False) -> None:
+    """Write a segment that holds each key once. ``settled``: the rows have their ``bucket`` and lie by it. ``once``: no key comes twice.
+
+    Otherwise rows are shuffled once, to their buckets; keys are compared in what was written, and only where one may come
+    twice is the segment written again: one upsert a key, and one row of an upsert and tombstones.
+    """
+    spark, columns = rows.sparkSession, StructType([f for f in rows.schema.fields if f.name != "bucket"])
     folder = Segment(first, last, 0, buckets, by, "").folder(path)
     # a bucket's rows come together, yet a large one is still written by several tasks
-    rows.withColumn("bucket", bucket_of(by, buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    held = spark.read.schema(StructType([*columns.fields]).add("bucket", IntegerType())).parquet(folder).groupBy("bucket").agg(F.count("*").alias("rows"))
+    placed = rows if settled else rows.withColumn("bucket", bucket_of(by, buckets)).hint("rebalance", "bucket")
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+    there = spark.read.schema(StructType([*columns.fields]).add("bucket", IntegerType())).parquet(folder)
+    if not once and _repeated(there):
+        upserts = there.filter(~F.col("deleted")).dropDuplicates(list(KEYS))
+        one = newest_rows(upserts.union(there.filter("deleted")).withColumn("_same", F.lit(0)), list(KEYS), "_same").select(*columns.names)
+        return _write(stored(one, "once"), path, first, last, buckets, by, once=True)
+    held = there.groupBy("bucket").agg(F.count("*").alias("rows"))
     entry = held.union(spark.range(1).select(F.lit(-1), F.lit(0).cast("long"))).select(
         F.lit(first).cast("long").alias("first"), F.lit(last).cast("long").alias("last"), "bucket", "rows", F.lit(buckets).alias("buckets"), F.lit(by).alias("by"), F.lit(columns.json()).alias("columns")
     )
@@ -95,7 +114,7 @@ def write_version(points: DataFrame, path: str, version: int, deleted: DataFrame
     there = written_segments(spark, path)
     by = there[0].by if there else "document_id" if "document_id" in points.columns else "id"
     buckets = there[0].buckets if there else buckets
-    rows = points.dropDuplicates(list(KEYS)).withColumn("deleted", F.lit(False))
+    rows = points.withColumn("deleted", F.lit(False))
     if deleted is not None:
         keys = list(dict.fromkeys([*KEYS, by]))
         if by not in deleted.columns:
@@ -120,6 +139,28 @@ def _read(spark: SparkSession, path: str, segments: list[Segment], known: list[S
     return spark.read.schema(schema).option("basePath", f"{path}/segments").parquet(*folders)
 
 
+def _newest(spark: SparkSession, path: str, segments: list[Segment], known: list[Segment], columns: list[str] | None = None, only=None) -> DataFrame:
+    """The newest row of each key, tombstones too, with ``bucket`` and ``deleted``; ``only`` narrows the rows down first.
+
+    The last segment's rows are all newest, so they stay where they are; of them the older rows meet the keys alone, in
+    their bucket. Nothing is shuffled for a table of one segment.
+    """
+    segments = [s for s in segments if s.rows]
+    older, last = (_read(spark, path, part, known) for part in (segments[:-1], segments[-1:]))
+    if columns is not None:
+        names = list(dict.fromkeys([*KEYS, *columns, "deleted", "last", "bucket"]))
+        older, last = older.select(*names), last.select(*names)
+    if only is not None:
+        older, last = only(older), only(last)
+    last, older = last.drop("first"), older.drop("first")
+    if len(segments) < 2:
+        return last.drop("last")
+    keys = ["bucket", *KEYS]
+    over = last.select(*keys, "last").withColumn("_over", F.lit(True))
+    met = older.withColumn("_over", F.lit(False)).unionByName(over, allowMissingColumns=True).repartition("bucket")
+    return newest_rows(met, keys, "last").filter(~F.col("_over")).select(*older.columns).unionByName(last).drop("last")
+
+
 def read_current(spark: SparkSession, path: str, columns: list[str] | None = None, before: int | None = None, documents: DataFrame | None = None) -> DataFrame:
     """The table as of now, or as it was ``before`` a version: the newest row of each id, without deleted ones.
 
@@ -127,17 +168,15 @@ def read_current(spark: SparkSession, path: str, columns: list[str] | None = Non
     bucketing column) only their buckets are read, and only their rows are compared with one another.
     """
     there = written_segments(spark, path)
-    segments = live(there, before)
-    rows = _read(spark, path, segments, there)
+    segments, only = live(there, before), None
     if documents is not None and segments:
         keys = ["site_id", segments[0].by]
         wanted = documents.select(*keys).distinct()
         numbers = [r[0] for r in wanted.select(bucket_of(keys[1], segments[0].buckets)).distinct().collect()]  # as many as buckets
-        rows = rows.filter(F.col("bucket").isin(numbers)).join(wanted, keys, "left_semi")
-    rows = rows.drop("first", "bucket")
-    if columns is not None:
-        rows = rows.select(*dict.fromkeys([*KEYS, *columns, "last", "deleted"]))
-    return newest_rows(rows, list(KEYS), "last").filter(~F.col("deleted")).drop("deleted", "last")
+        only = lambda rows: rows.filter(F.col("bucket").isin(numbers)).join(wanted, keys, "left_semi")
+    needed = columns if columns is None or only is None else [*columns, segments[0].by]
+    rows = _newest(spark, path, segments, there, needed, only).filter(~F.col("deleted")).drop("deleted", "bucket")
+    return rows.select(*dict.fromkeys([*KEYS, *(rows.columns if columns is None else columns)]))
 
 
 def due(segments: list[Segment], fan_in: int) -> tuple[int, int] | None:
@@ -161,9 +200,9 @@ def compact_levels(spark: SparkSession, path: str, before: int | None = None, fa
     merges = 0
     while (run := due(segments := live(written_segments(spark, path), before), fan_in)) is not None:
         start, end = run
-        rows = newest_rows(_read(spark, path, segments[start:end]).drop("first", "bucket"), list(KEYS), "last").drop("last")
+        rows = _newest(spark, path, segments[start:end], segments[start:end])
         kept = rows.filter(~F.col("deleted")) if start == 0 else rows
-        _write(kept, path, segments[start].first, segments[end - 1].last, segments[0].buckets, segments[0].by)
+        _write(kept, path, segments[start].first, segments[end - 1].last, segments[0].buckets, segments[0].by, settled=True, once=True)
         merges += 1
     return merges
 
@@ -187,4 +226,9 @@ def upsert_vectors(points: DataFrame, path: str, version: int) -> None:
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the resolved table to a new place as its version 0; readers then move over."""
-    write_version(read_current(spark, path), target, 0)
+    there = written_segments(spark, path)
+    begun = (written_segments(spark, target) or there)[0]
+    if (begun.buckets, begun.by) != (there[0].buckets, there[0].by):
+        return write_version(read_current(spark, path), target, 0)
+    rows = _newest(spark, path, live(there), there).filter(~F.col("deleted"))
+    _write(rows, target, 0, 0, begun.buckets, begun.by, settled=True, once=True)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import commerce
 from lorekeep.plans import commerce_queries
+from lorekeep.sources import versions
 
 
 def test_json_is_parsed_once_and_parts_are_dealt_to_all_cores(spark, tmp_path):
@@ -18,3 +19,29 @@ def test_json_is_parsed_once_and_parts_are_dealt_to_all_cores(spark, tmp_path):
     parts = spark.range(100).select(F.col("id").alias("p_partkey"), *[F.lit("x").alias(c) for c in ("p_name", "p_brand", "p_type")], F.lit(9).alias("p_size"), F.lit(1.5).alias("p_retailprice"))
     parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert commerce_queries.raw_products(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def points(spark, rows):
+    return spark.createDataFrame([("s" if i % 3 else None, f"d{d}#{i}" if i else None, f"d{d}", text) for d, i, text in rows], "site_id string, id string, document_id string, text string")
+
+
+def test_a_table_of_one_segment_is_read_where_it_lies_and_holds_each_key_once(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = [(d, i, f"{d}.{i}") for d in range(20) for i in range(1, 4)]
+    gone = points(spark, [(0, 1, ""), (0, 9, "")]).drop("text")
+    versions.write_version(points(spark, [*rows, *rows, (5, 0, "null key"), (5, 0, "null key")]), path, 0, gone.filter("id = 'd0#9'"), buckets=8)
+    read = versions.read_current(spark, path)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()  # before: every column was shuffled
+    wanted = {("s" if i % 3 else None, f"d{d}#{i}", f"d{d}", t) for d, i, t in rows} | {(None, None, "d5", "null key")}
+    assert sorted(map(str, map(tuple, read.collect()))) == sorted(map(str, wanted))
+    assert versions.written_segments(spark, path)[0].rows == len(wanted) + 1  # with a tombstone
+    versions.write_version(points(spark, [(5, 0, "newer"), (1, 1, "newer"), (99, 1, "new")]), path, 1, gone, buckets=8)
+    versions.write_version(points(spark, []), path, 2)
+    now = {t[1]: t for t in wanted} | {None: (None, None, "d5", "newer"), "d1#1": ("s", "d1#1", "d1", "newer"), "d99#1": ("s", "d99#1", "d99", "new")}
+    del now["d0#1"]
+    for place in (path, f"{tmp_path}/compacted"):
+        assert sorted(map(str, map(tuple, versions.read_current(spark, place).collect()))) == sorted(map(str, now.values()))
+        if place == path:
+            versions.compact(spark, path, f"{tmp_path}/compacted")
+    some = versions.read_current(spark, path, ["text"], documents=points(spark, [(1, 1, ""), (99, 1, "")]))
+    assert some.columns == ["site_id", "id", "text"] and sorted(r["text"] for r in some.collect()) == ["1.2", "new", "newer"]
