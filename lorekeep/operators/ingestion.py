@@ -7,7 +7,7 @@ from typing import Callable, Iterator
 import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,23 @@ from lorekeep.scale import text_batches
 from lorekeep.settings import EMBED_BATCH, PRUNE_MIN_COVERAGE
 
 
-def diff_chunks(new: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """``new`` rows with ``changed``: the stored hash is absent or different. ``force`` marks all."""
+def diff_chunks(new: DataFrame, stored: DataFrame, force: bool = False, near: Column | None = None) -> DataFrame:
+    """``new`` rows with ``changed``: the stored hash is absent or different. ``force`` marks all.
+
+    Give ``near``, an expression over columns that both tables have and that is equal for rows of one id, to bring rows
+    together by it: the result then lies by it, after one shuffle.
+    """
     if force:
-        return new.withColumn("changed", F.lit(True))
+        return (new if near is None else new.repartition(near)).withColumn("changed", F.lit(True))
     known = stored.select("site_id", "id", F.col("content_hash").alias("_stored_hash"))
+    if near is not None:
+        thin = stored.select("site_id", "id", F.col("content_hash").alias("_stored_hash"), near.alias("_near"), F.lit(False).alias("_new"))
+        met = new.withColumns({"_near": near, "_new": F.lit(True)}).unionByName(thin, allowMissingColumns=True).repartition("_near")
+        same_id = Window.partitionBy("_near", "site_id", "id")
+        # as in a join, a null id or site is no other's equal
+        before = F.when(F.col("site_id").isNotNull() & F.col("id").isNotNull(), F.max("_stored_hash").over(same_id))
+        found = met.withColumn("changed", ~F.col("content_hash").eqNullSafe(before)).filter("_new")
+        return found.select(*new.columns, "changed")
     return (
         new.join(known, ["site_id", "id"], "left")
         .withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("_stored_hash")))

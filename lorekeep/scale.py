@@ -104,10 +104,10 @@ def previous_value(df: DataFrame, keys: list[str], bucket: Column, order, value:
     )
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and a value that depends on the layout is fixed."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

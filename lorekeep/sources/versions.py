@@ -103,24 +103,33 @@ def _write(rows: DataFrame, path: str, first: int, last: int, buckets: int, by:
     entry.coalesce(1).write.mode("overwrite").parquet(Segment(first, last, 0, buckets, by, "").entry(path))
 
 
-def write_version(points: DataFrame, path: str, version: int, deleted: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+def layout(spark: SparkSession, path: str) -> tuple[str, int]:
+    """Bucketing column and buckets of a table; of one that is yet to be written, the defaults."""
+    there = written_segments(spark, path)
+    return (there[0].by, there[0].buckets) if there else ("document_id", BUCKETS)
+
+
+def write_version(points: DataFrame, path: str, version: int, deleted: DataFrame | None = None, buckets: int = BUCKETS, placed: bool = False) -> None:
     """Add one version: upserts, and tombstones for the keys in ``deleted``.
 
     Nothing stored is rewritten, whatever the size of the tenant. A version that is written again, as after a failure,
     replaces itself. Of several rows of one id within ``points`` one stays. Rows are bucketed by ``document_id`` (by ``id``
-    in a table without one), so an id must stay with its document; a table keeps the ``buckets`` it began with.
+    in a table without one), so an id must stay with its document; a table keeps the ``buckets`` it began with. ``placed``:
+    the points lie by the bucket of the table's ``layout`` and are written where they are.
     """
     spark = points.sparkSession
     there = written_segments(spark, path)
     by = there[0].by if there else "document_id" if "document_id" in points.columns else "id"
     buckets = there[0].buckets if there else buckets
+    number = bucket_of(by, buckets)
     rows = points.withColumn("deleted", F.lit(False))
     if deleted is not None:
         keys = list(dict.fromkeys([*KEYS, by]))
         if by not in deleted.columns:
             deleted = deleted.select(*KEYS).join(read_current(spark, path, [by], before=version), list(KEYS))
-        rows = rows.unionByName(deleted.select(*keys).distinct().withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-    _write(rows, path, version, version, buckets, by)
+        dead = deleted.select(*keys).distinct().withColumn("deleted", F.lit(True))
+        rows = rows.unionByName(dead.repartition(number) if placed else dead, allowMissingColumns=True)
+    _write(rows.withColumn("bucket", number) if placed else rows, path, version, version, buckets, by, settled=placed)
 
 
 def has_versions(spark: SparkSession, path: str) -> bool:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import commerce
+from lorekeep.operators import commerce, ingestion
 from lorekeep.plans import commerce_queries
+from lorekeep.plans.ingest import ingest_batch
+from lorekeep.settings import ChunkSettings
 from lorekeep.sources import versions
 
 
@@ -45,3 +47,24 @@ def test_a_table_of_one_segment_is_read_where_it_lies_and_holds_each_key_once(sp
             versions.compact(spark, path, f"{tmp_path}/compacted")
     some = versions.read_current(spark, path, ["text"], documents=points(spark, [(1, 1, ""), (99, 1, "")]))
     assert some.columns == ["site_id", "id", "text"] and sorted(r["text"] for r in some.collect()) == ["1.2", "new", "newer"]
+
+
+def test_a_batch_is_compared_and_laid_out_in_one_shuffle(spark):
+    new = spark.createDataFrame([("s", f"d{d}#{i}", f"d{d}", f"h{d}", "body") for d in range(9) for i in range(2)] + [("s", "d1#0", "d1", "h1", "body"), (None, "d1#0", "d1", "h1", "body")],
+                                "site_id string, id string, document_id string, content_hash string, body string")
+    known = spark.createDataFrame([("s", f"d{d}#0", f"d{d}", "h1") for d in range(3)] + [("s", "d99#0", "d99", "h1"), (None, "d1#0", "d1", "h1")], "site_id string, id string, document_id string, content_hash string")
+    near = versions.bucket_of("document_id", 8)
+    found = ingestion.diff_chunks(new, known, near=near)
+    assert sorted(map(str, found.collect())) == sorted(map(str, ingestion.diff_chunks(new, known).select(*found.columns).collect()))
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_batches_of_repeated_documents_without_a_version(spark, tmp_path):
+    docs = [("s", f"d{n}", "src", "page", "t", f"Text number {n}. " * 20, None) for n in range(4)] + [("s", None, "src", "page", "t", "no id", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "site_id string, id string, source_id string, content_type string, title string, text string, url string")
+    ingest_batch(frame(docs * 2), f"{tmp_path}/t", 0, ChunkSettings(), 8)
+    later = [docs[0], (*docs[1][:5], "Other text. " * 20, None), (*docs[2][:5], "", None)]
+    ingest_batch(frame(later * 2), f"{tmp_path}/t", 1, ChunkSettings(), 8)
+    rows = versions.read_current(spark, f"{tmp_path}/t").collect()
+    assert {r["id"]: (r["text"][:6], len(r["embedding"])) for r in rows} == {"d0#0": ("Text n", 8), "d1#0": ("Other ", 8), "d3#0": ("Text n", 8)} and len(rows) == 3
+    assert sorted((s.first, s.rows) for s in versions.written_segments(spark, f"{tmp_path}/t")) == [(0, 4), (1, 2)]  # one changed chunk, one tombstone
