@@ -24,8 +24,8 @@ from lorekeep.llm.common import let_go, stored
 WINDOW = 4096
 END_ID = 2
 PIECES_PER_GROUP = 20_000
-#: Entries that a worker remembers of words and their ids, about 200 bytes each.
-CACHE = 150_000
+#: Entries that a worker remembers of words and their ids, and of their pieces, about 200 bytes each.
+CACHE = 300_000
 
 
 class WordTokenizer:
@@ -37,6 +37,8 @@ class WordTokenizer:
     """
 
     SIMPLE = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: The same marks, as bytes.
+    ENDS = frozenset(range(33, 127)) - frozenset(b"'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,6 +65,9 @@ class WordTokenizer:
         if word.isalpha():  # of bytes: A-Z and a-z alone
             letters = word.lower().decode()
             return self.pieces.get(letters) or self.piece(letters)
+        if word[-1] in self.ENDS and word[:-1].isalpha():  # most others: one mark behind the letters
+            letters, mark = word[:-1].lower().decode(), chr(word[-1])
+            return (self.pieces.get(letters) or self.piece(letters)) + (self.pieces.get(mark) or self.piece(mark))
         text = word.decode()
         simple = self.SIMPLE.fullmatch(text.lower())
         if simple and b"<|" not in word and (word.isascii() or max(text) < "Ā"):
