@@ -80,11 +80,13 @@ def embed_chunks(
     dims: int = 256,
     batch: int = EMBED_BATCH,
     column: str = "text",
+    strict: bool = True,
 ) -> DataFrame:
     """Adds ``embedding``. ``embed`` takes up to ``batch`` texts and returns one vector each, in order.
 
     An empty text, a wrong number of vectors or a wrong length fails the task, as a half-embedded table is worse than
-    none. The diff has run by then, so only changed chunks reach Python.
+    none. The diff has run by then, so only changed chunks reach Python. Rows that no chunker has cleaned may hold no
+    text: without ``strict`` a null one has a null vector, and a blank one is the model's to embed.
     """
     if not 1 <= batch <= 128:
         raise ValueError("batch must be between 1 and 128")
@@ -95,26 +97,30 @@ def embed_chunks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in text_batches(batches, column):
             texts = rows.column(column).to_pylist()
-            if any(t is None or not t.strip() for t in texts):
+            if strict and any(t is None or not t.strip() for t in texts):
                 raise ValueError("cannot embed an empty text")
+            given = [t for t in texts if t is not None]
             vectors: list[list[float]] = []
-            for start in range(0, len(texts), batch):
-                part = texts[start : start + batch]
+            for start in range(0, len(given), batch):
+                part = given[start : start + batch]
                 found = embed(part)
                 if len(found) != len(part):
                     raise ValueError(f"asked for {len(part)} vectors, got {len(found)}")
                 if any(len(v) != dims for v in found):
                     raise ValueError(f"expected {dims} dimensions")
                 vectors.extend(found)
+            if len(given) < len(texts):
+                each = iter(vectors)
+                vectors = [None if t is None else next(each) for t in texts]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], names=schema.names)
 
     return changed.mapInArrow(run, schema)
 
 
-def embed_query(questions: DataFrame, prefix: str = "", embed=None, dims: int = 256, column: str = "question") -> DataFrame:
+def embed_query(questions: DataFrame, prefix: str = "", embed=None, dims: int = 256, column: str = "question", strict: bool = True) -> DataFrame:
     """Questions with ``embedding``; some models want a prefix on the query side."""
     asked = questions.withColumn("_asked", F.concat(F.lit(prefix), F.col(column)))
-    return embed_chunks(asked, embed, dims, column="_asked").drop("_asked")
+    return embed_chunks(asked, embed, dims, column="_asked", strict=strict).drop("_asked")
 
 
 def to_points(chunks: DataFrame, ingested_at: Column) -> DataFrame:

@@ -69,7 +69,7 @@ class TopMatches:
         # a tie that straddles the k-th place is settled by id
         for row in np.flatnonzero(((everything >= last) & (everything > -np.inf)).sum(axis=1) > k):
             able = np.flatnonzero(everything[row] >= last[row])
-            named = [(-everything[row, c], held[row, c] if c < k else names[c - k], c) for c in able]
+            named = [(-everything[row, c], _null_first(held[row, c] if c < k else names[c - k]), c) for c in able]
             pick[row] = [c for _, _, c in sorted(named)[:k]]
         self.scores[rows] = np.take_along_axis(everything, pick, axis=1)
         fresh = names[np.maximum(pick - k, 0)]
@@ -83,6 +83,11 @@ class TopMatches:
         )
 
 
+def _null_first(value) -> tuple:
+    """A value that sorts as Spark does, also beside nulls."""
+    return (True, value) if value is not None and value == value else (False,)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -106,11 +111,11 @@ def knn(
     ``queries``: query_id, embedding. ``vectors``: site_id, id, embedding and payload columns. Each task keeps only its
     best ``k`` per query, so the shuffle carries k rows per query and task, never all pairs. The query block is
     counted first. Below the byte bound it goes to every task and the vectors stay where the scan put them; above it,
-    both sides are laid on a grid whose cells have a bounded number of rows.
+    both sides are laid on a grid whose cells have a bounded number of rows. What has no vector neither finds nor is found.
     """
-    scoped = payload_filter(vectors.filter(F.col("site_id") == site_id), equals).select("id", "embedding")
+    scoped = payload_filter(vectors.filter(F.col("site_id") == site_id), equals).select("id", "embedding").filter("embedding IS NOT NULL")
     floor = -2.0 if min_score is None else min_score
-    asked = queries.select("query_id", "embedding")
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
     shape = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     fields = [T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", scoped.schema["id"].dataType)]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
