@@ -10,7 +10,8 @@ The model is a bigram model with absolute discounting by one, which needs no sin
 
 The filter holds c(w), K(h) and c(hw) - 1 where they are positive. Its size follows the corpus. It is made in shards of
 fixed size, one group each, kept in the shared folder, and broadcast; where it is larger than ``FILTER_BYTES`` it goes out in
-rounds, each of which adds what its shards know to the levels found so far, with the same result.
+parts. The texts are read once all the same: a task asks one part after the other about ``PART_TEXT`` bytes of text and holds
+one at a time, with the same result.
 
 The unigram baseline takes exact counts: those of the ``HOT_WORDS`` most frequent words are broadcast, the others joined.
 """
@@ -23,10 +24,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MIX, WordHashes, mixed, stored, words
+from lorekeep.llm.common import MIX, WordHashes, by_bytes, mixed, stored, words
 
 #: Ratio of one level's least count to the next.
 BASE = 1.5
@@ -34,6 +36,8 @@ BASE = 1.5
 ITEM_BITS, HASHES = 12, 5
 SHARD_BITS = 1 << 23
 FILTER_BYTES = 128 * 1024 * 1024
+#: Bytes of text about which a task asks all parts of a larger filter, each loaded again.
+PART_TEXT = 12 * 1024 * 1024
 #: Words whose exact counts are broadcast, 16 bytes each.
 HOT_WORDS = 1_000_000
 #: Tokens that a map task counts before it sends the sums on.
@@ -236,6 +240,25 @@ def find_levels(part: FilterPart, contexts: np.ndarray, tokens: np.ndarray) -> n
     return np.stack([single[:n], single[n:], kept, both])
 
 
+def find_in_parts(parts: Iterable[FilterPart], contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The levels of ``find_levels`` from a filter in several parts, gone through once."""
+    n = len(tokens)
+    distinct, back = np.unique(np.concatenate([tokens, contexts]), return_inverse=True)
+    pairs, again = np.unique(pair(contexts, tokens), return_inverse=True)
+    asked = np.concatenate([entry(UNIGRAM, distinct), entry(KEPT, context_key(distinct)), entry(BIGRAM, pairs)])
+    found = np.zeros(len(asked), dtype=np.uint8)
+    for part in parts:
+        np.maximum(found, part.levels(asked), out=found)
+    single, kept, both = np.split(found, [len(distinct), 2 * len(distinct)])
+    return np.stack([single[back[:n]], single[back[n:]], kept[back[n:]], both[again]])
+
+
+def loaded(sent: Broadcast) -> FilterPart:
+    """A broadcast part, loaded again each time, so that a worker holds one. (With encryption it is there already.)"""
+    path = getattr(sent, "_path", None)
+    return sent.value if path is None else sent.load_from_path(path)
+
+
 def log_probability(levels: np.ndarray, tokens: int, types: int) -> np.ndarray:
     """log10 P(w | h) of each position."""
     word, context, kept, both = VALUES[levels]
@@ -267,17 +290,13 @@ def score_documents(documents: DataFrame, model: LanguageModel, id_col: str = "d
     """
     context = documents.sparkSession.sparkContext
     kind = documents.schema[id_col].dataType.simpleString()
-    rows = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_key"), F.col(text_col).alias("_text"), F.lit(None).cast("binary").alias("_levels"))
+    rows = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_key"), F.col(text_col).alias("_text"))
     hot = model.unigrams.filter(F.col("c") >= hot_count(model.unigrams, hot_words)).toArrow()
     keys = np.asarray(hot.column("h").combine_chunks() if hot.num_rows else pa.array([], pa.int64())).view(np.uint64)
     order = np.argsort(keys)
     hot_sent = context.broadcast((keys[order], np.asarray(hot.column("c").combine_chunks() if hot.num_rows else pa.array([], pa.int64()))[order]))
     n, v = model.tokens, model.types
-    parts = list(range(0, model.shards, model.shards_at_once(filter_bytes)))
-    for number, part in enumerate(model.parts(filter_bytes)):
-        sent = context.broadcast(part)
-        if number + 1 < len(parts):
-            rows = stored(rows.mapInArrow(_add_levels(sent), rows.schema), "lm-levels")
+    sent = [context.broadcast(part) for part in model.parts(filter_bytes)]
     counted = rows.mapInArrow(_score(sent, hot_sent, n, v), f"_id {kind}, _key long, word long, times long, n_tokens long, n_known long, base double, score double, copies long")
     rare = model.unigrams.select(F.col("h").alias("_h"), F.col("c").alias("_c"))
     joined = counted.join(rare, F.col("word") == F.col("_h"), "left")
@@ -298,24 +317,6 @@ def score_documents(documents: DataFrame, model: LanguageModel, id_col: str = "d
     return one.drop("_copy")
 
 
-def _add_levels(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            out = []
-            for text, old in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                contexts, tokens, _ = sequences([text or b""], known)
-                levels = find_levels(sent.value, contexts, tokens)
-                out.append(np.maximum(levels, _read(old, levels)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["_id", "_key", "_text", "_levels"])
-
-    return run
-
-
-def _read(old: bytes | None, like: np.ndarray) -> np.ndarray:
-    return np.zeros_like(like) if old is None else np.frombuffer(old, np.uint8).reshape(like.shape)
-
-
 def _tally(doc: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, times) of each distinct pair."""
     order = np.lexsort((tokens, doc))
@@ -324,23 +325,30 @@ def _tally(doc: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], tokens[first], np.diff(np.append(first, len(doc)))
 
 
-#: Texts that are scored together.
+#: Texts that are scored together, if the filter is in one part.
 TOGETHER = 500
 
 
-def _score(sent, hot_sent, n: int, v: int):
+def _score(sent: list[Broadcast], hot_sent: Broadcast, n: int, v: int):
+    def together(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if len(sent) > 1:
+            return by_bytes([whole], 2, PART_TEXT)
+        return (whole.slice(begin, TOGETHER) for begin in range(0, whole.num_rows, TOGETHER))
+
+    def levels_of(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        if len(sent) > 1:
+            return find_in_parts(map(loaded, sent), contexts, tokens)
+        return find_levels(sent[0].value, contexts, tokens)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         keys, counts = hot_sent.value
         logs = np.log10((counts + 1) / float(n + v + 1))
         for whole in batches:
-            for begin in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(begin, TOGETHER)
-                olds = batch.column(3).to_pylist()
+            begin = 0
+            for batch in together(whole):
                 contexts, tokens, sizes = sequences([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], known)
-                levels = find_levels(sent.value, contexts, tokens)
-                if any(o is not None for o in olds):
-                    levels = np.maximum(levels, np.concatenate([np.frombuffer(o, np.uint8).reshape(4, -1) for o in olds], axis=1))
+                levels = levels_of(contexts, tokens)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 score = np.bincount(doc, log_probability(levels, n, v), len(sizes))
                 unique, back = np.unique(tokens, return_inverse=True)
@@ -354,6 +362,7 @@ def _score(sent, hot_sent, n: int, v: int):
                 ids = pa.array(np.concatenate([docs, rare_docs]))
                 # a document's own row goes to a partition of its own choice; no word has its key
                 own = mixed(np.uint64(begin) + docs.astype(np.uint64) + np.asarray(batch.column(1)).view(np.uint64))
+                begin += batch.num_rows
                 columns = [
                     np.concatenate([own, rare_words]).view(np.int64),
                     np.concatenate([np.zeros(len(sizes), np.int64), times]),

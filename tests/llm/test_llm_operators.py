@@ -71,6 +71,24 @@ def test_language_model_in_rounds_gives_the_same(spark):
     assert one == many
 
 
+def test_language_model_reads_texts_once_whatever_the_parts_of_its_filter(spark, monkeypatch):
+    asked = documents(spark, [(i, prose(i, 300, 400)) for i in range(6)] + ODD)
+    model = language_model.train(asked, shard_bits=1 << 11)
+    parts = list(model.parts((1 << 11) // 8 * 2))
+    assert len(parts) > 3 and not parts[0].whole
+    contexts, tokens, _ = language_model.sequences([prose(i, 50, 800).encode() for i in range(9)], language_model.WordHashes())
+    whole = language_model.find_levels(next(model.parts()), contexts, tokens)
+    cut = language_model.find_in_parts(parts, contexts, tokens)
+    assert (cut[:3] == whole[:3]).all() and (language_model.log_probability(cut, model.tokens, model.types) == language_model.log_probability(whole, model.tokens, model.types)).all()
+
+    def again(*_):
+        raise AssertionError("the texts are written and read again")
+
+    monkeypatch.setattr(language_model, "stored", again)
+    scored = language_model.score_documents(asked, model, filter_bytes=(1 << 11) // 8 * 2)
+    assert scored.count() == 6 + len(ODD)
+
+
 def test_language_model_of_nothing(spark):
     empty = documents(spark, [])
     model = language_model.train(empty)
