@@ -12,8 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 GONE, APPLIED, REJECTED = "gone", "applied", "rejected"
@@ -149,6 +152,126 @@ class FirstOutcome(Bucketed):
         self.remember(known, changed)
 
 
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType)
+PLAIN = (*WHOLE, T.StringType, T.FloatType, T.DoubleType)
+
+
+def packed(value: Column, kind: T.DataType) -> Column:
+    """A plain value as a long, a double or a text that pandas keeps exactly; nulls are told apart beside it."""
+    if isinstance(kind, T.StringType):
+        return value
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.coalesce(value.cast("double"), F.lit(0.0))
+    number = F.unix_date(value) if isinstance(kind, T.DateType) else F.unix_micros(value) if isinstance(kind, T.TimestampType) else value
+    return F.coalesce(number.cast("long"), F.lit(0).cast("long"))
+
+
+def packed_type(kind: T.DataType) -> str:
+    return "string" if isinstance(kind, T.StringType) else "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long"
+
+
+def unpacked(name: str, kind: T.DataType, null: Column) -> Column:
+    value = F.col(name)
+    if isinstance(kind, T.DateType):
+        value = F.date_from_unix_date(value.cast("int"))
+    elif isinstance(kind, T.TimestampType):
+        value = F.timestamp_micros(value)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = F.coalesce(value, F.lit(float("nan")))  # pandas has no other null
+    return F.when(~null, value.cast(kind))
+
+
+class FirstOutcomes(Bucketed):
+    """``FirstOutcome`` of plain columns, a bucket's rows of a batch at a time.
+
+    Rows hold the packed fields of the request (``width`` of them, r0 ..), owner, key, outcome, us and ``nulls``, a bit for
+    each field, then for owner and outcome.
+    """
+
+    def __init__(self, state: str, fields: int, keep_ms: int):
+        super().__init__(state, 2)
+        self.fields, self.keep_ms = fields, keep_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        if not len(frame):
+            return
+        known, keep = self.known(), self.keep_ms * 1000
+        nulls = frame["nulls"].to_numpy()
+        null = lambda i: (nulls >> i) & 1
+        owners, names = pd.factorize(frame["owner"])[0] + 1, pd.factorize(frame["key"])[0]
+        pairs = (owners * (int(names.max()) + 1) + names) * 2 + null(self.fields)
+        _, sample, group = np.unique(pairs, return_index=True, return_inverse=True)
+        order = np.lexsort([*self._ranks(frame, null), frame["us"].to_numpy(), group])
+        at, group = frame["us"].to_numpy()[order], group[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        one = frame.iloc[sample]
+        places = [(None if n else o, k) for o, k, n in zip(one["owner"].tolist(), one["key"].tolist(), null(self.fields)[sample].tolist())]
+        before = [known.get(place) for place in places]
+        held = np.array([b is not None for b in before])
+        first_at = np.where(held, [b[3] if b else 0 for b in before], at[start])
+        # the row whose outcome counts, or the group, from -1 down, whose known one does
+        source = np.where(held, -1 - np.arange(len(start)), start)[group]
+        newest = np.where(held, -1, start)
+        over = np.flatnonzero(at > first_at[group] + keep)
+        for g, i in zip(*np.unique(group[over], return_index=True)):
+            low, end = over[i], start[g + 1] if g + 1 < len(start) else len(at)
+            while low < end:
+                high = low + np.searchsorted(at[low:end], at[low] + keep, "right")
+                source[low:high], newest[g], low = low, low, high
+        outcomes, none = frame["outcome"].to_numpy()[order], null(self.fields + 1)[order] == 1
+        told, empty = outcomes[np.maximum(source, 0)], none[np.maximum(source, 0)]
+        old = np.flatnonzero(source < 0)
+        if len(old):
+            values = [b[2] if b else None for b in before]
+            of = -1 - source[old]
+            told[old] = np.array([None if v is None and told.dtype == object else v or 0 for v in values], dtype=told.dtype)[of]
+            empty[old] = np.array([v is None for v in values])[of]
+        columns = [*(f"r{i}" for i in range(self.fields)), "owner", "key"]
+        out = {c: frame[c].to_numpy()[order] for c in columns}
+        yield pd.DataFrame(out | {"outcome": told, "nulls": nulls[order], "no_outcome": empty, "replayed": source != np.arange(len(at))})
+        new = np.flatnonzero(newest >= 0)
+        rows_of = newest[new]
+        made = zip(new.tolist(), outcomes[rows_of].tolist(), none[rows_of].tolist(), at[rows_of].tolist())
+        self.remember(known, {places[g]: (*places[g], None if no else o, us, us // 1000 + self.keep_ms) for g, o, no, us in made})
+
+    def _ranks(self, frame: pd.DataFrame, null) -> list[np.ndarray]:
+        """Sort keys of the request, the last field first; nulls come first."""
+        keys: list[np.ndarray] = []
+        for i in reversed(range(self.fields)):
+            values = frame[f"r{i}"]
+            keys.append(pd.factorize(values, sort=True)[0] if values.dtype == object else values.to_numpy())
+            if (unknown := null(i)).any():
+                keys.append(1 - unknown)
+        return keys
+
+
+def _plain_replies(timed: DataFrame, keep_seconds: int) -> DataFrame | None:
+    """The replies of ``apply_once_stream`` without Python objects per row, if all columns are plain or flat structs of such."""
+    request, owner, key, outcome = (timed.schema[c].dataType for c in ("request_id", "owner", "key", "outcome"))
+    flat = isinstance(request, T.StructType)
+    kinds = [f.dataType for f in request.fields] if flat else [request]
+    parts = [F.col("request_id").getField(f.name) for f in request.fields] if flat else [F.col("request_id")]
+    texts = [k for k in (*kinds, owner, key, outcome) if isinstance(k, T.StringType)]
+    if len(kinds) > 50 or not all(isinstance(k, PLAIN) for k in (*kinds, outcome)) or not isinstance(owner, (*WHOLE, T.StringType)) or not isinstance(key, T.StringType) or any(k != T.StringType() for k in texts):
+        return None
+    places = [*parts, F.col("owner"), F.col("outcome")]
+    nulls = sum((F.when(c.isNull(), 1 << i).otherwise(0).cast("long") for i, c in enumerate(places)), F.lit(0).cast("long"))
+    whole = F.col("request_id").isNull().cast("long") * (1 << len(places))  # a null struct is not a struct of nulls
+    packs = {f"r{i}": packed(c, k) for i, (c, k) in enumerate(zip(parts, kinds))} | {"owner": packed(F.col("owner"), owner), "outcome": packed(F.col("outcome"), outcome)}
+    rows = timed.select(*[c.alias(n) for n, c in packs.items()], "key", "at", "us", (nulls + whole).alias("nulls"), "_bucket")
+    state = f"owner {packed_type(owner)}, key string, outcome {packed_type(outcome)}, us long"
+    schema = ", ".join([*(f"r{i} {packed_type(k)}" for i, k in enumerate(kinds)), f"owner {packed_type(owner)}", "key string", f"outcome {packed_type(outcome)}", "nulls long, no_outcome boolean, replayed boolean"])
+    told = rows.groupBy("_bucket").transformWithStateInPandas(FirstOutcomes(state, len(kinds), keep_seconds * 1000), schema, "append", "EventTime")
+    bit = lambda i: F.col("nulls").bitwiseAND(F.lit(1 << i)) != 0
+    fields = [unpacked(f"r{i}", k, bit(i)) for i, k in enumerate(kinds)]
+    named = F.when(~bit(len(places)), F.struct(*[c.alias(f.name) for c, f in zip(fields, request.fields)])) if flat else fields[0]
+    return told.select(
+        named.cast(request).alias("request_id"), unpacked("owner", owner, bit(len(kinds))).alias("owner"), "key",
+        unpacked("outcome", outcome, F.col("no_outcome")).alias("outcome"), "replayed", F.lit(None).cast("string").alias("error"),
+    )
+
+
 def apply_once_stream(requests: DataFrame, keep_seconds: int, late: str = "1 hour") -> DataFrame:
     """Stream of requests(request_id, owner, key, outcome, at) -> request_id, owner, key, outcome, replayed, error.
 
@@ -160,8 +283,10 @@ def apply_once_stream(requests: DataFrame, keep_seconds: int, late: str = "1 hou
     kind = {c: requests.schema[c].dataType.simpleString() for c in ("request_id", "owner", "key", "outcome")}
     schema = ", ".join(f"{c} {kind[c]}" for c in kind) + ", replayed boolean, error string"
     timed = requests.withWatermark("at", late).select(*kind, "at", F.unix_micros("at").alias("us"), bucket("owner", "key"))
-    first = FirstOutcome(", ".join(f"{c} {kind[c]}" for c in ("owner", "key", "outcome")) + ", us long", 2, keep_seconds * 1000)
-    replies = timed.filter(keyed).groupBy("_bucket").transformWithState(first, schema, "append", "EventTime")
+    replies = _plain_replies(timed.filter(keyed), keep_seconds)
+    if replies is None:
+        first = FirstOutcome(", ".join(f"{c} {kind[c]}" for c in ("owner", "key", "outcome")) + ", us long", 2, keep_seconds * 1000)
+        replies = timed.filter(keyed).groupBy("_bucket").transformWithState(first, schema, "append", "EventTime")
     errors = timed.filter(~keyed).select(
         "request_id", "owner", "key", F.lit(None).cast(kind["outcome"]).alias("outcome"), F.lit(None).cast("boolean").alias("replayed"), F.lit("IDEMPOTENCY_KEY_REQUIRED").alias("error")
     )

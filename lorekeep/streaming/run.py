@@ -53,20 +53,22 @@ def drain(stream: DataFrame, mode: str = "append", keyed: bool = False) -> DataF
 
 #: Rows of a file that ``in_batches`` deals out, about; a batch is as many files as its rows ask for.
 FILE_ROWS = 100_000
+#: Files of a batch for each core at most: an empty batch takes a write for each of its files.
+FILES_PER_CORE = 2
 
 
 def in_batches(rows: DataFrame, order: Column, batches: int, end: DataFrame | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream of ``batches`` micro-batches, dealt by ``order`` (a number from 0), with ``end`` as the last.
 
     ``end`` holds rows from long after, such as a clock sends, so that the watermark passes everything before. The table is
-    computed once. Every batch is cut into equally many files, so that many tasks write and read it; a batch too small for
-    that gets empty ones.
+    computed once, in a folder a batch. Every batch is cut into equally many files, so that many tasks write and read it; a
+    batch too small for that gets empty ones.
     """
     spark, folder = rows.sparkSession, scratch(rows.sparkSession)
-    rows.withColumn("_batch", order.cast("double")).filter(F.col("_batch").isin(*map(float, range(batches)))).write.parquet(f"{folder}-dealt")
-    dealt = spark.read.parquet(f"{folder}-dealt")
+    rows.withColumn("_batch", order.cast("double")).filter(F.col("_batch").isin(*map(float, range(batches)))).write.partitionBy("_batch").parquet(f"{folder}-dealt")
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_batch", T.DoubleType())])).parquet(f"{folder}-dealt")
     sizes = dict(dealt.groupBy("_batch").count().collect())  # at most ``batches`` rows
-    files = max(1, -(-max(sizes.values(), default=0) // file_rows))
+    files = max(1, min(-(-max(sizes.values(), default=0) // file_rows), FILES_PER_CORE * spark.sparkContext.defaultParallelism))
     held = lambda: len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
     for n in range(batches):
         part = dealt.filter(F.col("_batch") == n).drop("_batch")
@@ -74,7 +76,8 @@ def in_batches(rows: DataFrame, order: Column, batches: int, end: DataFrame | No
             part = part.coalesce(1)
         else:
             small = sizes.get(float(n), 0) <= file_rows
-            part = (part.coalesce(1) if small else part).repartition(files)
+            # by a hash of the row's place: dealing in turn would sort whole rows first
+            part = (part.coalesce(1) if small else part).withColumn("_place", F.monotonically_increasing_id()).repartition(files, "_place").drop("_place")
         part.write.mode("append").parquet(folder)
         if files > 1 and (n < batches - 1 or end is not None):
             for _ in range(files * (n + 1) - held()):

@@ -120,3 +120,42 @@ def test_keyed_state_by_bucket(spark):
     requests = timed(spark.createDataFrame(made, "request_id long, owner long, key string, outcome string, at string"))
     out = drain(apply_once_stream(in_batches(requests, F.floor(F.col("request_id") / 2500), 2), 86_400), keyed=True)
     assert out.filter((F.col("replayed") != (F.col("request_id") >= 2500)) | (F.col("outcome") != F.concat(F.lit("outcome "), "owner"))).count() == 0 and out.count() == 5000
+
+
+def test_outcomes_of_plain_columns_are_found_a_bucket_at_a_time(spark):
+    """Ties, nulls, several lives of a key and odd types, against the form that takes one row at a time."""
+    from lorekeep.streaming.processors import _plain_replies
+
+    made = []
+    for n in range(400):
+        owner, key = [None, 1, 2, 2**60 + 1][n % 4], "ab"[n // 4 % 2]
+        request = (n // 3 if n % 7 else None, f"r{n % 5}" if n % 11 else None, [0.5, None, -1.0][n % 3], f"2024-01-0{1 + n % 3}")
+        made.append((request, owner, key, 2**61 + n if n % 13 else None, f"2024-01-01 {n * 7 % 400 // 60:02d}:{n * 7 % 60 // 5 * 5:02d}:00", n // 200))
+    requests = timed(spark.createDataFrame(made, "request_id struct<a:long,b:string,c:double,d:string>, owner long, key string, outcome long, at string, batch int"))
+    day = F.col("request_id").withField("d", F.col("request_id.d").cast("date")).withField("a", F.coalesce("request_id.a", F.col("batch").cast("long")))
+    requests = requests.withColumn("request_id", day.withField("b", F.coalesce("request_id.b", F.lit("")))).withColumn("request_id", F.col("request_id").withField("c", F.coalesce("request_id.c", F.lit(0.0))))
+    again = requests.withColumn("outcome", F.struct("outcome"))  # not plain: goes the other way
+    feed = lambda df: in_batches(df, F.col("batch"), 2).drop("batch")
+    stream = feed(requests)
+    assert _plain_replies(stream.select("*", F.unix_micros("at").alias("us"), F.lit(0).alias("_bucket")), 60) is not None
+    assert _plain_replies(feed(again).select("*", F.unix_micros("at").alias("us"), F.lit(0).alias("_bucket")), 60) is None
+    got = drain(apply_once_stream(stream, 1800, late="1 day"), keyed=True)
+    want = drain(apply_once_stream(feed(again), 1800, late="1 day"), keyed=True)
+    assert got.schema == want.withColumn("outcome", F.col("outcome.outcome")).schema
+    assert rows(got) == rows(want.withColumn("outcome", F.col("outcome.outcome"))) and got.count() == 400
+    assert got.filter("NOT replayed").count() > 16  # keys begin anew
+
+
+def test_null_fields_of_a_request_come_first_and_come_back(spark):
+    made = [((2, None), 1, "k", "x", "2024-01-01 00:00:00"), ((None, None), 1, "k", "y", "2024-01-01 00:00:00"), (None, 1, "j", None, "2024-01-01 00:00:00"), ((None, "b"), 1, "j", "z", "2024-01-01 00:00:01")]
+    requests = timed(spark.createDataFrame(made, "request_id struct<a:long,b:string>, owner long, key string, outcome string, at string"))
+    out = drain(apply_once_stream(in_batches(requests, F.lit(0), 1), 3600), keyed=True).select("request_id", "outcome", "replayed")
+    assert rows(out) == rows(spark.createDataFrame([((2, None), "y", True), ((None, None), "y", False), (None, None, False), ((None, "b"), None, True)], out.schema))
+
+
+def test_an_empty_batch_takes_few_files(spark):
+    rows_ = spark.range(0, 3000).select("id", F.lit(1).alias("batch"))
+    stream = in_batches(rows_, F.col("batch"), 2, file_rows=1)
+    out = drain(stream, "update")
+    assert out.count() == 3000 and out.filter("batch_id = 1").count() == 3000
+    assert len(spark.read.parquet(f"{out.inputFiles()[0].rsplit('/out/', 1)[0]}/out/batch_id=1").inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
