@@ -196,6 +196,8 @@ class FirstOutcomes(Bucketed):
         frame = pd.concat(list(rows), ignore_index=True)
         if not len(frame):
             return
+        if frame["us"].isna().any():
+            raise ValueError("a request needs a time")
         known, keep = self.known(), self.keep_ms * 1000
         nulls = frame["nulls"].to_numpy()
         null = lambda i: (nulls >> i) & 1

@@ -151,6 +151,8 @@ def test_null_fields_of_a_request_come_first_and_come_back(spark):
     requests = timed(spark.createDataFrame(made, "request_id struct<a:long,b:string>, owner long, key string, outcome string, at string"))
     out = drain(apply_once_stream(in_batches(requests, F.lit(0), 1), 3600), keyed=True).select("request_id", "outcome", "replayed")
     assert rows(out) == rows(spark.createDataFrame([((2, None), "y", True), ((None, None), "y", False), (None, None, False), ((None, "b"), None, True)], out.schema))
+    with pytest.raises(Exception, match="a request needs a time"):
+        drain(apply_once_stream(in_batches(requests.withColumn("at", F.lit(None).cast("timestamp")), F.lit(0), 1), 3600), keyed=True)
 
 
 def test_an_empty_batch_takes_few_files(spark):
