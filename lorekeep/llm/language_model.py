@@ -124,13 +124,16 @@ class FilterPart:
         alive = np.flatnonzero((shard >= self.first) & (shard < self.first + len(self.data)))
         flat, width = self.data.reshape(-1), np.uint64(self.data.shape[1])
         base = (shard - np.uint64(self.first)) * width
+        asked, base = entries[alive], base[alive]
         for level in range(1, len(VALUES)):
             if not len(alive):
                 break
             for i in range(HASHES):
-                bit = _bits(entries[alive], level, i, 8 * self.data.shape[1])
-                byte = flat[(base[alive] + (bit >> np.uint64(3))).astype(np.int64)]
-                alive = alive[(byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                bit = _bits(asked, level, i, 8 * self.data.shape[1])
+                byte = flat[(base + (bit >> np.uint64(3))).view(np.int64)]
+                hit = (byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    alive, asked, base = alive[hit], asked[hit], base[hit]
             out[alive] = level
         return out
 
